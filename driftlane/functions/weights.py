@@ -14,7 +14,7 @@ def lookup(col: Column, table: dict, default) -> Column:
     out = None
     for key, value in table.items():
         out = F.when(col == key, F.lit(value)) if out is None else out.when(col == key, F.lit(value))
-    return out.otherwise(F.lit(default))
+    return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
 def rank_weight(position: Column) -> Column:

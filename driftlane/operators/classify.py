@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from driftlane.functions import fixed, text
 from driftlane.functions import weights as wt
-from driftlane.sources.rulebook import Rule, RuleBook, folded
+from driftlane.functions.plan import hold
+from driftlane.sources.rulebook import RuleBook, folded
 
 SOURCES = ["title", "channel", "tags", "description", "youtube_topics"]
 LIST_SOURCES = {"tags", "youtube_topics"}
@@ -387,6 +388,7 @@ def classify(cards: DataFrame, book: RuleBook, as_of: Column | None = None) -> D
     df = with_rule_numbers(with_folded_sources(cards), book)
     df = classify_intent(classify_content(df, book), book)
     df = df.drop("_found", *[f"_texts_{s}" for s in SOURCES])
+    df = hold(df, "classification", "target_profile", "intent_profile")
     return df if as_of is None else popularity(df, as_of)
 
 
@@ -407,7 +409,7 @@ def classify_keywords(cards: DataFrame, book: RuleBook) -> DataFrame:
         {"_raw": raw, "_share": share, "_margin": margin, "_vector": _share_vector(F.col("_ranked"), names, 0.12, 0.25)}
     )
     everything = F.map_from_entries(F.transform("_ranked", lambda c: F.struct(c["id"], c["evidence"])))
-    return df.withColumn(
+    df = df.withColumn(
         "classification",
         F.struct(
             _mode(_has("description", "tags", "youtube_category_id")).alias("mode"),
@@ -422,6 +424,7 @@ def classify_keywords(cards: DataFrame, book: RuleBook) -> DataFrame:
         "_found", "_hits", "_ranked", "_raw", "_share", "_margin", "_vector",
         *[f"_texts_{s}" for s in SOURCES],
     )
+    return hold(df, "classification")
 
 
 def keyword_confidence(raw: Column, share: Column, margin: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlane.functions import fixed, identity
+from driftlane.functions.plan import hold
 from driftlane.functions.weights import lookup
 from driftlane.sources import schemas
 
@@ -45,13 +46,14 @@ def parse_lines(lines: DataFrame, ddl: str) -> DataFrame:
     context_keys = F.coalesce(
         F.json_object_keys(F.get_json_object("value", "$.context")), F.array().cast("array<string>")
     )
-    return lines.select(
+    rows = lines.select(
         "*",
         F.when(F.json_object_keys("value").isNotNull(), parsed).alias("_row"),
         keys.alias("_keys"),
         context_keys.alias("_context_keys"),
         F.get_json_object("value", "$.context").alias("_context_text"),
     )
+    return hold(rows, "_row", "_keys", "_context_keys", "_context_text")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
