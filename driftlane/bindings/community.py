@@ -14,6 +14,7 @@ from driftlane.bindings.longitudinal import WINDOW_SQL
 from driftlane.functions import weights as wt
 from driftlane.operators import community as cm
 from driftlane.operators import longitudinal as lg
+from driftlane.plans.staging import stage
 
 
 def profiles(spark, sf_dir):
@@ -115,7 +116,8 @@ lane_intent2 AS (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY
 
 
 def weighted(spark, sf_dir):
-    return cm.balanced_weights(cm.usable(profiles(spark, sf_dir)))
+    """Usable profiles with their weight; staged, as every table reads it."""
+    return stage(cm.balanced_weights(cm.usable(profiles(spark, sf_dir))))
 
 
 def _long(name):

@@ -42,18 +42,33 @@ class PhraseFinder:
                 out += ids[phrase[:end]]
         return out
 
+    def pattern(self) -> str:
+        """One regex for all phrases, folded by common prefix. Greedy optional
+        tails try the longest phrase first and fall back to shorter ones."""
+        tree: dict = {}
+        for phrase in self.longest_first:
+            node = tree
+            for ch in phrase:
+                node = node.setdefault(ch, {})
+            node[""] = {}
+
+        def regex(node: dict) -> str:
+            tails = [text.quote(ch) + regex(node[ch]) for ch in sorted(node) if ch]
+            if not tails:
+                return ""
+            return "(?:" + "|".join(tails) + ")" + ("?" if "" in node else "")
+
+        return f"{text.NOT_AFTER_WORD}(?=({regex(tree)}){text.NOT_BEFORE_WORD})"
+
     def find(self, folded_text: Column) -> Column:
         """array<int>: numbers of the phrases found, each once."""
         if not self.longest_first:
             return F.array().cast("array<int>")
-        options = "|".join(text.quote(p) for p in self.longest_first)
-        pattern = f"{text.NOT_AFTER_WORD}(?=({options}){text.NOT_BEFORE_WORD})"
-        found = F.array_distinct(F.regexp_extract_all(folded_text, F.lit(pattern), F.lit(1)))
+        found = F.array_distinct(F.regexp_extract_all(folded_text, F.lit(self.pattern()), F.lit(1)))
         names = F.array(*[F.lit(p) for p in self.longest_first])
         numbers = F.array(*[F.array(*[F.lit(i) for i in self.implied[p]]) for p in self.longest_first])
-        return F.array_distinct(
-            F.flatten(F.transform(found, lambda p: F.element_at(numbers, F.array_position(names, p).cast("int"))))
-        )
+        every = F.transform(found, lambda p: F.element_at(numbers, F.array_position(names, p).cast("int")))
+        return F.array_sort(F.array_distinct(F.flatten(every)))
 
 
 def _literals(values: list, kind: str) -> Column:
@@ -80,24 +95,22 @@ def with_folded_sources(cards: DataFrame, lower_only: bool = False) -> DataFrame
 def with_rule_numbers(cards: DataFrame, book: RuleBook, lower_only: bool = False) -> DataFrame:
     """Adds ``_found``: array<struct<source, number>>, one entry per text and rule."""
     finder = PhraseFinder(folded(book.rules, lower_only))
-    blocked = [
-        (
-            _literals(
-                [
-                    n for n, r in enumerate(book.rules)
-                    if r.owner == owner and r.kind in ("entity", "anchor")
-                    and text.fold_phrase(r.phrase) == text.fold_phrase(phrase)
-                ], "int",
-            ),
-            idiom,
-        )
-        for owner, phrase, idiom in (() if lower_only else book.suppressions)
-    ]
+    blocked = []
+    for owner, phrase, idiom in () if lower_only else book.suppressions:
+        rules = [
+            n for n, r in enumerate(book.rules)
+            if r.owner == owner and r.kind in ("entity", "anchor")
+            and text.fold_phrase(r.phrase) == text.fold_phrase(phrase)
+        ]
+        if rules:
+            blocked.append((rules, idiom))
 
     def numbers(one_text: Column) -> Column:
         out = finder.find(one_text)
         for rules, idiom in blocked:
-            out = F.when(F.rlike(one_text, F.lit(idiom)), F.array_except(out, rules)).otherwise(out)
+            hidden = F.array(*[F.lit(n) for n in rules])
+            # the idiom is only looked for when one of its phrases was found
+            out = F.filter(out, lambda n: ~(F.array_contains(hidden, n) & F.rlike(one_text, F.lit(idiom))))
         return out
 
     def found_in(source: str) -> Column:
@@ -112,36 +125,67 @@ def with_rule_numbers(cards: DataFrame, book: RuleBook, lower_only: bool = False
     return cards.withColumn("_found", F.concat(*[found_in(s) for s in SOURCES]))
 
 
-def hits_by_join(cards: DataFrame, key: str, rules: DataFrame, lower_only: bool = False) -> DataFrame:
+def _mark_words(col: Column) -> Column:
+    """Text with a mark before and after every word: whole-word search becomes
+    a plain substring search."""
+    return F.regexp_replace(col, rf"({text.WORD}+)", "\x01$1\x01")
+
+
+def hits_by_join(cards: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """``_found`` for dictionaries of any size: equi-join on the leading token.
 
     ``rules`` has (number, phrase) with folded phrases. Every text contributes
-    each of its tokens once; candidates are confirmed by the phrase test.
+    each of its tokens once, without the text; the candidates of a card come
+    back as one array and are confirmed next to its texts.
     """
     texts = None
-    for s in SOURCES:
+    for n, s in enumerate(SOURCES):
         part = cards.select(
-            key, F.lit(s).alias("source"), F.posexplode(f"_texts_{s}").alias("_no", "_text")
+            key, F.lit(n).alias("source_no"), F.lit(s).alias("source"), F.posexplode(f"_texts_{s}").alias("no", "_text")
         )
         texts = part if texts is None else texts.unionByName(part)
     lead = rf"{text.NOT_AFTER_WORD}({text.WORD}+|[^\p{{L}}\p{{N}}_\s])"
     tokens = texts.select(
-        "*", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(lead), F.lit(1)))).alias("_lead")
+        key, "source_no", "source", "no",
+        F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(lead), F.lit(1)))).alias("_lead"),
     )
-    keyed = rules.select("number", "phrase", F.regexp_extract("phrase", lead, 1).alias("_lead"))
-    quoted = F.concat(F.lit(r"\Q"), F.col("phrase"), F.lit(r"\E"))
-    found = tokens.join(keyed, "_lead").filter(
-        F.contains("_text", F.col("phrase"))
-        & F.rlike("_text", F.concat(F.lit(text.NOT_AFTER_WORD), quoted, F.lit(text.NOT_BEFORE_WORD)))
+    keyed = rules.filter("phrase <> ''").select(
+        "number", F.regexp_extract("phrase", lead, 1).alias("_lead"),
+        F.struct(
+            _mark_words(F.col("phrase")).alias("marked"),
+            F.col("phrase").alias("plain"),
+            # a mark at both ends makes the substring test complete
+            F.rlike("phrase", F.lit(rf"^{text.WORD}(.*{text.WORD})?$")).alias("closed"),
+        ).alias("phrase"),
     )
-    per_card = found.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("source", "_no", "number"))).alias("_raw")
+    candidates = tokens.join(keyed, "_lead").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("source_no", "no", "number", "phrase", "source"))).alias("_candidates")
     )
-    order = F.transform(
-        "_raw", lambda h: F.struct(h["source"].alias("source"), h["number"].alias("number"))
+    joined = cards.join(candidates, key, "left").withColumns(
+        {f"_marked_{s}": F.transform(f"_texts_{s}", _mark_words) for s in SOURCES}
+    )
+
+    def own(c: Column, prefix: str) -> Column:
+        out = F.get(f"{prefix}_title", F.lit(0))
+        for s in SOURCES[1:]:
+            out = F.when(c["source"] == s, F.get(f"{prefix}_{s}", c["no"])).otherwise(out)
+        return out
+
+    def confirmed(c: Column) -> Column:
+        pattern = F.concat(
+            F.lit(text.NOT_AFTER_WORD + r"\Q"), c["phrase"]["plain"], F.lit(r"\E" + text.NOT_BEFORE_WORD)
+        )
+        return F.contains(own(c, "_marked"), c["phrase"]["marked"]) & (
+            c["phrase"]["closed"] | F.rlike(own(c, "_texts"), pattern)
+        )
+
+    found = F.transform(
+        F.filter("_candidates", confirmed),
+        lambda c: F.struct(c["source"].alias("source"), c["number"].alias("number")),
     )
-    return cards.join(per_card.select(key, order.alias("_found")), key, "left").withColumn(
-        "_found", F.coalesce("_found", F.array().cast("array<struct<source:string,number:int>>"))
+    none = F.array().cast("array<struct<source:string,number:int>>")
+    return joined.withColumn("_found", F.coalesce(found, none)).drop(
+        "_candidates", *[f"_marked_{s}" for s in SOURCES]
     )
 
 
@@ -201,7 +245,8 @@ def category_scores(hits: Column, official: Column) -> Column:
     )
 
     def total(rows: Column) -> Column:
-        return F.aggregate(rows, F.lit(0.0), lambda a, h: a + h["score"])
+        # rounded far below any threshold, so the order of the hits cannot matter
+        return F.round(F.aggregate(rows, F.lit(0.0), lambda a, h: a + h["score"]), 9)
 
     def score(c: Column) -> Column:
         own = F.filter(hits, lambda h: h["category_no"] == c["no"])
@@ -213,7 +258,7 @@ def category_scores(hits: Column, official: Column) -> Column:
             own_official,
         )
         return F.struct(
-            (-F.round(total(evidence), 9)).alias("sort"), c["no"].alias("category_no"), c["id"].alias("id"),
+            (-total(evidence)).alias("sort"), c["no"].alias("category_no"), c["id"].alias("id"),
             total(evidence).alias("score"), evidence.alias("evidence"),
         )
 
