@@ -164,6 +164,8 @@ def hits_by_join(cards: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     joined = cards.join(candidates, key, "left").withColumns(
         {f"_marked_{s}": F.transform(f"_texts_{s}", _mark_words) for s in SOURCES}
     )
+    # held: inlined into the per-candidate test they would be computed per candidate
+    joined = hold(joined, *[f"_marked_{s}" for s in SOURCES])
 
     def own(c: Column, prefix: str) -> Column:
         out = F.get(f"{prefix}_title", F.lit(0))
