@@ -11,7 +11,7 @@ from driftlane.operators import terms as tm
 
 ITEMS = """
 li AS (
-  SELECT o_custkey AS snapshot_id, l_orderkey * 10 + l_linenumber AS video_id, l_linenumber AS position, p_type,
+  SELECT o_custkey AS snapshot_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS video_id, l_linenumber AS position, p_type,
     concat('b', l_partkey % 5) AS brand, l_linestatus = 'O' AS target,
     CASE l_returnflag WHEN 'R' THEN 1.0 WHEN 'A' THEN 0.8 ELSE 0.2 END AS cw, l_returnflag,
     1 / log2(greatest(1, l_linenumber) + 1) AS rw, l_tax > 0 AS enriched,
@@ -53,7 +53,7 @@ def items(spark, sf_dir):
     ])
     rows = joined.select(
         F.col("o_custkey").alias("snapshot_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("video_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("video_id"),
         F.col("l_linenumber").alias("position"),
         F.when(F.col("l_returnflag") == "R", "high").when(F.col("l_returnflag") == "A", "medium").otherwise("unknown").alias("confidence"),
         F.when(F.col("l_tax") > 0, "enriched").otherwise("home_visible").alias("mode"),
