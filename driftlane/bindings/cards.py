@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftlane.bindings import bound, table
 from driftlane.functions import text
 from driftlane.functions import weights as wt
+from driftlane.functions.plan import spread
 from driftlane.operators import classify as k
 from driftlane.sources.rulebook import RuleBook, folded
 
@@ -110,7 +111,7 @@ decided AS (SELECT doc_id, top.cat AS top_category,
 
 def cards(spark, sf_dir):
     body = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id",
         F.substring_index(body, "\n", 1).alias("title"),
         F.when(F.instr(body, "\n") > 0, F.substr(body, F.instr(body, "\n") + 1)).alias("description"),

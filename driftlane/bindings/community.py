@@ -24,7 +24,7 @@ def profiles(spark, sf_dir):
     cut to the caps of a submission.
     """
     obs = daily(spark, sf_dir)
-    trends = lg.interest_trends(obs, lg.last_day(obs))
+    trends = lg.interest_trends(obs, lg.last_day(events(spark, sf_dir)))
     interests = trends.groupBy("profile_id").agg(
         F.collect_list(
             F.struct(

@@ -186,7 +186,7 @@ SELECT profile_id, string_agg(CAST(key AS VARCHAR), '|' ORDER BY rank) AS top_in
 """)
 def library_index(spark, sf_dir):
     obs = daily(spark, sf_dir)
-    rows = lg.interest_trends(obs, lg.last_day(obs)).groupBy("profile_id").agg(
+    rows = lg.interest_trends(obs, lg.last_day(events(spark, sf_dir))).groupBy("profile_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", F.col("key").cast("string").alias("id"), F.col("weight").alias("predicted_weight"), "trend_state"))),
             lambda r: F.struct(r["id"].alias("id"), r["id"].alias("name_vi"), r["predicted_weight"].alias("predicted_weight"), r["trend_state"].alias("trend_state")),

@@ -12,6 +12,7 @@ from driftlane.bindings import bound
 from driftlane.bindings.events import EV, events
 from driftlane.functions import identity
 from driftlane.functions import weights as wt
+from driftlane.functions.plan import spread
 from driftlane.operators import ingest, validate
 from driftlane.operators import interactions as ia
 from driftlane.sources import readers, schemas
@@ -275,7 +276,7 @@ def raw_lines(spark, sf_dir):
         F.when(k % 11 == 0, "typed words").alias("text"),
         F.when(k % 7 == 0, F.struct(F.lit("x").alias("message"))).alias("context"),
     )
-    return events(spark, sf_dir).select("event_id", "user_id", F.to_json(body).alias("value"))
+    return spread(events(spark, sf_dir), "event_id").select("event_id", "user_id", F.to_json(body).alias("value"))
 
 
 @bound("interaction_validate", f"""

@@ -67,8 +67,8 @@ trend AS (
 
 
 def _trends(spark, sf_dir):
-    obs = daily(spark, sf_dir)
-    return lg.interest_trends(obs, lg.last_day(obs))
+    # the newest day comes from the events themselves, not from the derived table
+    return lg.interest_trends(daily(spark, sf_dir), lg.last_day(events(spark, sf_dir)))
 
 
 @bound("decayed_windows", f"""
@@ -77,8 +77,7 @@ SELECT profile_id, key, round(today, 6) AS today, round(w7d, 6) AS w7d, round(w3
        round(long, 6) AS long, round(prev7d, 6) AS prev7d FROM wins
 """)
 def decayed_windows(spark, sf_dir):
-    obs = daily(spark, sf_dir)
-    return lg.window_table(obs, lg.last_day(obs)).select(
+    return lg.window_table(daily(spark, sf_dir), lg.last_day(events(spark, sf_dir))).select(
         "profile_id", "key", *[_r(w) for w in ("today", "w7d", "w30d", "long", "prev7d")]
     )
 
@@ -98,8 +97,7 @@ SELECT profile_id, key, CAST(first_seen AS VARCHAR) AS first_seen, CAST(last_see
        CAST(last_before AS VARCHAR) AS last_before, days_present, history_days FROM wins
 """)
 def presence_stats(spark, sf_dir):
-    obs = daily(spark, sf_dir)
-    return lg.window_table(obs, lg.last_day(obs)).select(
+    return lg.window_table(daily(spark, sf_dir), lg.last_day(events(spark, sf_dir))).select(
         "profile_id", "key", _day("first_seen"), _day("last_seen"), _day("last_before"), "days_present", "history_days"
     )
 
@@ -122,9 +120,8 @@ WITH {DAILY.replace("evalday AS (SELECT max(day) AS as_of FROM daily)",
 SELECT CAST(as_of AS VARCHAR) AS as_of, profile_id, key, trend_state, round(weight, 6) AS weight FROM trend
 """)
 def trend_backfill(spark, sf_dir):
-    obs = daily(spark, sf_dir)
-    first, last = (obs.agg(f("day")).scalar() for f in (F.min, F.max))
-    return lg.interest_trends(obs, (first, last)).select(
+    first, last = (events(spark, sf_dir).agg(f("day")).scalar() for f in (F.min, F.max))
+    return lg.interest_trends(daily(spark, sf_dir), (first, last)).select(
         _day("as_of"), "profile_id", "key", "trend_state", _r("weight")
     )
 
@@ -160,8 +157,7 @@ terms AS (
 SELECT * FROM terms QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY weight DESC, key) <= 40
 """)
 def term_trends(spark, sf_dir):
-    obs = term_daily(spark, sf_dir)
-    return lg.term_trends(obs, lg.last_day(obs), 40).select("profile_id", "key", "weight", "trend_state")
+    return lg.term_trends(term_daily(spark, sf_dir), lg.last_day(events(spark, sf_dir)), 40).select("profile_id", "key", "weight", "trend_state")
 
 
 SURF = EV + """,
@@ -325,7 +321,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY round(w
 
 def _interest_rows(spark, sf_dir):
     obs = daily(spark, sf_dir)
-    as_of = lg.last_day(obs)
+    as_of = lg.last_day(events(spark, sf_dir))
     today_rows = surface_rows(spark, sf_dir)
     today_rows = today_rows.filter(F.col("day") == as_of)
     today = lg.combine_surfaces(today_rows, ["profile_id", "day"])

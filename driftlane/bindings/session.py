@@ -261,7 +261,8 @@ def effective_categories(spark, sf_dir):
 
     content = F.array(cat(F.col("p_type"), 0.7), cat(F.lit("other"), 0.3))
     target = F.when(F.col("l_linestatus") == "O", F.array(cat(F.lit("third"), 0.6), cat(F.col("p_type"), 0.4)))
-    rows_ = joined.select("l_orderkey", "l_linenumber", F.explode(ex.blend_categories(content, target, 0.85, 0.15)).alias("c"))
+    blended = ex.blend_categories(joined, content, target, 0.85, 0.15)
+    rows_ = blended.select("l_orderkey", "l_linenumber", F.explode_outer("categories").alias("c"))
     return rows_.filter(~F.col("c.id").isin("other", "third")).select(
         "l_orderkey", "l_linenumber", F.col("c.id").alias("category_id"), F.round("c.share", 6).alias("share")
     )

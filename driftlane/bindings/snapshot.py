@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftlane.bindings import bound, table
 from driftlane.functions import weights as wt
+from driftlane.functions.plan import spread
 from driftlane.operators import exposure as ex
 from driftlane.operators import terms as tm
 
@@ -39,7 +40,7 @@ def _cat(name, share):
 
 
 def items(spark, sf_dir):
-    lineitem = table(spark, sf_dir, "lineitem")
+    lineitem = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     joined = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(

@@ -23,3 +23,13 @@ def micros(time: str | Column) -> Column:
     """Microseconds since 1970 of a timestamp with or without time zone."""
     col = F.col(time) if isinstance(time, str) else time
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Uses all cores for a CPU-heavy projection over an input of few splits.
+
+    Large inputs have more splits than cores and pass through unchanged, so no
+    shuffle is added where it would cost something.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -184,7 +184,8 @@ def first_per_key(values: Column, keys: Column) -> Column:
         key = F.element_at(keys, i + 1)
         return (key != "") & (F.array_position(keys, key) == i + 1)
 
-    return F.filter(values, first)
+    clean = (F.size(F.array_distinct(keys)) == F.size(keys)) & ~F.array_contains(keys, "")
+    return F.when(clean, values).otherwise(F.filter(values, first))
 
 
 def tag_consistency(tag_key: Column, content: Column, topics: Column | None = None) -> Column:

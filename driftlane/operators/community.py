@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftlane.functions import fixed, text
 from driftlane.functions import weights as wt
+from driftlane.functions.plan import hold
 
 MATCH = 0.08
 USABLE = 0.30
@@ -49,17 +50,20 @@ def _last_by_id(rows: Column) -> Column:
     trimmed = F.filter(rows, lambda r: F.trim(F.coalesce(r["id"], F.lit(""))) != "")
     ids = F.transform(trimmed, lambda r: F.trim(r["id"]))
     size = F.size(ids)
-    return F.filter(
+    last = F.filter(
         trimmed,
         lambda r, i: F.array_position(F.reverse(ids), F.trim(r["id"])) == (size - i).cast("bigint"),
     )
+    # repeated ids are rare; without them no position has to be looked up
+    return F.when(F.size(F.array_distinct(ids)) == size, trimmed).otherwise(last)
 
 
 def interest_rows(weighted: DataFrame) -> DataFrame:
     """One row per profile and category: interest, trend, matched flag."""
     rows = weighted.select(
-        "participant_id", "profile_key", "pweight", F.explode(_last_by_id(F.col("interest_weights"))).alias("_i")
-    )
+        "participant_id", "profile_key", "pweight",
+        F.explode_outer(_last_by_id(F.col("interest_weights"))).alias("_i"),
+    ).filter("_i is not null")
     interest = wt.clamp(F.coalesce("_i.predicted_weight", F.lit(0.0)))
     return rows.select(
         "participant_id", "profile_key", "pweight",
@@ -195,16 +199,13 @@ def lane_term_rows(weighted: DataFrame, field: str) -> DataFrame:
         "participant_id", "profile_key", "pweight", _matched_lanes().alias("_lanes"),
         F.filter(F.col(field), lambda r: r["value"].isNotNull()).alias("_terms"),
     )
-    base = base.filter(F.size("_lanes") > 0).withColumn(
-        "_keys", text.term_keys(F.transform("_terms", lambda r: r["value"]))
-    )
+    base = hold(base, "_lanes", "_terms").filter(F.size("_lanes") > 0)
+    base = hold(base.withColumn("_keys", text.term_keys(F.transform("_terms", lambda r: r["value"]))), "_keys")
     keyed = F.zip_with("_terms", "_keys", lambda r, k: F.struct(r.alias("row"), k.alias("key")))
-    first = F.filter(
-        keyed, lambda p, i: (p["key"] != "") & (F.array_position("_keys", p["key"]) == i + 1)
-    )
+    first = text.first_per_key(keyed, F.col("_keys"))
     rows = base.withColumn("_first", first).select(
-        "participant_id", "profile_key", "pweight", "_lanes", F.explode("_first").alias("_t")
-    )
+        "participant_id", "profile_key", "pweight", "_lanes", F.explode_outer("_first").alias("_t")
+    ).filter("_t is not null")
     trend = F.coalesce(F.nullif("_t.row.trend_state", F.lit("")), F.lit("baseline"))
     rows = rows.select(
         "participant_id", "profile_key", "pweight", "_lanes",
@@ -251,8 +252,9 @@ def expansion_terms(rows: DataFrame, core: DataFrame, keep: int = 8, leading: in
 def lane_intents(weighted: DataFrame) -> DataFrame:
     """Intent mix per lane with rank 1 for the top intent."""
     rows = weighted.select(
-        "pweight", _matched_lanes().alias("_lanes"), F.explode("intent_weights").alias("_i")
-    ).filter(F.trim(F.coalesce("_i.id", F.lit(""))) != "")
+        "pweight", _matched_lanes().alias("_lanes"), "intent_weights"
+    )
+    rows = hold(rows, "_lanes").select("pweight", "_lanes", F.explode("intent_weights").alias("_i")).filter(F.trim(F.coalesce("_i.id", F.lit(""))) != "")
     rows = rows.select(
         F.explode("_lanes").alias("category_id"), F.trim("_i.id").alias("intent_id"),
         F.coalesce("_i.label", "_i.id").alias("label"),

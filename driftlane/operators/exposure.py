@@ -13,41 +13,50 @@ from pyspark.sql import functions as F
 
 from driftlane.functions import fixed
 from driftlane.functions import weights as wt
+from driftlane.functions.plan import hold
 
 VECTOR = "array<struct<id:string,name:string,share:double>>"
 
 
-def blend_categories(content: Column, target: Column, content_weight: float, target_weight: float) -> Column:
-    """Two category vectors mixed per id and renormalised, best first.
+def blend_categories(
+    items: DataFrame, content: Column, target: Column, content_weight: float, target_weight: float, out: str = "categories"
+) -> DataFrame:
+    """Adds two category vectors mixed per id and renormalised, best first.
 
-    Ids on one side only keep their part, as in a full outer join.
+    Ids on one side only keep their part, as in a full outer join. The merged
+    vector and its total are held, so no lambda computes them again.
     """
     none = F.array().cast("array<struct<id:string,name:string,share:double,raw_score:double>>")
-    a, b = F.coalesce(content, none), F.coalesce(target, none)
-    both = F.concat(
-        F.transform(a, lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), (c["share"] * content_weight).alias("share"))),
-        F.transform(b, lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), (c["share"] * target_weight).alias("share"))),
-    )
-    ids = F.array_distinct(F.transform(both, lambda c: c["id"]))
-    total = F.aggregate(both, F.lit(0.0), lambda s, c: s + F.coalesce(c["share"], F.lit(0.0)))
+    rows = items.withColumns({"_a": F.coalesce(content, none), "_b": F.coalesce(target, none)})
 
-    def merged(cid: Column) -> Column:
-        own = F.filter(both, lambda c: c["id"] == cid)
-        share = F.aggregate(own, F.lit(0.0), lambda s, c: s + F.coalesce(c["share"], F.lit(0.0)))
+    def entry(c: Column, share: Column) -> Column:
         return F.struct(
-            (-share).alias("sort"), cid.alias("id"), F.coalesce(F.get(own, F.lit(0))["name"], cid).alias("name"),
-            (share / total).alias("share"),
+            (-share).alias("sort"), c["id"].alias("id"), F.coalesce(c["name"], c["id"]).alias("name"), share.alias("share")
         )
 
-    ranked = F.array_sort(F.transform(F.filter(ids, lambda i: F.coalesce(i, F.lit("")) != ""), merged))
-    out = F.transform(ranked, lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), c["share"].alias("share")))
-    return F.when(total > 0, out).otherwise(F.array().cast(VECTOR))
+    def with_target(c: Column) -> Column:
+        other = F.get(F.filter("_b", lambda t: t["id"] == c["id"]), F.lit(0))["share"]
+        return entry(c, c["share"] * content_weight + F.coalesce(other * target_weight, F.lit(0.0)))
+
+    only_target = F.filter("_b", lambda t: ~F.exists("_a", lambda c: c["id"] == t["id"]))
+    merged = F.concat(
+        F.transform("_a", with_target), F.transform(only_target, lambda t: entry(t, t["share"] * target_weight))
+    )
+    rows = rows.withColumn("_merged", F.array_sort(F.filter(merged, lambda c: F.coalesce(c["id"], F.lit("")) != "")))
+    rows = hold(rows.drop("_a", "_b"), "_merged")
+    total = F.aggregate("_merged", F.lit(0.0), lambda s, c: s + F.coalesce(c["share"], F.lit(0.0)))
+    rows = hold(rows.withColumn("_total", total), "_total")
+    vector = F.transform(
+        "_merged",
+        lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), (c["share"] / F.col("_total")).alias("share")),
+    )
+    return rows.withColumn(out, F.when(F.col("_total") > 0, vector).otherwise(F.array().cast(VECTOR))).drop("_merged", "_total")
 
 
 def effective_categories(items: DataFrame) -> DataFrame:
     """Adds ``categories``: .78 content + .22 target where a target exists."""
     target = F.when(F.col("target_profile.available"), F.col("target_profile.categories"))
-    return items.withColumn("categories", blend_categories(F.col("classification.categories"), target, 0.78, 0.22))
+    return blend_categories(items, F.col("classification.categories"), target, 0.78, 0.22)
 
 
 def effective_intents(items: DataFrame) -> DataFrame:
@@ -59,15 +68,17 @@ def effective_intents(items: DataFrame) -> DataFrame:
         "intent_profile.intents",
         lambda r: (F.coalesce(r["id"], F.lit("")) != "") & ~((r["id"] == "news") & F.coalesce(weak, F.lit(False))),
     )
-    total = F.aggregate(kept, F.lit(0.0), lambda s, r: s + r["share"])
+    rows = items.withColumn("_kept", kept)
+    total = F.aggregate("_kept", F.lit(0.0), lambda s, r: s + r["share"])
+    rows = hold(rows.withColumn("_total", total), "_kept", "_total")
     vector = F.transform(
-        kept,
+        "_kept",
         lambda r: F.struct(
             r["id"].alias("id"), r["name"].alias("name"),
-            F.when(total > 0, r["share"] / total).otherwise(r["share"]).alias("share"),
+            F.when(F.col("_total") > 0, r["share"] / F.col("_total")).otherwise(r["share"]).alias("share"),
         ),
     )
-    return items.withColumn("intents", F.coalesce(vector, F.array().cast(VECTOR)))
+    return rows.withColumn("intents", F.coalesce(vector, F.array().cast(VECTOR))).drop("_kept", "_total")
 
 
 def text_key(phrase: Column) -> Column:
@@ -93,7 +104,8 @@ def with_weights(items: DataFrame) -> DataFrame:
 def contributions(items: DataFrame, group: list[str]) -> DataFrame:
     """One row per card and category with its contribution."""
     keep = [c for c in items.columns if c != "categories"]
-    rows = items.select(*keep, F.explode("categories").alias("_c"))
+    # outer: a plain explode would test the vector once more to drop empty ones
+    rows = items.select(*keep, F.explode_outer("categories").alias("_c"))
     return rows.select(
         *keep, F.col("_c.id").alias("category_id"), F.col("_c.name").alias("category_name"),
         (F.col("_c.share") * F.col("rank_weight") * F.col("confidence_weight")).alias("contribution"),
@@ -146,7 +158,7 @@ def shape(dist: DataFrame, group: list[str]) -> DataFrame:
 
 def intent_mix(rows: DataFrame, group: list[str], k: int = 3) -> DataFrame:
     """Leading intents of every category. ``rows`` still carry ``intents``."""
-    pairs = rows.select(*group, "category_id", "contribution", F.explode("intents").alias("_i"))
+    pairs = rows.select(*group, "category_id", "contribution", F.explode_outer("intents").alias("_i"))
     sums = pairs.groupBy(*group, "category_id", F.col("_i.id").alias("intent_id")).agg(
         F.sum(F.col("contribution") * F.col("_i.share")).alias("w")
     )

@@ -14,10 +14,7 @@ from driftlane.operators.exposure import blend_categories
 
 def item_categories(items: DataFrame) -> DataFrame:
     """Adds ``categories``: .85 content + .15 target, renormalised."""
-    return items.withColumn(
-        "categories",
-        blend_categories(F.col("classification.categories"), F.col("target_profile.categories"), 0.85, 0.15),
-    )
+    return blend_categories(items, F.col("classification.categories"), F.col("target_profile.categories"), 0.85, 0.15)
 
 
 def select_surfaces(snapshots: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def term_scores(items: DataFrame, group: list[str]) -> DataFrame:
         F.transform("_scored", lambda r: row("keyword", r["t"], r["s"] * 0.70)),
         F.transform("_topics", lambda t: row("keyword", t, F.col("weight") * 0.90)),
     )
-    rows = base.select(*group, "position", F.explode(all_rows).alias("_r"))
+    rows = base.select(*group, "position", F.explode_outer(all_rows).alias("_r"))
     display = F.ltrim(F.trim("_r.value"), F.lit("#"))
     keyed = rows.select(
         *group, "position", F.col("_r.field").alias("field"), text.term_key(display).alias("key"),

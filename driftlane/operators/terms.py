@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlane.functions import text
 from driftlane.functions import weights as wt
+from driftlane.functions.plan import hold
 
 SOURCES = ["classifier_evidence", "creator_tag", "hashtag", "youtube_topic"]
 SURFACES = ["home", "up_next", "subscriptions"]
@@ -35,7 +36,7 @@ def card_terms(cards: DataFrame, scope: list[str], tag_base: float, topic_factor
     tags = F.filter(F.coalesce("tags", empty), lambda t: F.trim(F.coalesce(t, F.lit(""))) != "")
     found = text.hashtags(F.col("title"), F.col("description")) if hashtag_factor is not None else empty
     base = cards.withColumns({"_topics": topics, "_tags": tags, "_hashtags": found})
-    base = base.withColumns(
+    base = hold(base, "_topics", "_tags", "_hashtags").withColumns(
         {
             "_content": text.term_key(
                 F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
@@ -63,14 +64,14 @@ def card_terms(cards: DataFrame, scope: list[str], tag_base: float, topic_factor
     parts = [F.col("_tag_rows"), plain(F.col("_topics"), "youtube_topic")]
     if hashtag_factor is not None:
         parts.append(plain(text.first_per_key(F.col("_hashtags"), F.col("_hashtag_keys")), "hashtag"))
-    per_card = base.withColumn("_common", F.concat(*parts)).select(
+    per_card = hold(base.withColumn("_common", F.concat(*parts)), "_common").select(
         *scope, "video_id", "surface", "position", "weight", "evidence", "_common", F.explode("categories").alias("_c")
     )
     cid = F.col("_c.id")
     rows = per_card.select(
         *scope, cid.alias("category_id"), "video_id", "surface", "position",
         (F.col("weight") * F.col("_c.share")).alias("contribution"),
-        F.explode(
+        F.explode_outer(
             F.concat("_common", plain(evidence_terms(F.col("evidence")[cid]), "classifier_evidence"))
         ).alias("_t"),
     ).filter("contribution > 0")

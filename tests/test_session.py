@@ -68,7 +68,7 @@ def test_behavior_name(spark, top, diversity, name):
 def test_category_blend_keeps_ids_of_either_side(spark):
     kind = "array<struct<id:string,name:string,share:double,raw_score:double>>"
     df = spark.createDataFrame([([("a", "A", .6, 1.0), ("b", "B", .4, 1.0)], [("c", "C", 1.0, 1.0)])], f"x {kind}, y {kind}")
-    row = df.select(ex.blend_categories(F.col("x"), F.col("y"), .85, .15).alias("v")).first().v
+    row = ex.blend_categories(df, F.col("x"), F.col("y"), .85, .15).first().categories
     assert [(c.id, round(c.share, 4)) for c in row] == [("a", .51), ("b", .34), ("c", .15)]
 
 
