@@ -116,8 +116,9 @@ lane_intent2 AS (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY
 
 
 def weighted(spark, sf_dir):
-    """Usable profiles with their weight; staged, as every table reads it."""
-    return stage(cm.balanced_weights(cm.usable(profiles(spark, sf_dir))))
+    """Usable profiles with their weight; the profile table is staged, as the
+    report reads it several times."""
+    return cm.balanced_weights(cm.usable(stage(profiles(spark, sf_dir))))
 
 
 def _long(name):
