@@ -6,6 +6,6 @@ from driftlane.llm import base
 
 
 def load_all():
-    from driftlane.llm import decontaminate  # noqa: F401
+    from driftlane.llm import bpe, decontaminate, quality  # noqa: F401
 
     return base.QUERIES, base.ORACLES
