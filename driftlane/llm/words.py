@@ -119,18 +119,17 @@ def inside(first: np.ndarray, size: int) -> np.ndarray:
         at = first[1:-1] - back
         at = at[(at >= 0) & (at < n)]
         ok[at] = False
-    # a text shorter than the window can end before its own first word minus back
     return np.flatnonzero(ok)
 
 
-def slices(column: pa.Array, lower: bool) -> Iterator[tuple[int, Words]]:
+def slices(column: pa.Array, lower: bool, separators: np.ndarray = SPACES) -> Iterator[tuple[int, Words]]:
     """The texts of a column in slices: number of the first text, and words."""
     data, offsets = buffers(column)
     n, at = len(offsets) - 1, 0
     while at < n:
         upto = int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1
         upto = min(n, max(upto, at + 1))
-        yield at, Words(data, offsets[at:upto + 1], lower)
+        yield at, Words(data, offsets[at:upto + 1], lower, separators)
         at = upto
 
 
