@@ -234,7 +234,7 @@ def linked(documents: DataFrame, shingle: int, percent: int, coordinates: int =
     sets = texts.mapInArrow(gather, "node long, shingles binary").dropDuplicates(["node"])
     work = placed.join(sets, "node").join(classes.select("node", "signature"), "node")
 
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(tile_links(rows, percent, least), columns=["a", "b"], dtype="int64")
 
     links = work.groupBy("tile").applyInPandas(compare, "a long, b long")
