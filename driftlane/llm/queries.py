@@ -6,6 +6,6 @@ from driftlane.llm import base
 
 
 def load_all():
-    from driftlane.llm import bpe, decontaminate, minhash, pii, quality  # noqa: F401
+    from driftlane.llm import bpe, decontaminate, minhash, pii, quality, substrings  # noqa: F401
 
     return base.QUERIES, base.ORACLES
