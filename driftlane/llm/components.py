@@ -36,3 +36,29 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         before = state
     nodes = edges.select("u", F.col("v").alias("component_id")).union(edges.select("v", "v")).distinct()
     return nodes.toDF("node", "component_id")
+
+
+def least_ids(links: DataFrame, nodes: DataFrame, node: str, id_: str) -> DataFrame:
+    """(node, least_id) of every linked node: the smallest non-null ``id_`` among the nodes reachable."""
+    joined = held(components(links, "a", "b").join(nodes.select(F.col(node).alias("node"), F.col(id_).alias("_id")), "node"))
+    least = joined.groupBy("component_id").agg(F.min("_id").alias("least_id"))
+    return joined.join(least, "component_id").select("node", "least_id")
+
+
+def forest(a: list[int], b: list[int], n: int) -> list[tuple[int, int]]:
+    """Links among 0..n-1 that join what the pairs (a, b) join: n - 1 of them at most (inside a task)."""
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(a, b):
+        p, q = top(x), top(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlane.llm.base import bound, held, table
-from driftlane.llm.components import components
+from driftlane.llm.components import forest, least_ids
 from driftlane.llm.words import blobs, inside, mix, slices, window_hashes
 
 COORDINATES = 64
@@ -146,25 +146,6 @@ def tiles(posted: DataFrame, sizes: DataFrame) -> DataFrame:
     return ends.join(chunk, "chunk").select("node", "tile", "side")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Links that join what (a, b) joins, at most n - 1 of them."""
-    parent = list(range(n))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = top(x), top(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
 def tile_links(rows: pd.DataFrame, percent: int, least: int) -> list[tuple[int, int]]:
     """Spanning links of one tile: pairs with 100 * intersection >= percent * union, confirmed on whole sets."""
     rows = rows.sort_values("node", ignore_index=True)
@@ -201,7 +182,7 @@ def tile_links(rows: pd.DataFrame, percent: int, least: int) -> list[tuple[int,
         left.append(np.full(len(other), i))
         right.append(other)
     node = rows["node"].to_numpy()
-    return [(int(node[x]), int(node[y])) for x, y in _forest(np.concatenate(left), np.concatenate(right), n)]
+    return [(int(node[x]), int(node[y])) for x, y in forest(np.concatenate(left).tolist(), np.concatenate(right).tolist(), n)]
 
 
 def linked(documents: DataFrame, shingle: int, percent: int, coordinates: int = COORDINATES) -> DataFrame:
@@ -238,9 +219,7 @@ def linked(documents: DataFrame, shingle: int, percent: int, coordinates: int =
         return pd.DataFrame(tile_links(rows, percent, least), columns=["a", "b"], dtype="int64")
 
     links = work.groupBy("tile").applyInPandas(compare, "a long, b long")
-    joined = held(components(links, "a", "b").join(classes.select("node", "doc_id"), "node"))
-    least_id = joined.groupBy("component_id").agg(F.min("doc_id").alias("least_id"))
-    joined = joined.join(least_id, "component_id").select(F.col("node").alias("_node"), "least_id", F.lit(True).alias("_linked"))
+    joined = least_ids(links, classes, "node", "doc_id").select(F.col("node").alias("_node"), "least_id", F.lit(True).alias("_linked"))
     per_class = classes.select(F.col("set_key").alias("_key"), F.col("node").alias("_node"), F.col("doc_id").alias("_id")).join(
         joined, "_node", "left").select("_key", F.expr("if(_linked, least_id, _id)").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "set_key").join(per_class, F.col("set_key") == F.col("_key"), "left")
