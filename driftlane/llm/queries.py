@@ -6,6 +6,6 @@ from driftlane.llm import base
 
 
 def load_all():
-    from driftlane.llm import bpe, decontaminate, minhash, neighbours, pii, quality, substrings  # noqa: F401
+    from driftlane.llm import bpe, decontaminate, html, licenses, minhash, neighbours, pii, quality, substrings, toxicity  # noqa: F401
 
     return base.QUERIES, base.ORACLES
