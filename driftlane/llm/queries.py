@@ -8,4 +8,6 @@ from driftlane.llm import base
 def load_all():
     from driftlane.llm import bpe, decontaminate, html, licenses, minhash, neighbours, pii, quality, substrings, toxicity  # noqa: F401
 
+    import corpus_pipeline  # noqa: F401
+
     return base.QUERIES, base.ORACLES

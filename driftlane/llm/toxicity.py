@@ -76,8 +76,11 @@ def bucket_texts(texts: DataFrame) -> DataFrame:
 
 
 def chosen_buckets(texts: DataFrame, positives: int, unlabelled: int) -> np.ndarray:
-    """Buckets that positives have more often than unlabelled texts by five standard errors, the clearest first."""
-    least = F.col("n") >= 3
+    """Buckets that positives have more often than unlabelled texts by four standard errors, the clearest first.
+
+    One in a hundred positives must have the bucket, so that words of one family of copies don't count.
+    """
+    least = F.col("n") >= max(4, positives // 100)
     rows = bucket_texts(texts).groupBy("bucket").pivot("positive", [0, 1]).agg(F.sum("n")).fillna(0).withColumnRenamed("1", "n").where(least)
     got = rows.select("bucket", "n", F.col("0").alias("u")).toArrow()  # BUCKETS rows at most
     bucket, n, u = (got.column(k).to_numpy() for k in range(3))
@@ -85,7 +88,7 @@ def chosen_buckets(texts: DataFrame, positives: int, unlabelled: int) -> np.ndar
     both = (n + u) / max(positives + unlabelled, 1)
     z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / max(positives, 1) + 1 / max(unlabelled, 1)))
     order = np.argsort(-z, kind="stable")
-    return bucket[order[z[order] > 5]][:FEATURES]
+    return bucket[order[z[order] > 4]][:FEATURES]
 
 
 def present(texts: DataFrame, buckets: np.ndarray) -> DataFrame:
@@ -143,7 +146,7 @@ def trained(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]
     pos = known.where("toxic = 1").select("doc_id").distinct().orderBy(by, "doc_id").limit(POSITIVES)
     unl = documents.select("doc_id").where("doc_id is not null").distinct().orderBy(by, "doc_id").limit(UNLABELLED)
     ids = pos.withColumn("positive", F.lit(1)).union(unl.withColumn("positive", F.lit(0)))
-    sample = held(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "positive"))
+    sample = held(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "positive").dropDuplicates(["positive", "text"]))
     sizes = dict(sample.groupBy("positive").count().collect())
     weights = np.zeros(BUCKETS)
     if not sizes.get(1):
