@@ -134,6 +134,8 @@ def notices(words: np.ndarray, template: np.ndarray, least: float) -> list[tuple
             upto = min(end, at + 2 * n)
             match = aligned(words[at:upto].tolist(), wanted)
             if len(match) >= least * n:
+                at += match[0][0]  # the stretch may have cut the notice's end
+                match = aligned(words[at:at + 2 * n].tolist(), wanted)
                 out.append((len(match), at + match[0][0], at + match[-1][0] + 1))
                 at += match[-1][0] + 1
             else:

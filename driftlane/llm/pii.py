@@ -4,7 +4,7 @@ Addresses, card and phone numbers are found by patterns. The rest is information
 term and a protected value, the corpus says how often the term occurs, in how many of those places
 the value stands within ``NEAR`` words, and so how likely the value is given the term. Terms whose
 disclosure reaches the threshold are generalised wherever they occur. Places are counted by
-fingerprint (the least word hash around the term), so that copies of one passage count once.
+fingerprint (the least word hashes before and after the term), so that copies of one passage count once.
 
 A null text has no spans and stays null. Rows with the same id and text get the same spans. A null
 id is a value like any other. Spans count code points, end exclusive. Extra columns pass through
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlane.llm.base import bound, held, table
-from driftlane.llm.words import Words, slices
+from driftlane.llm.words import Words, mix, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -90,15 +90,21 @@ def value_hash(kind: int, value: str) -> int:
 
 
 def fingerprints(hashes: np.ndarray, text_of: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Least hash among the NEAR words on both sides of each place, within its text."""
-    least = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
-    for step in (*range(-NEAR, 0), *range(1, NEAR + 1)):
-        other = at + step
-        ok = (other >= 0) & (other < len(hashes))
-        other = np.where(ok, other, at)
-        ok &= text_of[other] == text_of[at]
-        least = np.where(ok, np.minimum(least, hashes[other]), least)
-    return least
+    """The least hashes among the NEAR words before and after each place, within its text, as one number.
+
+    Copies with a few changed words mostly agree, as neither least word need be a changed one.
+    """
+    sides = []
+    for steps in (range(-NEAR, 0), range(1, NEAR + 1)):
+        least = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
+        for step in steps:
+            other = at + step
+            ok = (other >= 0) & (other < len(hashes))
+            other = np.where(ok, other, at)
+            ok &= text_of[other] == text_of[at]
+            least = np.where(ok, np.minimum(least, hashes[other]), least)
+        sides.append(least)
+    return mix(sides[0] + mix(sides[1]))
 
 
 def code_points(words: Words) -> np.ndarray:
