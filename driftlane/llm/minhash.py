@@ -10,8 +10,8 @@ under each (coordinate, value). Two sets at the threshold agree, but for a chanc
 * of a class with s values, only the s - least + 1 rarest need be posted (prefix: with a common order
   by frequency, two classes that share ``least`` values share one of those).
 
-Classes that share a posted value are compared in tiles: classes with the same most frequent posted
-value lie together, in chunks of bounded total set size, and a tile is a pair of chunks with a value
+Classes that share a posted value are compared in tiles: classes that share a value with the
+same least class lie together, in chunks of bounded total set size, and a tile is a pair of chunks with a value
 in common. Inside a tile signatures are compared first, and pairs with ``least`` equal coordinates
 are confirmed by the exact intersection of the whole sets. A tile returns a spanning forest of its
 links, never all pairs; connected components join the forests. A value shared by very many classes
@@ -40,7 +40,7 @@ from driftlane.llm.words import blobs, inside, mix, slices, window_hashes
 
 COORDINATES = 64
 #: Shingles of one chunk of classes, about, where a class counts as PER_CLASS more.
-CHUNK, PER_CLASS = 120_000, 80
+CHUNK, PER_CLASS = 300_000, 80
 #: The list of classes to compare is broadcast to the text scan up to so many rows (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -106,10 +106,7 @@ def fingerprints(documents: DataFrame, shingle: int, coordinates: int = COORDINA
 
 
 def postings(classes: DataFrame, coordinates: int, least: int) -> DataFrame:
-    """(node, value, rarity) for the values under which a class must be posted.
-
-    ``rarity`` counts the classes with the value.
-    """
+    """(node, value) for the values under which a class must be posted."""
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, coordinates + 1, dtype=np.uint64) << np.uint64(40))
         for batch in batches:
@@ -122,17 +119,19 @@ def postings(classes: DataFrame, coordinates: int, least: int) -> DataFrame:
     every = classes.select("node", "signature").mapInArrow(values, "node long, value long")
     shared = every.groupBy("value").agg(F.count(F.lit(1)).alias("rarity")).where("rarity > 1")
     per_node = every.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rarity", "value"))).alias("all"))
-    kept = per_node.where(F.size("all") >= least).select("node", F.explode(F.slice("all", 1, F.size("all") - least + 1)).alias("p"))
-    return kept.select("node", "p.value", "p.rarity")
+    kept = per_node.where(F.size("all") >= least).select(
+        "node", F.explode(F.slice("all", 1, F.size("all") - least + 1)).alias("p"))
+    return kept.select("node", "p.value")
 
 
 def tiles(posted: DataFrame, sizes: DataFrame) -> DataFrame:
     """(node, tile, side): the tiles in which each class is compared; side 1 and 2 are the two chunks, 0 both in one.
 
-    A class's home is its most frequent posted value. Homes are cut into chunks by total set size.
+    A class's home is the least class that shares a posted value with it (or itself), so the classes
+    of a large group have few homes. Homes are cut into chunks by total set size.
     """
-    home = posted.groupBy("node").agg(F.max(F.struct("rarity", "value")).alias("h")).select("node", F.col("h.value").alias("home"))
-    home = home.join(sizes, "node")
+    least = held(posted.groupBy("value").agg(F.min("node").alias("least")))
+    home = posted.join(least, "value").groupBy("node").agg(F.min("least").alias("home")).join(sizes, "node")
     weight = home.groupBy("home").agg(F.sum(F.col("n_shingles") + PER_CLASS).alias("weight"))
     chunk = home.join(weight, "home").select(
         "node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("weight") / F.lit(CHUNK)))).alias("chunk"))
