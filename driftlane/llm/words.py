@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer text is a slice by itself.
-SLICE = 4 << 20
+SLICE = 1 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 _BYTE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
