@@ -34,6 +34,8 @@ from driftlane.llm.words import inside, slices, window_hashes
 
 #: Words of the shortest repeat that counts as boilerplate.
 RUN = 6
+#: The list of repeats is broadcast to the last scan up to so many bytes, and joined by a shuffle beyond.
+BROADCAST_BYTES = 32_000_000
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 RAW = frozenset("script style noscript template textarea title svg iframe object select canvas math xmp noembed noframes".split())
@@ -120,51 +122,55 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, page_key, host, and the blocks: texts, in_main, furniture (arrays)."""
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [blocks(h) if h else [] for h in frame["html"].where(frame["html"].notna(), None)]
-            yield frame.drop(columns="html").assign(
-                texts=[[b[0] for b in f] for f in found], in_main=[[b[1] for b in f] for f in found], furniture=[[b[2] for b in f] for f in found])
-
+def _keyed(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    rows = pages.select("page_id", "url", F.xxhash64("page_id", "html").alias("page_key"), host.alias("host"), "html")
-    return rows.mapInPandas(scan, "page_id long, url string, page_key long, host string, texts array<string>, in_main array<boolean>, furniture array<boolean>")
+    return pages.select("page_id", "url", F.xxhash64("page_id", "html").alias("page_key"), host.alias("host"), "html")
 
 
 def stray_runs(pages: DataFrame, run: int) -> DataFrame:
-    """page_key, host, hash, at: every run of ``run`` words outside the article; ``at`` counts such words."""
+    """page_key, host, hash, at, open: every run of ``run`` words outside the article; ``at`` counts such words.
+
+    ``open`` says that a word of the run is in no furniture, so that it matters whether the run repeats.
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, words in slices(batch.column(2), False):
+            stray = [[(t, waste) for t, main, waste in blocks(h) if not main] if h else [] for h in batch.column(2).to_pylist()]
+            for first, words in slices(pa.array([" ".join(t for t, _ in s) for s in stray], pa.large_string()), False):
+                some = stray[first:first + len(words.counts)]
+                loose = np.array([not waste for s in some for t, waste in s for _ in range(t.count(" ") + 1)], bool)
+                near = np.concatenate([[0], np.cumsum(loose)])
                 at = inside(words.first, run)
                 text_of = np.searchsorted(words.first, at, "right") - 1
                 rows = pa.array(first + text_of)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(rows), batch.column(1).take(rows), pa.array(window_hashes(words.hashes(), run)[at].view(np.int64)),
-                    pa.array((at - words.first[text_of]).astype(np.int32)),
-                ], ["page_key", "host", "hash", "at"])
+                    pa.array((at - words.first[text_of]).astype(np.int32)), pa.array(near[at + run] > near[at]),
+                ], ["page_key", "host", "hash", "at", "open"])
 
-    stray = F.expr("array_join(transform(filter(arrays_zip(texts, in_main), b -> not b.in_main), b -> b.texts), ' ')")
-    return pages.select("page_key", "host", stray.alias("stray")).mapInArrow(scan, "page_key long, host string, hash long, at int")
+    return _keyed(pages).select("page_key", "host", "html").mapInArrow(scan, "page_key long, host string, hash long, at int, open boolean")
 
 
 def extracted(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """page_id, url, text of every row of ``pages`` (page_id, url, html)."""
-    seen = held(parsed(pages))
-    runs = held(stray_runs(seen, run))
-    repeated = held(runs.groupBy("host", "hash").agg(F.min("page_key").alias("low"), F.max("page_key").alias("high")).where("low <> high").select("host", "hash"))
-    covered = runs.join(repeated, ["host", "hash"]).groupBy("page_key").agg(F.sort_array(F.collect_set("at")).alias("covered"))
-    joined = seen.join(held(covered), "page_key", "left")
+    """page_id, url, text of every row of ``pages`` (page_id, url, html).
+
+    Pages are parsed twice, so that no page has to be kept or sent anywhere but in the last join, and
+    there only if the list of repeats is too long to broadcast.
+    """
+    runs = held(stray_runs(pages, run))
+    repeated = runs.groupBy("host", "hash").agg(F.min("page_key").alias("low"), F.max("page_key").alias("high")).where("low <> high").select("host", "hash")
+    covered = runs.where("open").join(held(repeated), ["host", "hash"]).groupBy("page_key").agg(F.sort_array(F.collect_set("at")).alias("covered"))
+    covered = held(covered)
+    if (covered.agg(F.sum(F.size("covered") * 4 + 16)).first()[0] or 0) <= BROADCAST_BYTES:
+        covered = F.broadcast(covered)
+    joined = _keyed(pages).join(covered, "page_key", "left").select("page_id", "url", "html", "covered")
 
     def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for texts, in_main, furniture, starts in zip(frame["texts"], frame["in_main"], frame["furniture"], frame["covered"]):
+            for page, starts in zip(frame["html"], frame["covered"]):
                 gone = {p + k for p in (starts if starts is not None else ()) for k in range(run)}
                 kept, at = [], 0
-                for text, main, waste in zip(texts, in_main, furniture):
+                for text, main, waste in blocks(page) if page else ():
                     if not main:
                         words = text.split(" ")
                         text = " ".join(w for k, w in enumerate(words, at) if k not in gone)
