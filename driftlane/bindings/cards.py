@@ -7,6 +7,9 @@ of four languages.
 
 from __future__ import annotations
 
+import dataclasses
+import json
+
 from pyspark.sql import functions as F
 
 from driftlane.bindings import bound, table
@@ -14,7 +17,8 @@ from driftlane.functions import text
 from driftlane.functions import weights as wt
 from driftlane.functions.plan import spread
 from driftlane.operators import classify as k
-from driftlane.sources.rulebook import RuleBook, folded
+from driftlane.sources import schemas
+from driftlane.sources.rulebook import RuleBook, tables_of
 
 DICTIONARY = {
     "categories": [
@@ -80,14 +84,27 @@ _MULT = "CASE src WHEN 'title' THEN 1.0 WHEN 'channel' THEN 0.6 WHEN 'tags' THEN
 _TARGET = "CASE src WHEN 'title' THEN 0.55 WHEN 'channel' THEN 0.15 WHEN 'tags' THEN 1.0 ELSE 0.5 END"
 
 
-def _scored(mult: str, official: bool) -> str:
+_SECOND_KIND = "CASE kind WHEN 'entity' THEN 5.0 WHEN 'anchor' THEN 2.5 ELSE 1.5 END"
+_SECOND_MULT = "CASE src WHEN 'title' THEN 0.8 WHEN 'channel' THEN 0.6 WHEN 'tags' THEN 0.3 ELSE 0.9 END"
+SECOND_SCORING = {"entity": 5.0, "anchor": 2.5, "support": 1.5, "youtube_category": 3.0, "source_multipliers": {"title": 0.8, "tags": 0.3, "description": 0.9}}
+# a dictionary of thousands of phrases: every long word of the documents
+_MANY = r"""
+vocab AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS phrase FROM documents),
+rules AS (SELECT phrase, CASE WHEN length(phrase) % 3 = 0 THEN 'even' ELSE 'odd' END AS cat, CASE WHEN length(phrase) % 3 = 0 THEN 0 ELSE 1 END AS ord,
+  CASE WHEN length(phrase) % 2 = 0 THEN 'anchor' ELSE 'support' END AS kind FROM vocab WHERE length(phrase) BETWEEN 9 AND 14),
+toks AS (SELECT DISTINCT doc_id, src, no, unnest(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS phrase FROM texts),
+matched AS (SELECT DISTINCT doc_id, src, cat, ord, kind, phrase FROM toks JOIN rules USING (phrase))
+"""
+
+
+def _scored(mult: str, official: bool, rules: str | None = None, codes: str | None = None, kinds: str = "", worth: float = 7.0) -> str:
     bonus = (
-        "UNION ALL SELECT doc_id, cat, ord, 'official', 'official', code::VARCHAR, 7.0 FROM cards JOIN official ON code = official"
+        f"UNION ALL SELECT doc_id, cat, ord, 'official', 'official', code::VARCHAR, {worth} FROM cards JOIN official ON code = official"
         if official else ""
     )
     return rf"""
-{_CARDS}, {_RULES}, {_OFFICIAL},
-hits AS (SELECT doc_id, cat, ord, kind, src, phrase, {_KIND} * {mult} AS s FROM matched),
+{_CARDS}, {rules or _RULES}, {codes or _OFFICIAL},
+hits AS (SELECT doc_id, cat, ord, kind, src, phrase, {kinds or _KIND} * {mult} AS s FROM matched),
 strong AS (SELECT DISTINCT doc_id, cat FROM hits WHERE kind <> 'support'),
 ev AS (SELECT h.* FROM hits h SEMI JOIN strong USING (doc_id, cat) {bonus}),
 sc AS (SELECT doc_id, cat, ord, CAST(sum(s) AS DOUBLE) AS score, count(*) FILTER (kind <> 'support') AS n_strong,
@@ -154,11 +171,37 @@ def classify_vector(spark, sf_dir):
     return _vector(content(spark, sf_dir), "classification")
 
 
+@bound("classify_second_scoring", f"WITH {_scored(_SECOND_MULT, True, kinds=_SECOND_KIND, worth=3.0)} {_VECTOR_SQL}")
+def classify_second_scoring(spark, sf_dir):
+    book = RuleBook.from_dict(DICTIONARY | {"scoring": SECOND_SCORING})
+    book = dataclasses.replace(book, rules=SCORED_BOOK.rules)
+    found = k.with_rule_numbers(k.with_folded_sources(cards(spark, sf_dir)), book)
+    return _vector(k.hold(k.classify_content(found, book), "classification"), "classification")
+
+
+def rule_tables(spark, dictionary):
+    """Rule tables of a dictionary, through its JSON document."""
+    line = spark.createDataFrame([(json.dumps(dictionary),)], "value string")
+    return tables_of(line.select(F.from_json("value", " ".join(schemas.RULES.split())).alias("d")).select("d.*"))
+
+
 @bound("classify_by_join", f"WITH {_scored(_MULT, True)} {_VECTOR_SQL}")
 def classify_by_join(spark, sf_dir):
-    rules = spark.createDataFrame(list(enumerate(folded(SCORED_BOOK.rules))), "number int, phrase string")
-    found = k.hits_by_join(k.with_folded_sources(cards(spark, sf_dir)), "doc_id", rules)
-    return _vector(k.hold(k.classify_content(found, SCORED_BOOK), "classification"), "classification")
+    return _vector(k.classify_with_tables(cards(spark, sf_dir), "doc_id", rule_tables(spark, DICTIONARY), suppressions=()), "classification")
+
+
+@bound("classify_many_phrases", f"""
+WITH {_scored(_MULT, True, _MANY, _values("official", "cat, ord, code", [("even", 0, 1), ("odd", 1, 2)]))} {_VECTOR_SQL}
+""")
+def classify_many_phrases(spark, sf_dir):
+    tables = rule_tables(spark, {
+        "categories": [{"id": "even", "youtube_video_category_ids": [1]}, {"id": "odd", "youtube_video_category_ids": [2]}], "intents": {}})
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"))).alias("phrase")).distinct()
+    size = F.length("phrase")
+    tables["rules"] = words.filter(size.between(9, 14)).select(
+        F.when(size % 3 == 0, 0).otherwise(1).alias("category_no"), F.when(size % 3 == 0, "even").otherwise("odd").alias("category_id"),
+        F.when(size % 2 == 0, "anchor").otherwise("support").alias("kind"), F.lit(0).alias("kind_no"), F.abs(F.hash("phrase")).alias("place"), "phrase")
+    return _vector(k.classify_with_tables(cards(spark, sf_dir), "doc_id", tables, suppressions=()), "classification")
 
 
 @bound("classify_evidence", f"""
@@ -279,11 +322,10 @@ def phrase_test(spark, sf_dir):
 
 
 @bound("fold_terms", r"""
-SELECT conv_id, turn, trim(regexp_replace(lower(text), '[\s]+', ' ', 'g')) AS key FROM conversations
-WHERE regexp_full_match(text, '[\x00-\x7F]*')
+SELECT conv_id, turn, trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\s]+', ' ', 'g')) AS key FROM conversations
 """)
 def fold_terms(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter(F.rlike("text", F.lit(r"^[\x00-\x7F]*$")))
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", text.term_key(F.col("text")).alias("key"))
 
 
@@ -322,10 +364,10 @@ tok AS (SELECT *, list_filter(regexp_extract_all(key, '[\p{L}\p{N}_]+'), lambda
 sc AS (SELECT *, CASE WHEN len(toks) > 0 THEN len(list_filter(toks, lambda x: contains(c, x))) / len(toks) END AS hit FROM tok)
 SELECT doc_id, CASE WHEN contains(c, key) THEN 1.0 WHEN hit >= 0.75 THEN 0.85 WHEN hit >= 0.40 THEN 0.65 ELSE 0.40 END AS session_scale,
   CASE WHEN contains(c, key) THEN 1.0 WHEN hit >= 0.75 THEN 0.85 WHEN hit >= 0.40 THEN 0.60 ELSE 0.35 END AS subscription_scale
-FROM sc WHERE regexp_full_match(c, '[\x00-\x7F]*')
+FROM sc
 """)
 def tag_consistency(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.rlike("text", F.lit(r"^[\x00-\x7F]*$")))
+    docs = table(spark, sf_dir, "documents")
     words = F.split(F.lower(F.substring_index("text", "\n", 1)), " ")
     key = F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(" zzz "), F.coalesce(F.get(words, F.lit(2)), F.lit("")))
     rows = docs.select("doc_id", F.lower("text").alias("content"), key.alias("key"))
@@ -337,24 +379,28 @@ def tag_consistency(spark, sf_dir):
 
 
 @bound("popularity", """
-WITH o AS (SELECT *, greatest(1.0, datediff('minute', o_orderdate, (SELECT max(o_orderdate) FROM orders)) / 60.0 + 37 / 60.0) AS h, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)
-SELECT o_orderkey, round_even(CAST(h / 24.0 AS DOUBLE), 3) AS age_days, round_even(CAST(v / (h / 24.0) AS DOUBLE), 2) AS per_day,
-  round_even(CAST(least(1.0, log10(greatest(1.0, v / (h / 24.0) + 1)) / 6) AS DOUBLE), 4) AS demand,
-  round(greatest(0.15, least(1.0, 1 / (1 + log10(1 + round(h / 24.0, 3))))), 6) AS freshness
-FROM o
+WITH o AS (SELECT *, CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 OR o_orderkey % 7 = 0 THEN NULL
+    ELSE greatest(1.0, datediff('minute', o_orderdate, (SELECT max(o_orderdate) FROM orders)) / 60.0 + 37 / 60.0) END AS h,
+  CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) END AS v0 FROM orders),
+  p AS (SELECT *, v0 AS v, CASE WHEN v0 IS NOT NULL THEN h END AS hv FROM o)
+SELECT o_orderkey, v AS view_count,  round_even(CAST(hv / 24.0 AS DOUBLE), 3) AS age_days, round_even(CAST(v / (hv / 24.0) AS DOUBLE), 2) AS per_day,
+  CASE WHEN hv IS NOT NULL THEN round_even(CAST(least(1.0, log10(greatest(1.0, v / (hv / 24.0) + 1)) / 6) AS DOUBLE), 4) END AS demand,
+  CASE WHEN hv IS NULL THEN 0.30 ELSE round(greatest(0.15, least(1.0, 1 / (1 + log10(1 + round(hv / 24.0, 3))))), 6) END AS freshness
+FROM p
 """)
 def popularity(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     rows = orders.select(
         "o_orderkey",
         F.struct(
-            F.floor("o_totalprice").cast("string").alias("view_count"), F.lit("x").alias("like_count"), F.lit(None).cast("string").alias("comment_count")
+            F.when((key % 5 != 0) & (key % 11 != 0), F.floor("o_totalprice").cast("string")).alias("view_count"), F.lit("x").alias("like_count"), F.lit(None).cast("string").alias("comment_count")
         ).alias("statistics"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
+        F.when(key % 7 == 0, "not a date").when(~((key % 3 == 1) & (key % 2 == 0)), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("published_at"),
+        F.when(key % 5 == 0, key).alias("view_count"),
     )
     newest = orders.agg(F.max("o_orderdate") + F.expr("INTERVAL 37 MINUTES")).scalar()
     out = k.popularity(rows, newest).withColumn("p", F.col("popularity_profile"))
     return out.select(
-        "o_orderkey", F.col("p.age_days").alias("age_days"), F.col("p.avg_views_per_day").alias("per_day"),
+        "o_orderkey", F.col("p.view_count").alias("view_count"), F.col("p.age_days").alias("age_days"), F.col("p.avg_views_per_day").alias("per_day"),
         F.col("p.demand_signal").alias("demand"), F.round(wt.freshness(F.col("p.age_days")), 6).alias("freshness"),
     )

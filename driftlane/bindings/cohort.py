@@ -188,7 +188,9 @@ h AS (SELECT user_id, day, place, no, surface, w + CASE WHEN sel THEN 0.26 ELSE
 s AS (SELECT user_id, day, surface, round(CAST(sum(w) AS DOUBLE), 9) AS score, min(place * 10000 + no) AS first FROM h GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY score DESC, first) AS rank FROM s),
 b AS (SELECT user_id, day, max(surface) FILTER (rank = 1) AS surface, max(score) FILTER (rank = 1) AS score, coalesce(max(score) FILTER (rank = 2), 0) AS ru FROM r GROUP BY ALL)
-SELECT user_id, CAST(day AS VARCHAR) AS day, surface, round(least(0.95, greatest(0.15, 0.30 + score * 0.35 + greatest(0, score - ru) * 0.25)) + 1e-9, 6) AS confidence FROM b
+SELECT user_id, CAST(day AS VARCHAR) AS day, coalesce(surface, 'unknown') AS surface,
+  coalesce(round(least(0.95, greatest(0.15, 0.30 + score * 0.35 + greatest(0, score - ru) * 0.25)) + 1e-9, 6), 0.15) AS confidence
+FROM (SELECT DISTINCT user_id, day FROM ev) LEFT JOIN b USING (user_id, day)
 """)
 def surface_guess(spark, sf_dir):
     k = F.col("k")

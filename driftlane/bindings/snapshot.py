@@ -9,7 +9,6 @@ from driftlane.functions import weights as wt
 from driftlane.functions.plan import spread
 from driftlane.operators import exposure as ex
 from driftlane.operators import terms as tm
-from driftlane.plans.staging import stage
 
 ITEMS = """
 li AS (
@@ -158,7 +157,7 @@ SELECT snapshot_id, video_id, category_id, zone, expansion_score FROM cand
 QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY expansion_score DESC, position, video_id) <= 12
 """)
 def expansion_candidates(spark, sf_dir):
-    cards = stage(items(spark, sf_dir))
+    cards = items(spark, sf_dir)
     dist = ex.distribution(ex.measures(ex.contributions(cards, GROUP), GROUP), GROUP)
     out = ex.expansion_candidates(cards, dist, GROUP)
     return out.select("snapshot_id", "video_id", "category_id", "zone", "expansion_score")
@@ -273,8 +272,7 @@ SELECT snapshot_id, category_id, zone, round(coherence, 6) AS coherence, round(o
 def directions(spark, sf_dir):
     rows = tm.card_terms(term_cards(spark, sf_dir), [], 0.40, 1.15, 1.20, 0.80).filter("source = 'creator_tag'")
     tags = tm.rank_snapshot(tm.aggregate(rows, ["category_id"]), ["category_id"], None)
-    rows_ = ex.contributions(stage(items(spark, sf_dir)), GROUP)
-    per_snapshot = stage(ex.distribution(ex.measures(rows_, GROUP), GROUP))
-    per_category = per_snapshot.select("snapshot_id", "category_id").join(tags, "category_id")
-    out = ex.directions(per_snapshot, per_category, ex.intent_mix(rows_, GROUP), GROUP)
+    rows_ = ex.contributions(items(spark, sf_dir), GROUP)
+    per_snapshot = ex.distribution(ex.measures(rows_, GROUP), GROUP)
+    out = ex.directions(per_snapshot, tags, ex.intent_mix(rows_, GROUP), GROUP)
     return out.select("snapshot_id", "category_id", "zone", _r("coherence"), _r("opportunity"), "direction")

@@ -3,8 +3,8 @@
 All phrases of a dictionary are found in one regex pass per text. At each word
 start the longest matching phrase is captured; shorter phrases that match at the
 same place are prefixes of it, so they follow from the dictionary alone.
-Dictionaries beyond the inline size go through ``hits_by_join`` instead, which
-yields the same ``hits`` column.
+``classify_with_tables`` takes the rules as tables of any size instead: hits come
+from an equi-join on each phrase's rarest token, in the same ``_found`` column.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from driftlane.functions import fixed, text
 from driftlane.functions import weights as wt
 from driftlane.functions.plan import hold
-from driftlane.sources.rulebook import RuleBook, folded
+from driftlane.sources.rulebook import RuleBook, folded, frame_of_tables
 
 SOURCES = ["title", "channel", "tags", "description", "youtube_topics"]
 LIST_SOURCES = {"tags", "youtube_topics"}
+FOUND = "array<struct<source:string,number:bigint,category:string,category_no:int,kind:string,phrase:string>>"
 HIT = "struct<category:string,category_no:int,kind:string,source:string,phrase:string,score:double>"
 
 
@@ -93,7 +94,7 @@ def with_folded_sources(cards: DataFrame, lower_only: bool = False) -> DataFrame
 
 
 def with_rule_numbers(cards: DataFrame, book: RuleBook, lower_only: bool = False) -> DataFrame:
-    """Adds ``_found``: array<struct<source, number>>, one entry per text and rule."""
+    """Adds ``_found``: one entry per text and rule, with what the rule says."""
     finder = PhraseFinder(folded(book.rules, lower_only))
     blocked = []
     for owner, phrase, idiom in () if lower_only else book.suppressions:
@@ -122,7 +123,19 @@ def with_rule_numbers(cards: DataFrame, book: RuleBook, lower_only: bool = False
         )
         return F.flatten(per_text)
 
-    return cards.withColumn("_found", F.concat(*[found_in(s) for s in SOURCES]))
+    order = {c[0]: n for n, c in enumerate(book.categories)}
+    category = _literals([r.owner for r in book.rules], "string")
+    category_no = _literals([order[r.owner] for r in book.rules], "int")
+    kind = _literals([r.kind for r in book.rules], "string")
+    phrase = _literals([r.phrase for r in book.rules], "string")
+    found = F.transform(
+        F.concat(*[found_in(s) for s in SOURCES]),
+        lambda h: F.struct(
+            h["source"].alias("source"), h["number"].cast("bigint").alias("number"), _at(category, h["number"]).alias("category"),
+            _at(category_no, h["number"]).alias("category_no"), _at(kind, h["number"]).alias("kind"), _at(phrase, h["number"]).alias("phrase"),
+        ),
+    )
+    return cards.withColumn("_found", found.cast(FOUND))
 
 
 def _mark_words(col: Column) -> Column:
@@ -131,45 +144,58 @@ def _mark_words(col: Column) -> Column:
     return F.regexp_replace(col, rf"({text.WORD}+)", "\x01$1\x01")
 
 
-def hits_by_join(cards: DataFrame, key: str, rules: DataFrame) -> DataFrame:
-    """``_found`` for dictionaries of any size: equi-join on the leading token.
+def hits_by_join(
+    cards: DataFrame, key: str, rules: DataFrame, texts: dict[str, Column] | None = None, suppressions: tuple = ()
+) -> DataFrame:
+    """``_found`` from a rule table of any size: equi-join on the rarest token.
 
-    ``rules`` has (number, phrase) with folded phrases. Every text contributes
-    each of its tokens once, without the text; the candidates of a card come
-    back as one array and are confirmed next to its texts.
+    ``rules``: number, phrase (folded), category, category_no, kind, label. A phrase
+    is keyed by that of its tokens which the fewest texts have; phrases with a token
+    in no text drop out before the join. Every text contributes each of its tokens
+    once, without the text; the candidates of a card come back as one array and
+    are confirmed next to its texts. ``texts``: source names and folded text arrays.
     """
-    texts = None
-    for n, s in enumerate(SOURCES):
-        part = cards.select(
-            key, F.lit(n).alias("source_no"), F.lit(s).alias("source"), F.posexplode(f"_texts_{s}").alias("no", "_text")
-        )
-        texts = part if texts is None else texts.unionByName(part)
-    lead = rf"{text.NOT_AFTER_WORD}({text.WORD}+|[^\p{{L}}\p{{N}}_\s])"
-    tokens = texts.select(
-        key, "source_no", "source", "no",
-        F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(lead), F.lit(1)))).alias("_lead"),
-    )
-    keyed = rules.filter("phrase <> ''").select(
-        "number", F.regexp_extract("phrase", lead, 1).alias("_lead"),
+    texts = {s: F.col(f"_texts_{s}") for s in SOURCES} if texts is None else texts
+    # held: folding is dear, and the texts are read by the token scan and by the test
+    cards = hold(cards.withColumns({f"_own_{s}": t for s, t in texts.items()}), *[f"_own_{s}" for s in texts])
+    rows = None
+    for n, s in enumerate(texts):
+        part = cards.select(key, F.lit(n).alias("source_no"), F.lit(s).alias("source"), F.posexplode(f"_own_{s}").alias("no", "_text"))
+        rows = part if rows is None else rows.unionByName(part)
+    token = rf"({text.WORD}+|[^\p{{L}}\p{{N}}_\s])"
+
+    def tokens(col: str) -> Column:
+        return F.array_distinct(F.regexp_extract_all(col, F.lit(token), F.lit(1)))
+
+    found = rows.select(key, "source_no", "source", "no", F.explode(tokens("_text")).alias("_token"))
+    spread = found.groupBy("_token").agg(F.count("*").alias("_texts"))
+    known = rules.filter("phrase <> ''")
+    parts = known.select("number", "phrase", F.size(tokens("phrase")).alias("_n"), F.explode(tokens("phrase")).alias("_token")).join(spread, "_token")
+    rarest = parts.groupBy("number", "phrase").agg(
+        F.min(F.struct("_texts", "_token")).alias("_rare"), F.count("*").alias("_have"), F.max("_n").alias("_n")
+    ).filter("_have = _n").select("number", "phrase", F.col("_rare._token").alias("_token"))
+    keyed = known.join(rarest, ["number", "phrase"]).select(
+        "number", "_token",
         F.struct(
             _mark_words(F.col("phrase")).alias("marked"),
             F.col("phrase").alias("plain"),
             # a mark at both ends makes the substring test complete
             F.rlike("phrase", F.lit(rf"^{text.WORD}(.*{text.WORD})?$")).alias("closed"),
+            F.col("category"), F.col("category_no").cast("int").alias("category_no"), "kind", "label",
         ).alias("phrase"),
     )
-    candidates = tokens.join(keyed, "_lead").groupBy(key).agg(
+    candidates = found.join(keyed, "_token").groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("source_no", "no", "number", "phrase", "source"))).alias("_candidates")
     )
     joined = cards.join(candidates, key, "left").withColumns(
-        {f"_marked_{s}": F.transform(f"_texts_{s}", _mark_words) for s in SOURCES}
+        {f"_marked_{s}": F.transform(f"_own_{s}", _mark_words) for s in texts}
     )
     # held: inlined into the per-candidate test they would be computed per candidate
-    joined = hold(joined, *[f"_marked_{s}" for s in SOURCES])
+    joined = hold(joined, *[f"_marked_{s}" for s in texts])
 
     def own(c: Column, prefix: str) -> Column:
-        out = F.get(f"{prefix}_title", F.lit(0))
-        for s in SOURCES[1:]:
+        out = F.lit(None).cast("string")
+        for s in texts:
             out = F.when(c["source"] == s, F.get(f"{prefix}_{s}", c["no"])).otherwise(out)
         return out
 
@@ -177,39 +203,34 @@ def hits_by_join(cards: DataFrame, key: str, rules: DataFrame) -> DataFrame:
         pattern = F.concat(
             F.lit(text.NOT_AFTER_WORD + r"\Q"), c["phrase"]["plain"], F.lit(r"\E" + text.NOT_BEFORE_WORD)
         )
-        return F.contains(own(c, "_marked"), c["phrase"]["marked"]) & (
-            c["phrase"]["closed"] | F.rlike(own(c, "_texts"), pattern)
+        out = F.contains(own(c, "_marked"), c["phrase"]["marked"]) & (
+            c["phrase"]["closed"] | F.rlike(own(c, "_own"), pattern)
         )
+        for owner, phrase, idiom in suppressions:
+            hidden = (c["phrase"]["category"] == owner) & c["phrase"]["kind"].isin("entity", "anchor") & (c["phrase"]["plain"] == text.fold_phrase(phrase))
+            out = out & ~(hidden & F.rlike(own(c, "_own"), F.lit(idiom)))
+        return out
 
-    found = F.transform(
+    kept = F.transform(
         F.filter("_candidates", confirmed),
-        lambda c: F.struct(c["source"].alias("source"), c["number"].alias("number")),
+        lambda c: F.struct(
+            c["source"].alias("source"), c["number"].cast("bigint").alias("number"), c["phrase"]["category"].alias("category"),
+            c["phrase"]["category_no"].alias("category_no"), c["phrase"]["kind"].alias("kind"), c["phrase"]["label"].alias("phrase"),
+        ),
     )
-    none = F.array().cast("array<struct<source:string,number:int>>")
-    return joined.withColumn("_found", F.coalesce(found, none)).drop(
-        "_candidates", *[f"_marked_{s}" for s in SOURCES]
+    return joined.withColumn("_found", F.coalesce(kept.cast(FOUND), F.array().cast(FOUND))).drop(
+        "_candidates", *[f"_marked_{s}" for s in texts], *[f"_own_{s}" for s in texts]
     )
 
 
-def scored_hits(
-    book: RuleBook, source_weight: dict, rule_weight: list[float]
-) -> Column:
-    """``_found`` with category, kind, phrase and score of every hit."""
-    order = {c[0]: n for n, c in enumerate(book.categories)}
-    category = _literals([r.owner for r in book.rules], "string")
-    category_no = _literals([order[r.owner] for r in book.rules], "int")
-    kind = _literals([r.kind for r in book.rules], "string")
-    phrase = _literals([r.phrase for r in book.rules], "string")
-    weight = _literals(rule_weight, "double")
+def scored_hits(source_weight: dict, weight) -> Column:
+    """``_found`` as hits with a score; ``weight(hit)`` is the worth of its rule."""
     return F.transform(
         "_found",
         lambda h: F.struct(
-            _at(category, h["number"]).alias("category"),
-            _at(category_no, h["number"]).alias("category_no"),
-            _at(kind, h["number"]).alias("kind"),
-            h["source"].alias("source"),
-            _at(phrase, h["number"]).alias("phrase"),
-            (_at(weight, h["number"]) * wt.lookup(h["source"], source_weight, 0.0)).alias("score"),
+            h["category"].alias("category"), h["category_no"].alias("category_no"), h["kind"].alias("kind"),
+            h["source"].alias("source"), h["phrase"].alias("phrase"),
+            (weight(h) * wt.lookup(h["source"], source_weight, 0.0)).alias("score"),
         ),
     )
 
@@ -311,14 +332,16 @@ def _evidence_map(ranked: Column, vector: Column) -> Column:
 # -------------------------------------------------------------- content, target
 def classify_content(found: DataFrame, book: RuleBook) -> DataFrame:
     """Adds ``classification`` and ``target_profile`` to cards with ``_found``."""
-    kind_weight = [fixed.KIND_WEIGHT.get(r.kind, 0.0) for r in book.rules]
+    def worth(h: Column) -> Column:
+        return wt.lookup(h["kind"], book.kind_weight, 0.0)
+
     names = _literals([c[1] for c in book.categories], "string")
     empty = F.array().cast(f"array<{HIT}>")
     df = found.withColumns(
         {
-            "_hits": scored_hits(book, fixed.SOURCE_WEIGHT, kind_weight),
-            "_target_hits": scored_hits(book, fixed.TARGET_SOURCE_WEIGHT, kind_weight),
-            "_official": official_hits(book, fixed.OFFICIAL_WEIGHT),
+            "_hits": scored_hits(book.source_weight, worth),
+            "_target_hits": scored_hits(fixed.TARGET_SOURCE_WEIGHT, worth),
+            "_official": official_hits(book, book.official_weight),
         }
     )
     df = df.withColumns(
@@ -376,11 +399,11 @@ def classify_intent(cards: DataFrame, book: RuleBook) -> DataFrame:
     """Adds ``intent_profile``; needs the ``_texts_*`` columns."""
     finder = PhraseFinder(folded(book.intent_rules))
     owner = {i[0]: n for n, i in enumerate(book.intents)}
-    names = _literals([i[1] for i in book.intents], "string")
     intent = _literals([r.owner for r in book.intent_rules], "string")
     intent_no = _literals([owner[r.owner] for r in book.intent_rules], "int")
     phrase = _literals([r.phrase for r in book.intent_rules], "string")
-    joined_tags = F.array(F.array_join("_texts_tags", " "))
+    # joined first, then folded: blanks inside the joined text stay as they are
+    joined_tags = F.array(text.fold_text(F.array_join("tags", " ")))
     texts = {"title": F.col("_texts_title"), "description": F.col("_texts_description"), "tags": joined_tags}
 
     def hits_in(source: str, weight: float) -> Column:
@@ -394,8 +417,12 @@ def classify_intent(cards: DataFrame, book: RuleBook) -> DataFrame:
         )
 
     parts = [hits_in(s, w) for s, w in fixed.INTENT_SOURCE_WEIGHT.items()]
+    return _intents_of(cards.withColumn("_intent_hits", F.concat(*parts).cast(f"array<{HIT}>")), book)
+
+
+def _intents_of(df: DataFrame, book: RuleBook) -> DataFrame:
+    names = _literals([i[1] for i in book.intents], "string")
     empty = F.array().cast(f"array<{HIT}>")
-    df = cards.withColumn("_intent_hits", F.concat(*parts).cast(f"array<{HIT}>"))
     df = df.withColumn("_intent_ranked", category_scores(F.col("_intent_hits"), empty))
     df = df.withColumn("_intent_vector", _share_vector(F.col("_intent_ranked"), names, 0.10, 0.0))
     profile = F.struct(
@@ -408,24 +435,30 @@ def classify_intent(cards: DataFrame, book: RuleBook) -> DataFrame:
 
 # ------------------------------------------------------------------- popularity
 def popularity(cards: DataFrame, as_of: Column) -> DataFrame:
-    """Adds ``popularity_profile`` measured at ``as_of``."""
-    views = F.col("statistics.view_count").try_cast("bigint")
+    """Adds ``popularity_profile`` measured at ``as_of``.
+
+    Counts of the card itself stand in where ``statistics`` lacks them. A card
+    without a readable date has no age, daily views or demand.
+    """
+    def count(name: str) -> Column:
+        own = F.col(f"statistics.{name}")
+        return (F.coalesce(own, F.col(name).cast("string")) if name in cards.columns else own).try_cast("bigint")
+
+    views = count("view_count")
     published = F.try_to_timestamp(F.nullif(F.col("published_at"), F.lit("")))
-    hours = F.greatest(
-        F.lit(1.0),
-        (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(published)) / 3_600_000_000.0,
-    )
+    age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(published)) / 3_600_000_000.0
+    hours = F.when(published.isNotNull(), F.greatest(F.lit(1.0), age))
     known = views.isNotNull()
     return cards.withColumn(
         "popularity_profile",
         F.struct(
             known.alias("available"),
             views.alias("view_count"),
-            F.when(known, F.col("statistics.like_count").try_cast("bigint")).alias("like_count"),
-            F.when(known, F.col("statistics.comment_count").try_cast("bigint")).alias("comment_count"),
+            F.when(known, count("like_count")).alias("like_count"),
+            F.when(known, count("comment_count")).alias("comment_count"),
             F.when(known, wt.round_even(hours / 24.0, 3)).alias("age_days"),
             F.when(known, wt.round_even(views / (hours / 24.0), 2)).alias("avg_views_per_day"),
-            F.when(known, wt.round_even(wt.demand_signal(views, hours), 4)).alias("demand_signal"),
+            F.when(known & hours.isNotNull(), wt.round_even(wt.demand_signal(views, hours), 4)).alias("demand_signal"),
         ),
     )
 
@@ -439,6 +472,34 @@ def classify(cards: DataFrame, book: RuleBook, as_of: Column | None = None) -> D
     return df if as_of is None else popularity(df, as_of)
 
 
+def classify_with_tables(cards: DataFrame, key: str, tables: dict[str, DataFrame], as_of: Column | None = None, suppressions: tuple | None = None) -> DataFrame:
+    """The same columns as ``classify``, from rule tables (see ``read_rule_tables``) of any size.
+
+    ``key`` names a column with one value per card. Categories, intents and weights
+    become literals; phrases stay rows.
+    """
+    book = frame_of_tables(tables)
+    hidden = book.suppressions if suppressions is None else suppressions
+    places = F.col("kind_no").cast("bigint") * F.lit(1 << 32) + F.col("place")
+    rules = tables["rules"].filter("kind <> 'keyword'").select(
+        (F.col("category_no") * F.lit(1 << 40) + places).alias("number"), text.fold_text(F.col("phrase")).alias("phrase"),
+        F.col("category_id").alias("category"), "category_no", "kind", F.col("phrase").alias("label"),
+    )
+    intents = tables["intents"].select(
+        (F.col("intent_no") * F.lit(1 << 40) + F.col("place")).alias("number"), text.fold_text(F.col("phrase")).alias("phrase"),
+        F.col("intent_id").alias("category"), F.col("intent_no").alias("category_no"), F.lit("anchor").alias("kind"), F.col("phrase").alias("label"),
+    )
+    folded_cards = hold(with_folded_sources(cards), *[f"_texts_{s}" for s in SOURCES])
+    df = classify_content(hits_by_join(folded_cards, key, rules, suppressions=hidden), book).drop("_found")
+    df = hold(df, "classification", "target_profile")
+    texts = {"title": F.col("_texts_title"), "description": F.col("_texts_description"), "tags": F.array(text.fold_text(F.array_join("tags", " ")))}
+    df = hits_by_join(df, key, intents, texts)
+    df = df.withColumn("_intent_hits", scored_hits(fixed.INTENT_SOURCE_WEIGHT, lambda h: F.lit(fixed.INTENT_PHRASE_WEIGHT)).cast(f"array<{HIT}>"))
+    df = _intents_of(df, book).drop("_found", *[f"_texts_{s}" for s in SOURCES])
+    df = hold(df, "classification", "target_profile", "intent_profile")
+    return df if as_of is None else popularity(df, as_of)
+
+
 # -------------------------------------------------------------- keyword (older)
 def classify_keywords(cards: DataFrame, book: RuleBook) -> DataFrame:
     """Adds ``classification`` of the flat keyword dictionary."""
@@ -446,7 +507,8 @@ def classify_keywords(cards: DataFrame, book: RuleBook) -> DataFrame:
     flat = RuleBook(book.categories, rules, suppressions=())
     names = _literals([c[1] for c in book.categories], "string")
     df = with_rule_numbers(with_folded_sources(cards, lower_only=True), flat, lower_only=True)
-    hits = scored_hits(flat, fixed.KEYWORD_SOURCE_WEIGHT, [text.keyword_weight(r.phrase) for r in rules])
+    special = _literals([text.keyword_weight(r.phrase) for r in rules], "double")
+    hits = scored_hits(fixed.KEYWORD_SOURCE_WEIGHT, lambda h: _at(special, h["number"].cast("int")))
     df = df.withColumn("_hits", F.filter(hits, lambda h: h["score"] > 0))
     df = df.withColumn(
         "_ranked", category_scores(F.col("_hits"), official_hits(flat, fixed.KEYWORD_OFFICIAL_WEIGHT))

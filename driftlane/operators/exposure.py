@@ -177,14 +177,16 @@ def sample_items(rows: DataFrame, group: list[str], k: int = 4, tie: list[str] =
 def directions(dist: DataFrame, tags: DataFrame, intents: DataFrame, group: list[str]) -> DataFrame:
     """Content directions with coherence and opportunity, ranked.
 
-    ``tags``: ranked tag terms per group and category (score, consistency).
+    ``tags``: ranked tag terms per group and category (score, consistency), or per
+    category alone; they are averaged before they meet the distribution.
     """
     keys = [*group, "category_id"]
-    quality = tags.groupBy(*keys).agg(
+    known = [k for k in keys if k in tags.columns]
+    quality = tags.groupBy(*known).agg(
         F.when(F.sum("score") > 0, F.sum(F.col("consistency") * F.col("score")) / F.sum("score")).alias("_tags")
     )
     top = intents.filter(F.col("rank") == 1).select(*keys, "intent_id")
-    rows = dist.join(quality, keys, "left").join(top, keys, "left")
+    rows = dist.join(quality, known, "left").join(top, keys, "left")
     fit = F.col("share") / F.col("top_share")
     coherence = wt.clamp(0.70 * F.col("quality") + 0.30 * F.coalesce("_tags", F.lit(0.50)))
     rows = rows.withColumns({"relative_fit": fit, "coherence": coherence})

@@ -5,27 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from one thousandth of the rows on: there are at most 1,000 of them.
-HOT_FRACTION = 1e-3
-HOT_KEYS_MAX = 1_000
-
-
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that hold at least ``HOT_FRACTION`` of the rows; at most 1,000 rows."""
-    per_key = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = rows.agg(F.count("*")).scalar()
-    return per_key.filter(F.col("_n") >= total * HOT_FRACTION).select(key)
-
 
 def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join to a table with one row per key.
+    """Left join to a table with one row per key; the left side is read once.
 
-    Rows with a hot key are matched by a broadcast of the hot part of ``right``
-    (at most 1,000 rows by construction); the rest shuffles by key, and no key
-    left there can fill a task.
+    Rows without a key can match nothing, so they get a key of their own from
+    their other columns and spread over all tasks. Keys with very many rows are
+    split by adaptive execution (``spark.sql.adaptive.skewJoin.enabled``).
     """
-    hot = hot_keys(left, key)
-    hot_right = right.join(F.broadcast(hot), key, "left_semi")
-    hot_rows = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(hot_right), key, "left")
-    cold_rows = left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
-    return hot_rows.unionByName(cold_rows)
+    columns = [c for c, kind in left.dtypes if c != key and not kind.startswith("map")]
+    spread = F.concat(F.lit("\0"), F.xxhash64(*columns).cast("string")) if columns else F.lit("\0")
+    keyed = left.withColumn("_key", F.coalesce(F.col(key).cast("string"), spread))
+    found = right.filter(F.col(key).isNotNull()).withColumn("_key", F.col(key).cast("string")).drop(key)
+    rest = [c for c in found.columns if c != "_key"]
+    return keyed.join(found, "_key", "left").select(key, *[c for c in left.columns if c != key], *rest)

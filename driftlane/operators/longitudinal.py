@@ -107,12 +107,14 @@ def last_day(observations: DataFrame) -> Column:
     return observations.agg(F.max("day")).scalar()
 
 
-def window_table(observations: DataFrame, as_of, extra: list[Column] = ()) -> DataFrame:
+def window_table(observations: DataFrame, as_of, extra: list[Column] = (), days: DataFrame | None = None) -> DataFrame:
     """All decayed windows and presence statistics of every profile and key.
 
     One scan feeds one aggregate with five filtered sums. The decay totals of a
     profile and its number of observed days come from a second aggregate over
     (profile, day) and are joined back, so a hot profile stays split by key.
+    ``days`` (profile_id, day) lists all observations of the profiles, for tables
+    that hold one field of them; history is then counted on it.
     """
     rows = at_days(observations.filter(F.col("weight") > 0), as_of)
     age, weight = F.col("age"), F.col("weight")
@@ -135,6 +137,11 @@ def window_table(observations: DataFrame, as_of, extra: list[Column] = ()) -> Da
             F.count("*").alias("observed_days"),
         )
     )
+    if days is not None:
+        seen = at_days(days.select("profile_id", "day").distinct(), as_of).groupBy("profile_id", "as_of").agg(
+            F.count_if(age > 0).alias("history_days"), F.count("*").alias("observed_days")
+        )
+        totals = totals.drop("history_days", "observed_days").join(seen, ["profile_id", "as_of"])
     out = keyed.join(totals, ["profile_id", "as_of"])
     names = [c for c in keyed.columns if not c.startswith("_")]
     return out.select(
@@ -191,9 +198,9 @@ def trend_confidence() -> Column:
     )
 
 
-def interest_trends(observations: DataFrame, as_of) -> DataFrame:
+def interest_trends(observations: DataFrame, as_of, days: DataFrame | None = None) -> DataFrame:
     """Windows, composite weight, presence and trend state of every interest."""
-    return composite_share(window_table(observations, as_of)).withColumns(
+    return composite_share(window_table(observations, as_of, days=days)).withColumns(
         {"trend_state": interest_trend(), "trend_confidence": trend_confidence()}
     )
 
@@ -245,7 +252,7 @@ def term_state() -> Column:
     )
 
 
-def term_trends(observations: DataFrame, as_of, limit: int) -> DataFrame:
+def term_trends(observations: DataFrame, as_of, limit: int, days: DataFrame | None = None) -> DataFrame:
     """Trend rows of terms: the ``limit`` heaviest per profile.
 
     ``observations`` may have a ``value`` column with the display form; the
@@ -253,7 +260,7 @@ def term_trends(observations: DataFrame, as_of, limit: int) -> DataFrame:
     """
     value = F.col("value") if "value" in observations.columns else F.col("key")
     shown = F.max_by(value, F.struct("day", value)).alias("value")
-    rows = composite(window_table(observations, as_of, [shown]))
+    rows = composite(window_table(observations, as_of, [shown], days))
     rows = rows.withColumns({"weight": wt.round_even(F.col("_mix"), 4), "trend_state": term_state()}).drop("_mix")
     return wt.top_k(rows, ["profile_id", "as_of"], [F.desc("weight"), F.asc("key")], limit)
 

@@ -94,11 +94,12 @@ def surface_hits(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "place", "_h.*")
 
 
-def guess_surface(nodes: DataFrame, keys: list[str], evidence_limit: int = 12) -> DataFrame:
+def guess_surface(nodes: DataFrame, keys: list[str], evidence_limit: int = 12, trees: DataFrame | None = None) -> DataFrame:
     """Surface, confidence and evidence of every tree.
 
-    Trees without a hit are ``unknown`` with .15, as the caller's key table has
-    no row here for them.
+    Trees without a hit are ``unknown`` with .15. ``trees`` lists the keys of all
+    trees; one without any node is ``unknown`` with .0. Without it, all trees
+    that have nodes are answered for.
     """
     hits = surface_hits(nodes, keys)
     order = F.struct("place", "no")
@@ -124,7 +125,16 @@ def guess_surface(nodes: DataFrame, keys: list[str], evidence_limit: int = 12) -
     evidence = kept.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_e", "evidence"))), lambda r: r["evidence"]).alias("evidence")
     )
-    return best.withColumn("confidence", confidence).drop("score", "runner_up").join(evidence, keys)
+    found = best.withColumn("confidence", confidence).drop("score", "runner_up").join(evidence, keys)
+    every = nodes.select(*keys).distinct().withColumn("_nodes", F.lit(True))
+    if trees is not None:
+        every = trees.select(*keys).distinct().join(every, keys, "left")
+    return every.join(found, keys, "left").select(
+        *keys,
+        F.coalesce("surface", F.lit("unknown")).alias("surface"),
+        F.coalesce("confidence", F.when(F.col("_nodes"), 0.15).otherwise(0.0)).alias("confidence"),
+        F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"),
+    )
 
 
 def histograms(nodes: DataFrame, fields: list[str], k: int | None = 30) -> DataFrame:

@@ -39,9 +39,9 @@ def _present(keys: Column, forbidden: list[str]) -> Column:
 
 
 def split(df: DataFrame, column: str = "errors") -> tuple[DataFrame, DataFrame]:
-    """(valid rows, quarantine); the quarantine keeps up to 20 messages."""
+    """(valid rows, quarantine with all messages)."""
     ok = F.size(column) == 0
-    return df.filter(ok).drop(column), df.filter(~ok).withColumn(column, F.slice(column, 1, 20))
+    return df.filter(ok).drop(column), df.filter(~ok)
 
 
 # ------------------------------------------------------------------ interactions
@@ -71,6 +71,7 @@ def event_rules(row) -> list[tuple[Column, str]]:
         (_length(row("device_id"), 4, 200), "invalid device_id"),
         (_length(row("profile_id"), 1, 200), "invalid profile_id"),
         (identity.parse_instant(row("captured_at")).isNull(), "invalid captured_at"),
+        (identity.parse_instant(row("captured_at")).isNotNull() & identity.event_day(row("captured_at")).isNull(), "invalid_interaction_day"),
         (score.isNull(), "invalid engagement_score"),
         (score.isNotNull() & ~score.between(-2.0, 2.0), "engagement_score outside [-2,2]"),
         (sure.isNull(), "invalid confidence"),
@@ -133,7 +134,7 @@ def sanitize_events(rows: DataFrame) -> DataFrame:
         wt.round_even(F.coalesce(F.col("confidence").try_cast("double"), F.lit(1.0)), 4).alias("confidence"),
         "context",
         identity.event_day(F.col("captured_at")).alias("day"),
-    ).filter(F.col("day").isNotNull())
+    )
 
 
 # ------------------------------------------------------------------- submissions
@@ -143,9 +144,13 @@ SUBMISSION_REQUIRED = [
 ]
 
 
-def submission_errors(keys: Column | None = None) -> Column:
-    """Errors of a submission row; ``keys`` are its raw top-level keys."""
-    rows = F.slice("interest_weights", 1, 100)
+def submission_errors(keys: Column | None = None, checked: int | None = None) -> Column:
+    """Errors of a submission row; ``keys`` are its raw top-level keys.
+
+    Every interest is checked; ``checked`` limits that to the first ones, as a
+    server that answers at once may want.
+    """
+    rows = F.col("interest_weights") if checked is None else F.slice("interest_weights", 1, checked)
     bad = F.filter(
         F.transform(
             rows,

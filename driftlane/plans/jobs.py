@@ -14,6 +14,7 @@ from driftlane.functions import weights as wt
 from driftlane.operators import classify, ingest, session, subscriptions, terms
 from driftlane.operators import longitudinal as lg
 from driftlane.plans.staging import stage
+from driftlane.sources import sinks
 from driftlane.sources.readers import explode_cards
 from driftlane.sources.rulebook import RuleBook
 
@@ -180,29 +181,38 @@ def daily_observations(tables: dict[str, DataFrame], envelopes: DataFrame) -> Da
 
     rows = interest.unionByName(term_field("keyword", tables["keywords"])).unionByName(term_field("tag", tables["tags"]))
     names = tables["summary"].select(*SESSION, F.col("behavior_profile_name").alias("candidate_name"))
-    return rows.join(when, SESSION).join(names, SESSION, "left").select(
+    dated = rows.join(when, SESSION).join(names, SESSION, "left")
+    # of several sessions of a profile's day the newest counts
+    return sinks.latest_collection(dated).select(
         "profile_id", "day", "recorded_at", "candidate_name", "field", "key", "value", "weight", "surfaces"
     )
 
 
 # ---------------------------------------------------------------- 4. longitudinal
-def longitudinal(daily: DataFrame, as_of, meta: DataFrame, channels: DataFrame | None = None) -> dict[str, DataFrame]:
+def longitudinal(
+    daily: DataFrame, as_of, meta: DataFrame, channels: DataFrame | None = None, previous: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Interest, term, name and lane tables on one evaluation day.
 
-    ``meta``: profile_id, key, name, demand of the newest session.
+    ``meta``: profile_id, key, name, demand of the newest session. ``previous``: the
+    same of the last profile, for interests the newest session lacks.
     """
+    facts = ["profile_id", "key", "name", "demand"]
+    if previous is not None:
+        meta = meta.select(facts).unionByName(previous.select(facts).join(meta.select("profile_id", "key"), ["profile_id", "key"], "left_anti"))
+    days = daily.select("profile_id", "day").distinct()
     interest = daily.filter("field = 'interest'")
     today = interest.filter(F.col("day") == F.lit(as_of).cast("date"))
-    trends = lg.interest_trends(interest, as_of)
+    trends = lg.interest_trends(interest, as_of, days)
     rows = stage(lg.interest_rows(trends, today, meta))
     candidates = daily.filter("candidate_name is not null").groupBy("profile_id", "day").agg(
-        F.max("candidate_name").alias("candidate")
+        F.max_by("candidate_name", "recorded_at").alias("candidate")
     )
     names = lg.stable_names(candidates)
     out = {
         "interests": rows,
-        "keywords": lg.term_trends(daily.filter("field = 'keyword'"), as_of, 40),
-        "tags": lg.term_trends(daily.filter("field = 'tag'"), as_of, 35),
+        "keywords": lg.term_trends(daily.filter("field = 'keyword'"), as_of, 40, days),
+        "tags": lg.term_trends(daily.filter("field = 'tag'"), as_of, 35, days),
         "names": names,
         "previous_names": lg.previous_names(names),
         "shape": lg.profile_shape(rows),

@@ -1,27 +1,19 @@
-"""Cutting lineage between the stages of a plan."""
+"""Cutting lineage between the stages of a job."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the session.
+    """Checkpoint folder of the session, from ``spark.checkpoint.dir``.
 
-    Taken from ``spark.checkpoint.dir``. Only a local session without the
-    setting, as in tests, gets a folder of its own.
+    There is no default: the folder must be one that all executors share.
     """
     context = spark.sparkContext
-    folder = context.getCheckpointDir()
-    if folder:
-        return folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="driftlane-checkpoint-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(folder)
     return folder
 
@@ -30,7 +22,9 @@ def stage(df: DataFrame) -> DataFrame:
     """Materialises a frame that several later steps read.
 
     The rows are written to the shared folder, so a lost executor costs one
-    reread instead of the whole lineage.
+    reread instead of the whole lineage. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` they go when unused.
     """
-    checkpoint_dir(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -88,8 +88,9 @@ def explode_cards(snapshots: DataFrame) -> DataFrame:
         for name in (
             "video_id", "title", "channel", "url", "metadata_text", "duration_text",
             "subscription_state", "description", "tags", "youtube_category_id",
-            "youtube_topics", "published_at", "statistics",
+            "youtube_topics", "published_at", "statistics", "view_count", "like_count", "comment_count",
         )
+        if name in snapshots.schema["items"].dataType.elementType.names
     ]
     return rows.select(*envelope, place.cast("int").alias("position"), *card)
 

@@ -5,7 +5,8 @@ CARD = """struct<
     metadata_text: string, duration_text: string, subscription_state: string,
     description: string, tags: array<string>, youtube_category_id: string,
     youtube_topics: array<string>, published_at: string,
-    statistics: struct<view_count: string, like_count: string, comment_count: string>>"""
+    statistics: struct<view_count: string, like_count: string, comment_count: string>,
+    view_count: string, like_count: string, comment_count: string>"""
 
 SNAPSHOT = f"""
     source string, captured_at string, collection_session_id string,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +13,8 @@ from driftlane.operators import validate
 from driftlane.sources import readers, schemas, sinks
 
 KEYS = [*ia.PROFILE, "day", "event_id"]
+# Days are literals in the plan of a batch: a handful, late events included.
+MAX_BATCH_DAYS = 2_000
 
 
 def line_stream(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
@@ -28,45 +29,51 @@ def drop_in_flight(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return timed.withWatermark("_arrival", delay).dropDuplicatesWithinWatermark(KEYS).drop("_arrival")
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table written so far, or None while there is no data file."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def batch_days(rows: DataFrame) -> list:
+    """Days of a batch, as literals that prune partitions; too many are an error."""
+    days = [r["day"] for r in rows.select("day").distinct().limit(MAX_BATCH_DAYS + 1).collect()]
+    if len(days) > MAX_BATCH_DAYS:
+        raise ValueError(f"a batch touches over {MAX_BATCH_DAYS} days; lower maxFilesPerTrigger")
+    return days
+
+
+def quarantine(rows: DataFrame, path: str, batch: int) -> None:
+    """Writes the rejected lines of a batch; a repeated batch replaces its own."""
+    rows.select("value", "errors").write.mode("overwrite").parquet(os.path.join(path, f"batch={batch}"))
 
 
-def write_batch(lines: DataFrame, root: str) -> None:
-    """Validate, de-duplicate, append and refresh the days a batch touches.
+def write_batch(lines: DataFrame, root: str, batch: int = 0) -> None:
+    """Validate, de-duplicate, append and refresh what a batch touches.
 
-    Repeating a batch changes nothing: events already stored are left out, and
-    days are recomputed from the stored events. Late events need no special
-    case, since their own day is recomputed.
+    Repeating a batch changes nothing: events already stored are left out, rejects
+    replace those of the same batch, and the touched (profile, day) pairs are
+    recomputed from the stored events. Late events need no special case, since
+    their own day is recomputed. Ids are also stored hashed.
     """
     spark = lines.sparkSession
     events_path, daily_path, bad_path = (os.path.join(root, n) for n in ("events", "daily", "quarantine"))
     checked = validate.validate_events(readers.parse_lines(lines.select("value"), schemas.EVENT)).persist()
     try:
         valid, bad = validate.split(checked)
-        bad.select("value", "errors").write.mode("append").parquet(bad_path)
-        batch = validate.sanitize_events(valid.select("_row.*"))
-        known = stored(spark, events_path)
-        fresh = ia.dedup(batch, KEYS) if known is None else ia.new_events(batch, known, KEYS)
-        sinks.append_by_day(fresh, events_path)
-        written = stored(spark, events_path)
-        if written is None:
+        quarantine(bad, bad_path, batch)
+        rows = validate.sanitize_events(valid.select("_row.*"))
+        days = batch_days(rows)
+        if not days:
             return
-        days = batch.select("day").distinct()
-        # the days of the batch prune the partitions of the stored events
-        touched = written.join(days, "day", "left_semi")
-        sinks.replace_days(ia.daily(touched), daily_path)
+        known = sinks.stored(spark, events_path)
+        fresh = ia.dedup(rows, KEYS) if known is None else ia.new_events(rows, known.filter(F.col("day").isin(days)), KEYS)
+        sinks.append_by_day(sinks.with_hashed_ids(fresh), events_path)
+        pair = [*ia.PROFILE, "day"]
+        written = sinks.stored(spark, events_path).filter(F.col("day").isin(days))
+        touched = written.join(rows.select(*pair).distinct(), pair, "left_semi")
+        sinks.replace_days(ia.daily(touched), daily_path, ia.PROFILE)
     finally:
         checked.unpersist()
 
 
 def start(lines: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, _: write_batch(df, root)
+        lambda df, batch: write_batch(df, root, batch)
     )
     if once:
         writer = writer.trigger(availableNow=True)

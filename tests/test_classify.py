@@ -1,17 +1,21 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from driftlane.operators import classify as k
-from driftlane.sources.rulebook import RuleBook
+from driftlane.sources import schemas
+from driftlane.sources.rulebook import RuleBook, tables_of
 
-BOOK = RuleBook.from_dict({
+DICTIONARY = {
     "categories": [
         {"id": "games", "youtube_video_category_ids": [20], "entities": ["t1"], "anchors": ["game", "lol"], "support": ["rank", "final"]},
         {"id": "music", "youtube_video_category_ids": [10], "anchors": ["song", "remix"], "support": ["live", "final"]},
         {"id": "education", "anchors": ["lịch sử", "study"], "support": []},
     ],
     "intents": {"news": {"anchors": ["ngày ", "breaking"]}, "review": {"anchors": ["review"]}},
-})
+}
+BOOK = RuleBook.from_dict(DICTIONARY)
 CARD = "title string, channel string, tags array<string>, description string, youtube_topics array<string>, youtube_category_id string"
 
 
@@ -75,19 +79,45 @@ def test_intents(spark):
     assert row.intent_profile.top_intent == "news"
 
 
-def test_join_path_finds_the_same_hits(spark):
-    texts = ["Game final, song!", "lol-t1 #rank", "no hit", "remix study lịch sử", "c++ game"]
-    cards = spark.createDataFrame([(t, None, [t, "live"], t[::-1], None, None) for t in texts], CARD).withColumn("id", F.monotonically_increasing_id())
-    folded = k.with_folded_sources(cards)
-    rules = spark.createDataFrame(list(enumerate(k.folded(BOOK.rules))), "number int, phrase string")
-    inline = {r.id: r._found for r in k.with_rule_numbers(folded, BOOK).select("id", "_found").collect()}
-    joined = {r.id: r._found for r in k.hits_by_join(folded, "id", rules).select("id", "_found").collect()}
-    assert inline == joined
+def tables(spark, dictionary):
+    line = spark.createDataFrame([(json.dumps(dictionary),)], "value string")
+    return tables_of(line.select(F.from_json("value", " ".join(schemas.RULES.split())).alias("d")).select("d.*"))
+
+
+def profiles(df):
+    kept = ["classification", "target_profile", "intent_profile"]
+    return {r.id: r[1:] for r in df.select("id", *kept).collect()}
+
+
+def test_rule_tables_give_the_same_rows(spark):
+    texts = ["Game final, song!", "lol-t1 #rank", "no hit", "remix study lịch sử", "c++ game", "breaking review ngày 5", ""]
+    cards = spark.createDataFrame([(t, None, [t, " live "], t[::-1], None, None) for t in texts], CARD).withColumn("id", F.monotonically_increasing_id())
+    dictionary = DICTIONARY | {"scoring": {"entity": 9.0, "support": 0.5, "youtube_category": 1.0, "source_multipliers": {"tags": 2.0}}}
+    inline, joined = k.classify(cards, RuleBook.from_dict(dictionary)), k.classify_with_tables(cards, "id", tables(spark, dictionary))
+    assert profiles(inline) == profiles(joined)
+
+
+def test_dictionary_of_any_size(spark):
+    dictionary = {"categories": [{"id": "a", "anchors": [f"w{i}" for i in range(20_000)]}, {"id": "b", "anchors": ["w7 w8"]}]}
+    cards = spark.createDataFrame([("w19999 and w3", None, None, "w7 w8", None, None)], CARD).withColumn("id", F.lit(1))
+    row = profiles(k.classify_with_tables(cards, "id", tables(spark, dictionary)))[1][0]
+    assert {e.phrase for hits in row.evidence.values() for e in hits} == {"w19999", "w3", "w7", "w8", "w7 w8"}
+    assert len(RuleBook.from_dict(dictionary).rules) == 20_001
+
+
+def test_scoring_block_changes_scores():
+    book = RuleBook.from_dict({"scoring": {"anchor": 1.5, "youtube_category": 2, "source_multipliers": {"title": 3.0}}})
+    assert book.kind_weight["anchor"] == 1.5 and book.kind_weight["entity"] == 6.0
+    assert book.source_weight["title"] == 3.0 and book.official_weight == 2.0
 
 
-def test_dictionary_too_large_to_inline():
-    with pytest.raises(ValueError):
-        RuleBook.from_dict({"categories": [{"id": "a", "anchors": [f"w{i}" for i in range(6000)]}]})
+def test_undated_cards_have_no_demand(spark):
+    rows = [(1, ("1000", "5", None), None, None), (2, ("1000", None, None), "2026-08-20T00:00:00Z", None), (3, None, "no date", "70"), (4, (None, None, None), "2026-08-20T00:00:00Z", "70")]
+    cards = spark.createDataFrame(rows, "id int, statistics struct<view_count: string, like_count: string, comment_count: string>, published_at string, view_count string")
+    got = {r.id: r.popularity_profile for r in k.popularity(cards, F.lit("2026-08-21T00:00:00Z")).collect()}
+    assert got[1].available and got[1].age_days is got[1].demand_signal is got[1].avg_views_per_day is None and got[1].like_count == 5
+    assert got[2].age_days == 1.0 and got[2].avg_views_per_day == 1000.0
+    assert got[3].view_count == 70 and got[3].demand_signal is None and got[4].avg_views_per_day == 70.0
 
 
 @pytest.mark.parametrize("raw,share,margin,level", [

@@ -7,8 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftlane.operators import community, ingest, validate
-from driftlane.plans import jobs
+from driftlane.operators import community, ingest, joins, validate
+from driftlane.operators import longitudinal as lg
+from driftlane.operators import nodes as nodes_ops
+from driftlane.plans import jobs, staging
 from driftlane.sources import readers, sinks
 from driftlane.sources.rulebook import load_rulebook
 
@@ -118,3 +120,46 @@ def test_manifest_and_latest_collection(spark, world):
     assert len(rows) == 9 and all((r.entries, r.item_count) == (3, 24) for r in rows)
     df = spark.createDataFrame([("p", "d", "1", "old"), ("p", "d", "2", "new"), ("p", "d", "2", "new2")], "profile_id string, day string, recorded_at string, v string")
     assert sorted(r.v for r in sinks.latest_collection(df).collect()) == ["new", "new2"]
+
+
+def test_same_day_replacement_keeps_other_profiles(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    schema = "profile_id string, day date, recorded_at string, session_id string, v int"
+    day = dt.date(2026, 8, 23)
+    run = lambda *rows: sinks.replace_days(sinks.latest_collection(spark.createDataFrame(list(rows), schema)), path)
+    run(("a", day, "1", "s1", 1), ("b", day, "1", "s1", 2), ("b", day, "1", "s1", 3), ("c", dt.date(2026, 8, 22), "1", "s", 9))
+    run(("a", day, "2", "s2", 4), ("a", day, "2", "s3", 5), ("d", day, "1", "s", 6))
+    assert sorted((r.profile_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 5), ("b", 2), ("b", 3), ("c", 9), ("d", 6)]
+    run(("a", day, "3", "s4", 7))
+    assert sorted((r.profile_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 7), ("b", 2), ("b", 3), ("c", 9), ("d", 6)]
+
+
+def test_lookup_spreads_rows_without_a_key(spark):
+    left = spark.createDataFrame([("a", 1), (None, 2), ("a", 3), (None, 4), ("z", 5)], "k string, n int")
+    right = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "w")], "k string, v string")
+    assert sorted((r.n, r.k, r.v) for r in joins.lookup(left, right, "k").collect()) == [(1, "a", "x"), (2, None, None), (3, "a", "x"), (4, None, None), (5, "z", None)]
+
+
+def test_trees_without_hits_get_a_row(spark):
+    nodes = spark.createDataFrame([(1, 0, "home", None, None, "x", False), (2, 0, "nothing here", None, None, "x", False)],
+                                  "id int, place int, text string, content_description string, view_id string, class_name string, selected boolean")
+    trees = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    got = {r.id: (r.surface, round(r.confidence, 2), len(r.evidence)) for r in nodes_ops.guess_surface(nodes, ["id"], trees=trees).collect()}
+    assert got[2] == ("unknown", 0.15, 0) and got[3] == ("unknown", 0.0, 0) and got[1][0] == "home" and got[1][2] == 1
+
+
+def test_term_history_counts_the_profile(spark):
+    days = [dt.date(2026, 8, 22), dt.date(2026, 8, 23)]
+    tags = spark.createDataFrame([("p", days[1], "x", 1.0)], "profile_id string, day date, key string, weight double")
+    every = spark.createDataFrame([("p", d) for d in days], "profile_id string, day date")
+    assert lg.term_trends(tags, days[1], 5).first().trend_state == "baseline"
+    assert lg.term_trends(tags, days[1], 5, every).first().trend_state == "emerging"
+
+
+def test_staging_needs_a_shared_folder(spark):
+    class Without:
+        sparkContext = type("C", (), {"getCheckpointDir": staticmethod(lambda: None)})
+        conf = type("F", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError):
+        staging.checkpoint_dir(Without)
