@@ -135,7 +135,8 @@ def with_rule_numbers(cards: DataFrame, book: RuleBook, lower_only: bool = False
             _at(category_no, h["number"]).alias("category_no"), _at(kind, h["number"]).alias("kind"), _at(phrase, h["number"]).alias("phrase"),
         ),
     )
-    return cards.withColumn("_found", found.cast(FOUND))
+    # held: two scorers read it, and inlined it would be built for each of their mentions
+    return hold(cards.withColumn("_found", found.cast(FOUND)), "_found")
 
 
 def _mark_words(col: Column) -> Column:
@@ -218,9 +219,10 @@ def hits_by_join(
             c["phrase"]["category_no"].alias("category_no"), c["phrase"]["kind"].alias("kind"), c["phrase"]["label"].alias("phrase"),
         ),
     )
-    return joined.withColumn("_found", F.coalesce(kept.cast(FOUND), F.array().cast(FOUND))).drop(
+    out = joined.withColumn("_found", F.coalesce(kept.cast(FOUND), F.array().cast(FOUND))).drop(
         "_candidates", *[f"_marked_{s}" for s in texts], *[f"_own_{s}" for s in texts]
     )
+    return hold(out, "_found")
 
 
 def scored_hits(source_weight: dict, weight) -> Column:
