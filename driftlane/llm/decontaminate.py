@@ -123,9 +123,9 @@ def contamination(documents: DataFrame, items: DataFrame, size: int = 10) -> Dat
 def remove_contaminated(documents: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The documents without a word inside an item's window, all their columns kept."""
     dirty = contamination(documents, items, size).where("contaminated").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = documents.withColumn("_text_hash", F.xxhash64("text"))
-    return keyed.join(dirty, F.expr("doc_id <=> _id and _text_hash = _hash"), "left_anti").drop("_text_hash")
+        F.col("doc_id").alias("_dirty_id"), F.col("text_hash").alias("_dirty_hash")).distinct()
+    keyed = documents.withColumn("_dirty_text", F.xxhash64("text"))
+    return keyed.join(dirty, F.expr("doc_id <=> _dirty_id and _dirty_text = _dirty_hash"), "left_anti").drop("_dirty_text")
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

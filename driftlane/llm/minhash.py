@@ -210,7 +210,7 @@ def linked(documents: DataFrame, shingle: int, percent: int, coordinates: int =
                 taken = np.concatenate([sets[ends[k] - counts[k]:ends[k]] for k in same]) if len(same) else sets[:0]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same + at)), blobs(taken, counts[same])], ["node", "shingles"])
 
-    texts = documents.join(wanted, F.expr("doc_id <=> _id")).select("_node", "_key", documents["text"])
+    texts = documents.select("doc_id", "text").join(wanted, F.expr("doc_id <=> _id")).select("_node", "_key", "text")
     sets = texts.mapInArrow(gather, "node long, shingles binary").dropDuplicates(["node"])
     work = placed.join(sets, "node").join(classes.select("node", "signature"), "node")
 
@@ -229,8 +229,8 @@ def linked(documents: DataFrame, shingle: int, percent: int, coordinates: int =
 
 def drop_near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group: the one with the group's smallest id. Rows without an id stay."""
-    gone = linked(documents, shingle, percent).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = linked(documents, shingle, percent).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return documents.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
 
 
 SQL = r"""

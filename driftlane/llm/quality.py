@@ -171,9 +171,9 @@ def resampled(documents: DataFrame, labels: DataFrame, seed: int = SEED) -> Data
 
 def select_good(documents: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``documents`` that the resampling keeps, all their columns."""
-    kept = resampled(documents, labels, seed).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    keyed = documents.withColumn("_text_hash", F.xxhash64("doc_id", "text"))
-    return keyed.join(kept, F.expr("doc_id <=> _id and _text_hash = _hash"), "left_semi").drop("_text_hash")
+    kept = resampled(documents, labels, seed).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    keyed = documents.withColumn("_kept_text", F.xxhash64("doc_id", "text"))
+    return keyed.join(kept, F.expr("doc_id <=> _kept_id and _kept_text = _kept_hash"), "left_semi").drop("_kept_text")
 
 
 @bound("op2_quality")
