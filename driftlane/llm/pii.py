@@ -5,6 +5,7 @@ term and a protected value, the corpus says how often the term occurs, in how ma
 the value stands within ``NEAR`` words, and so how likely the value is given the term. Terms whose
 disclosure reaches the threshold are generalised wherever they occur. Places are counted by
 fingerprint (the least word hashes before and after the term), so that copies of one passage count once.
+Words inside a direct identifier are no places of a term.
 
 A null text has no spans and stays null. Rows with the same id and text get the same spans. A null
 id is a value like any other. Spans count code points, end exclusive. Extra columns pass through
@@ -114,6 +115,14 @@ def code_points(words: Words) -> np.ndarray:
     return before
 
 
+def covered(starts: np.ndarray, ends: np.ndarray, spans: list) -> np.ndarray:
+    """Which words of a text (code points of their starts and ends, in order) overlap one of its spans."""
+    inside = np.zeros(len(starts), bool)
+    for s, _, e, _ in spans:
+        inside[np.searchsorted(ends, s, "right"):np.searchsorted(starts, e, "left")] = True
+    return inside
+
+
 def _surroundings(texts: list[str], spans: list[list]) -> list[list[tuple[int, int, int]]]:
     """(value, term, fingerprint) of the terms around each identifier, for texts that have some."""
     out: list[list] = [[] for _ in texts]
@@ -124,9 +133,7 @@ def _surroundings(texts: list[str], spans: list[list]) -> list[list[tuple[int, i
             origin = points[words.offsets[k]]
             low, high = words.first[k], words.first[k + 1]
             starts, ends = points[words.starts[low:high]] - origin, points[words.ends[low:high]] - origin
-            inside = np.zeros(high - low, bool)
-            for s, _, e, _ in spans[first + k]:
-                inside[np.searchsorted(ends, s, "right"):np.searchsorted(starts, e, "left")] = True
+            inside = covered(starts, ends, spans[first + k])
             for s, kind, e, value in spans[first + k]:
                 left, right = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")
                 near = np.r_[max(0, left - NEAR):left, right:min(high - low, right + NEAR)]
@@ -158,6 +165,7 @@ def scanned(documents: DataFrame) -> DataFrame:
 def occurrences(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, end, term, place of every place where a word may be one of ``terms``.
 
+    Words inside direct identifiers are no places: there the word is a part of the value, not next to it.
     A bit array of fixed size marks the terms, so a few other words pass; the caller joins.
     """
     marks = np.zeros(MARKS, bool)
@@ -173,10 +181,15 @@ def occurrences(documents: DataFrame, terms: DataFrame) -> DataFrame:
                 text_of = np.repeat(np.arange(len(words.counts)), words.counts)
                 points = code_points(words)
                 origin = points[words.offsets[text_of[at]]]
+                starts, ends = points[words.starts[at]] - origin, points[words.ends[at]] - origin
+                free = np.ones(len(at), bool)
+                some, low = np.unique(text_of[at], return_index=True)
+                for k, s, e in zip(some.tolist(), low, np.append(low[1:], len(at))):
+                    free[s:e] = ~covered(starts[s:e], ends[s:e], identifiers(batch.column(2)[first + k].as_py()))
+                at, starts, ends = at[free], starts[free], ends[free]
                 rows = pa.array(first + text_of[at])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(points[words.starts[at]] - origin),
-                    pa.array(points[words.ends[at]] - origin), pa.array(hashes[at].view(np.int64)),
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts), pa.array(ends), pa.array(hashes[at].view(np.int64)),
                     pa.array(fingerprints(hashes, text_of, at).view(np.int64)),
                 ], ["doc_id", "text_hash", "start", "end", "term", "place"])
 

@@ -178,6 +178,18 @@ def test_revealing_terms(spark):
     assert [tuple(s) for s in spans[301]] == [(6, 4, 13)]
 
 
+def test_revealing_terms_inside_the_value(spark):
+    rng = random.Random(16)
+    rows = [(k, f"{prose(rng, 12)} Zorblax wrote from zorblax@example.org {prose(rng, 12)}") for k in range(8)]
+    rows += [(100 + k, f"{prose(rng, 20)} common {prose(rng, 5)}") for k in range(20)] + [(300, f"{prose(rng, 9)} Zorblax came back")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cleaned = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all("orblax" not in cleaned[k] and "[EMAIL]" in cleaned[k] for k in range(8))
+    assert cleaned[300].endswith("[TERM] came back") and "common" in cleaned[100]
+    spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.personal_data(docs).collect()}
+    assert spans[0].count(0) == 1 and 4 in spans[0] and 4 in spans[300]
+
+
 def test_licenses():
     for rng in (random.Random(k) for k in range(200)):
         a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))] for _ in range(2))
