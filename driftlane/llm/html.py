@@ -10,7 +10,9 @@ host with a third of all pages is no large group.
 
 Repetition alone is not enough: articles quote lines that other pages have too, and menus or adverts
 may stand on one page only. So words inside an article (or main) element are never removed as repeats,
-and elements that are furniture by tag, role, class or id are removed even if unique.
+and elements that are furniture by tag, role, class or id are removed even if unique. A class or id
+names furniture only as a whole: each of its words must be a furniture or layout word. Inside an
+article that goes for containers and a shorter list; ids of headings, paragraphs and sections never count.
 
 Null and empty html gives empty text; a page without markup is one block. Null hosts count as one
 host. Repeated rows of one page count as one page (by page_id and html), so a page never repeats
@@ -38,11 +40,44 @@ RUN = 6
 BROADCAST_BYTES = 32_000_000
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-RAW = frozenset("script style noscript template textarea title svg iframe object select canvas math xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select canvas annotation annotation-xml xmp noembed noframes".split())
+#: Of these, what holds text of its own inside an article.
+TEXT_IN_MAIN = frozenset(("noscript", "object"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr br".split())
+    "time tt u var wbr br math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts mfenced menclose mstyle mspace "
+    "mpadded mphantom merror mtable mtr mtd semantics".split())
+FURNITURE = frozenset("head nav footer aside form button menu dialog fieldset".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
+#: Words of a class or id that name furniture, and those that may stand beside one in a furniture name ("share-buttons", but not "share-prices").
+ADVERT = r"ads?|advert\w*|adsense|sponsored"
+IN_ARTICLES = ADVERT + (
+    r"|banner|sponsors?|promos?|nav|navbar|navigation|menu\w*|sidebar|footer|breadcrumbs?|newsletter|subscribe|share|sharing|social|related|recommended|recommendations|trending|"
+    r"comments|disqus|pagination|pager|toolbar|widget")
+ANYWHERE = IN_ARTICLES + (
+    r"|sponsor\w*|promo\w*|nav\w*|side|masthead|cookie\w*|consent|gdpr|notice|notification|popup|modal|overlay|signup|login|recommend\w*|comment|reply|replies|respond|"
+    r"skip|search\w*|copyright|legal")
+LAYOUT = (
+    r"\d+|site|page|global|main|primary|secondary|top|bottom|left|right|header|footer|inner|outer|box|bar|block|area|wrap|wrapper|container|content|holder|section|panel|column|col|row|slot|unit|"
+    r"group|links?|list|items?|buttons?|btns?|icons?|form|input|field|media|posts?|articles?|stories|story|text|to|and|us|our|policy|info|js|is|has|fixed|sticky|desktop|mobile")
+
+
+def _names(marks: str) -> re.Pattern:
+    """Whole class or id names made of ``marks`` and layout words, with at least one mark."""
+    return re.compile(rf"(?:(?:{LAYOUT})[_-]+)*(?:{marks})(?:[_-]+(?:{LAYOUT}|{marks}))*", re.I)
+
+
+ADVERT, IN_ARTICLES, ANYWHERE = map(_names, (ADVERT, IN_ARTICLES, ANYWHERE))
+#: Elements that group others; inside an article only they are furniture by name (adverts apart), and ids count only outside sections.
+CONTAINERS = frozenset("div aside ul ol section".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p section blockquote pre figure dl dt dd".split())
+MAIN = frozenset(("noscript", "object"))
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup "
+    "time tt u var wbr br math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts mfenced menclose mstyle mspace "
+    "mpadded mphantom merror mtable mtr mtd semantics".split())
 FURNITURE = frozenset("head nav footer aside form button menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 MARKS = re.compile(
@@ -64,7 +99,11 @@ def _furniture(tag: str, attributes: str, in_main: bool) -> bool:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or "hidden" in ATTRIBUTE.sub("", attributes).split():
         return True
-    return tag not in MAIN and bool(MARKS.search(f"{found.get('class', '')} {found.get('id', '')}"))
+    if tag in MAIN:
+        return False
+    marks = (IN_ARTICLES if tag in CONTAINERS else ADVERT) if in_main else ANYWHERE
+    names = found.get("class", "").split() + ([] if tag in PROSE else found.get("id", "").split())
+    return any(marks.fullmatch(n) for n in names)
 
 
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
@@ -94,7 +133,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
         tag = hit[2].lower() if hit[2] else None
         if tag is None:
             continue
-        if tag in RAW and not hit[1]:
+        if tag in RAW and not hit[1] and not (main and tag in TEXT_IN_MAIN):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue

@@ -220,6 +220,19 @@ def test_html(spark):
         assert found[k] == f"{k}x stays here <b>\nTitle {k}\nfirst line\nsecond {shared}"
 
 
+def test_html_names_that_only_look_like_furniture():
+    parts = ["<section id='legal-issues'>one</section>", "<h2 id='related-work'>two</h2>", "<div id='search-engines'>three</div>", "<p class='notice-period'>four</p>",
+             "<section id='share-prices'>five</section>", "<div id='navigation-systems'>six</div>", "<div class='social-security'>seven</div>"]
+    gone = ["<div class='ad'>x</div>", "<div class='share-buttons'>x</div>", "<ul class='social_links'><li>x</ul>", "<span class='ad'>x</span>", "<div id='comments'>x</div>"]
+    seven = "one two three four five six seven".split()
+    for page in ("<article>{}</article>", "<main><div>{}</div></main>", "<body>{}</body>"):
+        assert [t for t, _, waste in html.blocks(page.format("".join(parts + gone))) if not waste] == seven, page
+    assert all(waste for _, _, waste in html.blocks("<div class='site-footer'>x</div><div id='cookie-banner'>y</div><div class='widget search-form'>z</div>"))
+    inside = "<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds<noscript>still here</noscript><object>and this</object>"
+    assert [t for t, *_ in html.blocks(f"<article>{inside}</article>")] == ["so x=1 holds", "still here", "and this"]
+    assert [t for t, *_ in html.blocks("<noscript>turn scripts on</noscript>")] == []
+
+
 def test_quality_tells_junk_apart(spark):
     rng = random.Random(9)
     rows, labels = [], []
