@@ -4,7 +4,9 @@ Words are runs of letters and digits, lower-cased (A-Z). A place is looked at if
 the template's length holds enough of its words. There, text and template are aligned: equal ends are
 matched off, then the words that occur once in both are anchors, the longest increasing subsequence
 of their places is kept, and the gaps between anchors are aligned in the same way. Coverage is the
-share of the template's words that are aligned.
+share of the template's words that are aligned; templates of fewer than SHORT words need LEAST_SHORT of
+them. Words that set a template apart from its siblings (name, version, NC or SA) are its keys: each key
+must stand in the text word by word, and the rest of the template is aligned on both sides of the first.
 
 Null and empty texts have no notice. Templates without words are never found. Several notices in one
 text are found each for itself. Ties between templates go to the one with more aligned words, then by
@@ -27,33 +29,78 @@ from driftlane.llm.words import slices
 
 #: Share of a template's words that must be aligned.
 LEAST = 0.75
+#: Templates of fewer words need a larger share.
+SHORT, LEAST_SHORT = 20, 0.8
 NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = NOT_ALNUM[48:58] = NOT_ALNUM[128:] = False
 
 # Notices and grants as their authors word them.
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.")
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
+    "either version {version} of the License, or (at your option) any later version.")
+
 TEMPLATES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "AGPL-3.0-header": _GNU.format(name="GNU Affero General Public License", version="3"),
+    "Apache": "Released under the Apache License",
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution."),
+    "BSD": "Released under the BSD License",
+    "BSD-2-Clause": _BSD_2,
+    "BSD-2-Clause-header": "Released under the BSD 2-Clause License",
+    "BSD-3-Clause": _BSD_2 + (
+        " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."),
+    "BSD-3-Clause-header": "Released under the BSD 3-Clause License",
     "CC-BY-4.0": "Licensed under CC BY 4.0",
+    "CC-BY-4.0-header": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC-BY-NC-4.0-header": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "CC-BY-SA-4.0-header": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0": "Licensed under CC0 1.0",
+    "GPL": "Released under the GNU General Public License",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "GPL-2.0-header": _GNU.format(name="GNU General Public License", version="2"),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "GPL-3.0-header": _GNU.format(name="GNU General Public License", version="3"),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies."),
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-2.1-header": _GNU.format(name="GNU Lesser General Public License", version="2.1"),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "LGPL-3.0-header": _GNU.format(name="GNU Lesser General Public License", version="3"),
     "MIT": "Released under the MIT License",
     "MIT-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
         "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+}
+
+_OF = {"AGPL": "GNU Affero General Public License", "GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License"}
+#: Phrases of a template that must stand in the text as they are.
+KEYS = {
+    "Apache": ["Apache License"], "Apache-1.1": ["Apache License, Version 1.1"], "Apache-2.0": ["Apache License, Version 2.0"], "Apache-2.0-header": ["Apache License, Version 2.0"],
+    "BSD": ["BSD License"], "BSD-2-Clause-header": ["BSD 2-Clause"], "BSD-3-Clause": ["endorse or promote products derived from this software"],
+    "BSD-3-Clause-header": ["BSD 3-Clause"], "CC-BY-4.0": ["CC BY 4.0"], "CC-BY-4.0-header": ["Creative Commons Attribution 4.0"], "CC-BY-NC-4.0": ["CC BY-NC 4.0"],
+    "CC-BY-NC-4.0-header": ["Creative Commons Attribution-NonCommercial 4.0"], "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0"],
+    "CC-BY-SA-4.0-header": ["Creative Commons Attribution-ShareAlike 4.0"], "CC0-1.0": ["CC0 1.0"], "GPL": [_OF["GPL"]], "MIT": ["MIT License"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0"],
+    **{f"{k}-{v}": [f"{_OF[k]}, version {v.removesuffix('.0')}"] for k, v in (("AGPL", "3.0"), ("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"))},
+    **{f"{k}-{v}-header": [_OF[k], f"version {v.removesuffix('.0')} of the License"] for k, v in (("AGPL", "3.0"), ("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"))},
 }
 
 
@@ -125,8 +172,37 @@ def places(words: np.ndarray, template: np.ndarray, least: float) -> Iterator[tu
             yield int(s), int(e) + reach
 
 
-def notices(words: np.ndarray, template: np.ndarray, least: float) -> list[tuple[int, int, int]]:
-    """(aligned words, start, end) of the template's places in a text, in order, not overlapping."""
+def find(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """Places at which a phrase starts in a text."""
+    n = len(words) - len(phrase) + 1
+    at = np.flatnonzero(words[:max(0, n)] == phrase[0])
+    for k in range(1, len(phrase)):
+        at = at[words[at + k] == phrase[k]]
+    return at
+
+
+def keyed_notices(words: np.ndarray, template: np.ndarray, least: float, keys: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+    """As ``notices``, for a template with keys: aligned on both sides of each place of the first key."""
+    out, n, wanted, upto = [], len(template), template.tolist(), 0
+    spots = [int(find(template, key)[0]) for key in keys]
+    q, size = spots[0], len(keys[0])
+    for p in find(words, keys[0]).tolist():
+        if p < upto:
+            continue
+        low, high = max(upto, p - 2 * q), p + size
+        left = aligned(words[low:p].tolist(), wanted[:q])
+        right = aligned(words[high:high + 2 * (n - q - size)].tolist(), wanted[q + size:])
+        match = [(low + a, b) for a, b in left] + [(p + k, q + k) for k in range(size)] + [(high + a, q + size + b) for a, b in right]
+        place = {b: a for a, b in match}
+        whole = all(place.get(spot, -n) + k == place.get(spot + k) for spot, key in zip(spots, keys) for k in range(len(key)))
+        if whole and len(match) >= least * n:
+            out.append(match)
+            upto = match[-1][0] + 1
+    return out
+
+
+def notices(words: np.ndarray, template: np.ndarray, least: float) -> list[list[tuple[int, int]]]:
+    """Matched places (in the text, in the template) of the template's notices in a text, in order, not overlapping."""
     out, n, wanted = [], len(template), template.tolist()
     for start, end in places(words, template, least):
         at = start
@@ -135,20 +211,24 @@ def notices(words: np.ndarray, template: np.ndarray, least: float) -> list[tuple
             match = aligned(words[at:upto].tolist(), wanted)
             if len(match) >= least * n:
                 at += match[0][0]  # the stretch may have cut the notice's end
-                match = aligned(words[at:at + 2 * n].tolist(), wanted)
-                out.append((len(match), at + match[0][0], at + match[-1][0] + 1))
-                at += match[-1][0] + 1
+                match = [(at + a, b) for a, b in aligned(words[at:at + 2 * n].tolist(), wanted)]
+                out.append(match)
+                at = match[-1][0] + 1
             else:
                 at += max(1, n // 2)
     return out
 
 
-def license_scan(documents: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def license_scan(documents: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, keys: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, n_notices, license, coverage, start_word, end_word of every row.
 
-    The last four are those of the best notice, and null where there is none.
+    The last four are those of the best notice, and null where there is none. Templates of the caller
+    have the keys that the caller gives.
     """
     known = template_words(TEMPLATES if templates is None else templates)
+    given = keys or ({} if templates is not None else KEYS)
+    phrases = {name: list(template_words({str(k): p for k, p in enumerate(given.get(name, []))}).values()) for name in known}
+    shares = {name: max(least, LEAST_SHORT) if len(template) < SHORT else least for name, template in known.items()}
     every = np.unique(np.concatenate(list(known.values()))) if known else np.zeros(0, np.uint64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +243,10 @@ def license_scan(documents: DataFrame, templates: dict[str, str] | None = None,
                     if some[k]:
                         own = hashes[words.first[k]:words.first[k + 1]]
                         for name, template in known.items():
-                            if some[k] >= least * len(template):
-                                found = notices(own, template, least)
+                            if some[k] >= shares[name] * len(template):
+                                found = keyed_notices(own, template, shares[name], phrases[name]) if phrases[name] else notices(own, template, shares[name])
                                 count += len(found)
-                                for n, s, e in found:
+                                for n, s, e in ((len(m), m[0][0], m[-1][0] + 1) for m in found):
                                     rank = (n / len(template), n)
                                     if best is None or rank > best[0]:
                                         best = rank, name, s, e

@@ -209,6 +209,19 @@ def test_license_scan(spark):
     assert found[50]["license"] is found[52]["license"] is None and found[51]["n_notices"] == 2
 
 
+def test_sibling_licenses(spark):
+    said = [
+        ("Released under the Apache License", "Apache"), ("Released under the BSD License", "BSD"), ("Released under the GNU General Public License", "GPL"),
+        ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"), ("This work is licensed under the GNU General Public License, version 3", "GPL-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"), ("This work is licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"),
+        ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY 4.0", "CC-BY-4.0"),
+        ("Licensed under the Apache License, Version 1.1", "Apache-1.1"), ("Licensed under CC0 1.0", "CC0-1.0"), ("Licensed under the MIT License", "MIT"), ("Released under the Zorb License", None),
+        (licenses.TEMPLATES["BSD-3-Clause"], "BSD-3-Clause"), (licenses.TEMPLATES["BSD-2-Clause"], "BSD-2-Clause"), (licenses.TEMPLATES["LGPL-2.1-header"], "LGPL-2.1-header")]
+    rows = [(k, f"Some words. {text}. More words") for k, (text, _) in enumerate(said)]
+    found = {r["doc_id"]: r["license"] for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k] for k in range(len(said))] == [name for _, name in said]
+
+
 def test_html(spark):
     shared = "terms of use apply to every page here"
     page = ("<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href=/>menu {k}</a></nav><div>{shared}</div><div id=main-text>{k}x stays here &lt;b&gt;</div>"
