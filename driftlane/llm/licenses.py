@@ -4,13 +4,15 @@ Words are runs of letters and digits, lower-cased (A-Z). A place is looked at if
 the template's length holds enough of its words. There, text and template are aligned: equal ends are
 matched off, then the words that occur once in both are anchors, the longest increasing subsequence
 of their places is kept, and the gaps between anchors are aligned in the same way. Coverage is the
-share of the template's words that are aligned; templates of fewer than SHORT words need LEAST_SHORT of
-them. Words that set a template apart from its siblings (name, version, NC or SA) are its keys: each key
-must stand in the text word by word, and the rest of the template is aligned on both sides of the first.
+share of the template's words that are aligned. Words that set a template apart from its siblings
+(name, version, NC or SA) are its keys: each key must stand in the text word by word, and the rest of
+the template is aligned on both sides of the first.
 
-Null and empty texts have no notice. Templates without words are never found. Several notices in one
-text are found each for itself. Ties between templates go to the one with more aligned words, then by
-name; between places to the first. Repeated rows are scanned each for itself. Extra columns are ignored.
+Null and empty texts have no notice. Templates without words are never found. Every notice of a text is
+returned. Notices that share words (of a short template with keys, words of its keys) are one notice,
+of the template with more aligned words, then the larger coverage, then by name. The best notice of a
+text has the largest coverage, then more aligned words, then the first name, then the first place. Repeated rows
+are scanned each for itself. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from driftlane.llm.words import slices
 
 #: Share of a template's words that must be aligned.
 LEAST = 0.75
-#: Templates of fewer words need a larger share.
-SHORT, LEAST_SHORT = 20, 0.8
+#: Notices of templates of fewer words are told apart by the places of their keys alone.
+SHORT = 20
 NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = NOT_ALNUM[48:58] = NOT_ALNUM[128:] = False
 
@@ -50,6 +52,7 @@ TEMPLATES = {
     "Apache": "Released under the Apache License",
     "Apache-1.1": "Licensed under the Apache License, Version 1.1",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "Apache-2.0-short": "Licensed under the Apache License 2.0",
     "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
@@ -94,6 +97,7 @@ _OF = {"AGPL": "GNU Affero General Public License", "GPL": "GNU General Public L
 #: Phrases of a template that must stand in the text as they are.
 KEYS = {
     "Apache": ["Apache License"], "Apache-1.1": ["Apache License, Version 1.1"], "Apache-2.0": ["Apache License, Version 2.0"], "Apache-2.0-header": ["Apache License, Version 2.0"],
+    "Apache-2.0-short": ["Apache License 2.0"],
     "BSD": ["BSD License"], "BSD-2-Clause-header": ["BSD 2-Clause"], "BSD-3-Clause": ["endorse or promote products derived from this software"],
     "BSD-3-Clause-header": ["BSD 3-Clause"], "CC-BY-4.0": ["CC BY 4.0"], "CC-BY-4.0-header": ["Creative Commons Attribution 4.0"], "CC-BY-NC-4.0": ["CC BY-NC 4.0"],
     "CC-BY-NC-4.0-header": ["Creative Commons Attribution-NonCommercial 4.0"], "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0"],
@@ -219,16 +223,30 @@ def notices(words: np.ndarray, template: np.ndarray, least: float) -> list[list[
     return out
 
 
+def settled(found: list[tuple[int, float, str, int, int, set[int]]]) -> list[tuple[int, float, str, int, int]]:
+    """(aligned words, coverage, name, start, end) of the notices that remain where several share words, by place.
+
+    The last of the six values of ``found`` are the places that a notice must have for itself.
+    """
+    out, taken = [], set()
+    for *notice, own in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+        if taken.isdisjoint(own):
+            taken |= own
+            out.append(tuple(notice))
+    return sorted(out, key=lambda f: (f[3], f[4], f[2]))
+
+
 def license_scan(documents: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, keys: dict[str, list[str]] | None = None) -> DataFrame:
-    """doc_id, n_notices, license, coverage, start_word, end_word of every row.
+    """doc_id, n_notices, license, coverage, start_word, end_word, notices of every row.
 
-    The last four are those of the best notice, and null where there is none. Templates of the caller
-    have the keys that the caller gives.
+    ``notices`` holds all notices by place, the four columns before it are those of the best one, and
+    null where there is none. Templates of the caller have the keys that the caller gives.
     """
     known = template_words(TEMPLATES if templates is None else templates)
     given = keys or ({} if templates is not None else KEYS)
     phrases = {name: list(template_words({str(k): p for k, p in enumerate(given.get(name, []))}).values()) for name in known}
-    shares = {name: max(least, LEAST_SHORT) if len(template) < SHORT else least for name, template in known.items()}
+    key_places = {name: {int(find(known[name], p)[0]) + k for p in phrases[name] for k in range(len(p))} for name in known}
+    fields = ["license", "coverage", "start_word", "end_word"]
     every = np.unique(np.concatenate(list(known.values()))) if known else np.zeros(0, np.uint64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,26 +257,31 @@ def license_scan(documents: DataFrame, templates: dict[str, str] | None = None,
                 total = np.concatenate([[0], np.cumsum(np.isin(hashes, every))])
                 some = total[words.first[1:]] - total[words.first[:-1]]
                 for k in range(len(words.counts)):
-                    best, count = None, 0
+                    every_notice = []
                     if some[k]:
                         own = hashes[words.first[k]:words.first[k + 1]]
                         for name, template in known.items():
-                            if some[k] >= shares[name] * len(template):
-                                found = keyed_notices(own, template, shares[name], phrases[name]) if phrases[name] else notices(own, template, shares[name])
-                                count += len(found)
-                                for n, s, e in ((len(m), m[0][0], m[-1][0] + 1) for m in found):
-                                    rank = (n / len(template), n)
-                                    if best is None or rank > best[0]:
-                                        best = rank, name, s, e
-                    rows.append((count, *((best[1], best[0][0], best[2], best[3]) if best else (None,) * 4)))
-            columns = list(zip(*rows)) if rows else [()] * 5
+                            n = len(template)
+                            if some[k] >= least * n:
+                                keyed = phrases[name]
+                                for m in keyed_notices(own, template, least, keyed) if keyed else notices(own, template, least):
+                                    marks = {a for a, b in m if not keyed or n >= SHORT or b in key_places[name]}
+                                    every_notice.append((len(m), len(m) / n, name, m[0][0], m[-1][0] + 1, marks))
+                    kept = settled(every_notice)
+                    best = min(kept, key=lambda f: (-f[1], -f[0], f[2], f[3]))[1:] if kept else (None,) * 4
+                    rows.append((len(kept), best[1], best[0], *best[2:], [dict(zip(fields, (f[2], f[1], *f[3:]))) for f in kept]))
+            columns = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
+            kinds.append(pa.list_(pa.struct(list(zip(fields, kinds[1:])))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "n_notices", "license", "coverage", "start_word", "end_word"])
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "n_notices", *fields, "notices"])
 
-    return documents.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_notices long, license string, coverage double, start_word long, end_word long")
+    own = "license string, coverage double, start_word long, end_word long"
+    return documents.select("doc_id", "text").mapInArrow(
+        scan, f"doc_id long, n_notices long, {own}, notices array<struct<license:string,coverage:double,start_word:long,end_word:long>>")
 
 
 @bound("op1_licenses")
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents")).withColumn("coverage", F.round("coverage", 9))
+    found = license_scan(table(spark, sf_dir, "documents")).withColumn("coverage", F.round("coverage", 9))
+    return found.withColumn("notices", F.transform("notices", lambda n: n.withField("coverage", F.round(n["coverage"], 9))))

@@ -222,6 +222,18 @@ def test_sibling_licenses(spark):
     assert [found[k] for k in range(len(said))] == [name for _, name in said]
 
 
+def test_every_notice_of_a_text(spark):
+    texts = [
+        f"Released under the MIT License. Some words between. {licenses.TEMPLATES['GPL-3.0']}.", licenses.TEMPLATES["Apache-2.0-header"], "Licensed under CC BY-NC 4.0",
+        "Released under the MIT License and the GNU General Public License", "Licensed under the GNU General Public License, version 2", "nothing"]
+    found = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    named = [[n["license"] for n in found[k]["notices"]] for k in range(len(texts))]
+    assert named == [["MIT", "GPL-3.0"], ["Apache-2.0-header"], ["CC-BY-NC-4.0"], ["MIT", "GPL"], ["GPL-2.0"], []]
+    assert all(r["n_notices"] == len(r["notices"]) for r in found.values())
+    assert [tuple(n) for n in found[0]["notices"]] == [("MIT", 1.0, 0, 5), ("GPL-3.0", 1.0, 8, 20)]
+    assert (found[0]["license"], found[0]["start_word"], found[0]["end_word"]) == ("GPL-3.0", 8, 20) and found[5]["license"] is None
+
+
 def test_html(spark):
     shared = "terms of use apply to every page here"
     page = ("<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href=/>menu {k}</a></nav><div>{shared}</div><div id=main-text>{k}x stays here &lt;b&gt;</div>"
