@@ -1,12 +1,14 @@
 """Main text of web pages: boilerplate by long token runs that pages of a host repeat, and by markup.
 
 A page is read as blocks of text with the markup around them. Text outside the article is a stream of
-words; every run of RUN words is a suffix of the host's stream cut at that length. Suffixes are sorted
-(by hash, through Spark's shuffle) next to their equals, which is the host's suffix array as far as
-runs of that length can tell; runs that stand on at least two pages of the host are repeated, and the
-union of repeated runs is what a full suffix array gives for repeats of RUN words or more. Covered
-words go, unique runs stay. The sort is per host and run, with counts made before the shuffle, so a
-host with a third of all pages is no large group.
+words. Boilerplate are the words inside a repeat of RUN words or more that stands on a SHARE of the
+host's distinct pages (two at least), or inside a repeat of LONG words or more that stands on two of
+them. Pages with equal text outside furniture are one distinct page, so copies of a page are no repeat.
+
+No suffix array is built: the union of all maximal repeats of at least n words equals the union of the
+repeated windows of n words, so windows are hashed, sorted through Spark's shuffle and counted. Windows
+of LONG words are made only where the windows of RUN words in them repeat. The sort is per host and
+window, with counts made before the shuffle, so a host with a third of all pages is no large group.
 
 Repetition alone is not enough: articles quote lines that other pages have too, and menus or adverts
 may stand on one page only. So words inside an article (or main) element are never removed as repeats,
@@ -21,6 +23,7 @@ itself. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -32,10 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlane.llm.base import bound, held, table
-from driftlane.llm.words import inside, slices, window_hashes
+from driftlane.llm.words import inside, mix, slices, window_hashes
 
-#: Words of the shortest repeat that counts as boilerplate.
-RUN = 6
+#: Words of the shortest repeat that counts as boilerplate on a share of the host's distinct pages, and on any two of them.
+RUN, LONG = 6, 24
+SHARE = 0.1
 #: The list of repeats is broadcast to the last scan up to so many bytes, and joined by a shuffle beyond.
 BROADCAST_BYTES = 32_000_000
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
@@ -167,13 +171,20 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def stray_runs(pages: DataFrame, run: int) -> DataFrame:
-    """page_key, host, hash, at, open: every run of ``run`` words outside the article; ``at`` counts such words.
+    """page_key, host, stream, hash, at, open: every run of ``run`` words outside the article; ``at`` counts such words.
 
-    ``open`` says that a word of the run is in no furniture, so that it matters whether the run repeats.
+    ``stream`` is the hash of the page's words outside furniture. ``open`` says that a word of the run is
+    in no furniture, so that it matters whether the run repeats. Each page has besides a row with null hash.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stray = [[(t, waste) for t, main, waste in blocks(h) if not main] if h else [] for h in batch.column(2).to_pylist()]
+            read = [blocks(h) if h else [] for h in batch.column(2).to_pylist()]
+            streams = np.array([int.from_bytes(hashlib.blake2b(" ".join(t for t, _, w in r if not w).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                                for r in read], np.int64)
+            stray = [[(t, waste) for t, main, waste in r if not main] for r in read]
+            n = len(read)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(streams), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_())], names)
             for first, words in slices(pa.array([" ".join(t for t, _ in s) for s in stray], pa.large_string()), False):
                 some = stray[first:first + len(words.counts)]
                 loose = np.array([not waste for s in some for t, waste in s for _ in range(t.count(" ") + 1)], bool)
@@ -182,23 +193,57 @@ def stray_runs(pages: DataFrame, run: int) -> DataFrame:
                 text_of = np.searchsorted(words.first, at, "right") - 1
                 rows = pa.array(first + text_of)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(window_hashes(words.hashes(), run)[at].view(np.int64)),
-                    pa.array((at - words.first[text_of]).astype(np.int32)), pa.array(near[at + run] > near[at]),
-                ], ["page_key", "host", "hash", "at", "open"])
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(streams[first + text_of]),
+                    pa.array(window_hashes(words.hashes(), run)[at].view(np.int64)), pa.array((at - words.first[text_of]).astype(np.int32)),
+                    pa.array(near[at + run] > near[at]),
+                ], names)
+
+    names = ["page_key", "host", "stream", "hash", "at", "open"]
+    return _keyed(pages).select("page_key", "host", "html").mapInArrow(scan, "page_key long, host string, stream long, hash long, at int, open boolean")
+
+
+def _counted(runs: DataFrame) -> DataFrame:
+    """host, hash, pages: the runs that stand on at least two distinct pages of the host."""
+    return runs.select("host", "hash", "stream").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1")
+
+
+def long_runs(found: DataFrame, run: int, long_: int) -> DataFrame:
+    """page_key, host, stream, hash, at of every run of ``long_`` words made of repeated runs of ``run`` words."""
+    steps = [*range(0, long_ - run, run), long_ - run]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                runs = batch.column(3)[k].values
+                at, hashes = runs.field("at").to_numpy(), runs.field("hash").to_numpy().view(np.uint64)
+                last = np.arange(len(at) - (long_ - run))
+                start = last[at[last + (long_ - run)] - at[last] == long_ - run] if len(last) else last
+                total = np.zeros(len(start), np.uint64)
+                for step in steps:
+                    total = mix(total + hashes[start + step])
+                rows = pa.array(np.full(len(start), k))
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(c).take(rows) for c in range(3)), pa.array(total.view(np.int64)), pa.array(at[start].astype(np.int32))],
+                    ["page_key", "host", "stream", "hash", "at"])
 
-    return _keyed(pages).select("page_key", "host", "html").mapInArrow(scan, "page_key long, host string, hash long, at int, open boolean")
+    pages = found.groupBy("page_key", "host", "stream").agg(F.array_sort(F.collect_set(F.struct("at", "hash"))).alias("runs"))
+    return pages.mapInArrow(join, "page_key long, host string, stream long, hash long, at int")
 
 
-def extracted(pages: DataFrame, run: int = RUN) -> DataFrame:
+def extracted(pages: DataFrame, run: int = RUN, long_: int = LONG, share: float = SHARE) -> DataFrame:
     """page_id, url, text of every row of ``pages`` (page_id, url, html).
 
     Pages are parsed twice, so that no page has to be kept or sent anywhere but in the last join, and
     there only if the list of repeats is too long to broadcast.
     """
-    runs = held(stray_runs(pages, run))
-    repeated = runs.groupBy("host", "hash").agg(F.min("page_key").alias("low"), F.max("page_key").alias("high")).where("low <> high").select("host", "hash")
-    covered = runs.where("open").join(held(repeated), ["host", "hash"]).groupBy("page_key").agg(F.sort_array(F.collect_set("at")).alias("covered"))
-    covered = held(covered)
+    every = held(stray_runs(pages, run))
+    runs = every.where("hash is not null")
+    sizes = every.where("hash is null").select("host", "stream").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    found = held(runs.join(_counted(runs), ["host", "hash"]).join(sizes, "host"))
+    wide = found.where("open").where(F.col("pages") >= F.lit(share) * F.col("of")).select("page_key", F.explode(F.sequence("at", F.col("at") + (run - 1))).alias("at"))
+    longs = held(long_runs(found, run, long_))
+    deep = longs.join(_counted(longs), ["host", "hash"]).select("page_key", F.explode(F.sequence("at", F.col("at") + (long_ - 1))).alias("at"))
+    covered = held(wide.union(deep).groupBy("page_key").agg(F.sort_array(F.collect_set("at")).alias("covered")))
     if (covered.agg(F.sum(F.size("covered") * 4 + 16)).first()[0] or 0) <= BROADCAST_BYTES:
         covered = F.broadcast(covered)
     joined = _keyed(pages).join(covered, "page_key", "left").select("page_id", "url", "html", "covered")
@@ -206,8 +251,8 @@ def extracted(pages: DataFrame, run: int = RUN) -> DataFrame:
     def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for page, starts in zip(frame["html"], frame["covered"]):
-                gone = {p + k for p in (starts if starts is not None else ()) for k in range(run)}
+            for page, places in zip(frame["html"], frame["covered"]):
+                gone = set(places if places is not None else ())
                 kept, at = [], 0
                 for text, main, waste in blocks(page) if page else ():
                     if not main:

@@ -258,6 +258,18 @@ def test_html_names_that_only_look_like_furniture():
     assert [t for t, *_ in html.blocks("<noscript>turn scripts on</noscript>")] == []
 
 
+def test_html_repeats_need_a_share_or_length(spark):
+    rng = random.Random(12)
+    phrase, often, passage = "as far as anyone can tell", "all rights of every kind kept", prose(rng, 40)
+    bodies = [f"{prose(rng, 30)} {phrase if k < 2 else ''} {prose(rng, 30)} {often if k % 3 == 0 else ''} {passage if k in (4, 5) else ''}" for k in range(60)]
+    rows = [(k, f"https://h.example/{k}", f"<div>{b}</div>") for k, b in enumerate(bodies)]
+    rows += [(100 + k, f"https://h.example/copy{k}", f"<nav>{k}</nav><div>{bodies[7]}</div>") for k in range(2)]
+    found = {r["page_id"]: r["text"] for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    plain = {k: " ".join(b.replace(often, "").replace(passage, "").split()) for k, b in enumerate(bodies)}
+    assert all(found[k] == plain[k] for k in range(60)) and phrase in found[0] and phrase in found[1]
+    assert found[100] == found[101] == plain[7]
+
+
 def test_quality_tells_junk_apart(spark):
     rng = random.Random(9)
     rows, labels = [], []
