@@ -40,8 +40,6 @@ NOT_DIGIT = re.compile("[^0-9]+")
 NEAR = 8
 #: Places in which term and value must stand together, and the likelihood of the value given the term.
 PLACES, DISCLOSURE = 4, 0.8
-#: Shorter terms (in bytes) are never generalised.
-TERM_BYTES = 4
 #: Letters only: ASCII letters and every byte beyond ASCII.
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
@@ -138,7 +136,6 @@ def _surroundings(texts: list[str], spans: list[list]) -> list[list[tuple[int, i
                 left, right = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")
                 near = np.r_[max(0, left - NEAR):left, right:min(high - low, right + NEAR)]
                 near = near[~inside[near]] + low
-                near = near[words.ends[near] - words.starts[near] >= TERM_BYTES]
                 marks = fingerprints(hashes, text_of, near)
                 out[first + k] += zip([value_hash(kind, value)] * len(near), hashes[near].view(np.int64).tolist(), marks.view(np.int64).tolist())
     return out
@@ -166,18 +163,35 @@ def occurrences(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, end, term, place of every place where a word may be one of ``terms``.
 
     Words inside direct identifiers are no places: there the word is a part of the value, not next to it.
-    A bit array of fixed size marks the terms, so a few other words pass; the caller joins.
+    ``terms`` has term and most, the number of distinct places beyond which the term reveals nothing. A
+    table of fixed size holds them by the term's last bits, so a few other words pass; the caller joins.
+    Of a term with more than ``most`` distinct places in one slice only so many and one are returned,
+    which says that it reveals nothing: frequent short words would be the larger part otherwise.
     """
-    marks = np.zeros(MARKS, bool)
-    marks[[r[0] for r in terms.select(F.col("term").bitwiseAND(F.lit(MARKS - 1))).distinct().collect()]] = True  # MARKS numbers at most
-    packed = np.packbits(marks)
+    got = terms.groupBy(F.col("term").bitwiseAND(F.lit(MARKS - 1)).alias("spot")).agg(F.max("most").alias("most")).toArrow()  # MARKS rows at most
+    spots, limits = got.column("spot").to_numpy(), got.column("most").to_numpy()
+
+    def few(found: np.ndarray, marks: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Rows to return: all of a term with ``most`` distinct places at most, else one for each of the first places."""
+        order = np.lexsort((marks, found))
+        term, mark = found[order], marks[order]
+        new_term = np.append(True, term[1:] != term[:-1])
+        new_place = new_term | np.append(True, mark[1:] != mark[:-1])
+        start = np.flatnonzero(new_term)
+        group = np.cumsum(new_term) - 1
+        rank = np.cumsum(new_place)
+        rank -= rank[start][group] - 1
+        many = np.add.reduceat(new_place, start)[group] > most[order]
+        return np.sort(order[~many | (new_place & (rank <= most[order] + 1))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(packed).astype(bool)
+        most = np.full(MARKS, -1, np.int64)
+        most[spots] = limits
         for batch in batches:
             for first, words in slices(batch.column(2), True, NOT_LETTER):
                 hashes = words.hashes()
-                at = np.flatnonzero(marked[(hashes & np.uint64(MARKS - 1)).astype(np.int64)])
+                limit = most[(hashes & np.uint64(MARKS - 1)).astype(np.int64)]
+                at = np.flatnonzero(limit >= 0)
                 text_of = np.repeat(np.arange(len(words.counts)), words.counts)
                 points = code_points(words)
                 origin = points[words.offsets[text_of[at]]]
@@ -187,6 +201,10 @@ def occurrences(documents: DataFrame, terms: DataFrame) -> DataFrame:
                 for k, s, e in zip(some.tolist(), low, np.append(low[1:], len(at))):
                     free[s:e] = ~covered(starts[s:e], ends[s:e], identifiers(batch.column(2)[first + k].as_py()))
                 at, starts, ends = at[free], starts[free], ends[free]
+                if len(at):
+                    marks = fingerprints(hashes, text_of, at)
+                    keep = few(hashes[at], marks, limit[at])
+                    at, starts, ends = at[keep], starts[keep], ends[keep]
                 rows = pa.array(first + text_of[at])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts), pa.array(ends), pa.array(hashes[at].view(np.int64)),
@@ -204,8 +222,8 @@ def term_spans(documents: DataFrame, seen: DataFrame, places: int = PLACES, disc
     """
     near = seen.select(F.explode("near").alias("n")).select("n.*").distinct()
     pairs = held(near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= places))
-    terms = pairs.select("term").distinct()
-    found = held(occurrences(documents, terms).join(terms, "term"))
+    terms = pairs.groupBy("term").agg((F.floor(F.max("together") / F.lit(disclosure)) + 1).alias("most"))
+    found = held(occurrences(documents, terms).join(terms.select("term"), "term"))
     total = found.select("term", "place").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("places"))
     revealing = pairs.join(total, "term").where(F.col("together") >= F.lit(disclosure) * F.col("places")).select("term").distinct()
     return found.join(revealing, "term").groupBy("doc_id", "text_hash").agg(

@@ -190,6 +190,15 @@ def test_revealing_terms_inside_the_value(spark):
     assert spans[0].count(0) == 1 and 4 in spans[0] and 4 in spans[300]
 
 
+def test_revealing_terms_of_few_letters(spark):
+    rng = random.Random(26)
+    rows = [(k, f"{prose(rng, 12)} the Wu of {prose(rng, 2)} x@example.org {prose(rng, 12)}") for k in range(8)]
+    rows += [(100 + k, " ".join(f"{prose(rng, 4)} the" for _ in range(30))) for k in range(5)] + [(300, f"{prose(rng, 9)} Wu came back")]
+    cleaned = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Wu" not in cleaned[k] for k in range(8)) and cleaned[300].endswith("[TERM] came back")
+    assert all(" the" in cleaned[k] for k in (*range(8), *range(100, 105)))
+
+
 def test_licenses():
     for rng in (random.Random(k) for k in range(200)):
         a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))] for _ in range(2))
