@@ -6,7 +6,7 @@ from driftlane.llm import base
 
 
 def load_all():
-    from driftlane.llm import bpe, decontaminate, exact, html, licenses, minhash, neighbours, pii, prefix_trie, quality, substrings, toxicity  # noqa: F401
+    from driftlane.llm import bpe, decontaminate, exact, html, licenses, minhash, neighbours, pii, prefix_trie, quality, substrings, toxicity, turn_repair  # noqa: F401
 
     import corpus_pipeline  # noqa: F401
 
