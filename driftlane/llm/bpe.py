@@ -10,7 +10,7 @@ The vocabulary file is a parameter and is read by every task. Texts are split as
 normaliser and splitter say: added tokens first, NFC, lower case character by character, letters,
 single digits, runs of other signs; white space is dropped. Ids are decoded by joining their tokens
 with one space (the file names no decoder). A null text gives no ids, as an empty one does; repeated
-rows are encoded each for itself; memory follows the Arrow batch and a bounded cache of words.
+rows are encoded each for itself; memory follows the Arrow batch, the longest text and a cache bounded in bytes.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from driftlane.llm.base import bound, table
+from driftlane.llm.words import give_back
 
-#: Words, and runs between white space, that a task remembers; beyond, it starts afresh.
-REMEMBERED = 400_000
+#: Bytes of words, and of runs between white space, that a worker remembers, and of the longest one.
+WORDS, RUNS, LONGEST = 48 << 20, 24 << 20, 1 << 10
 #: Words of up to so many bytes share one array of trees.
 TOGETHER = 64
 NO_PAIR = np.int32(2**31 - 1)
@@ -51,6 +52,32 @@ def byte_characters() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+class Memory:
+    """What was worked out lately, in two generations: entries not asked for again go with the older one."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.new, self.old = most // 2, 0, {}, {}
+
+    def add(self, key, ids: bytes) -> None:
+        size = 200 + 2 * len(ids)  # the key is about as long; objects and slots take some 200
+        if size > LONGEST:
+            return
+        if self.size + size > self.most:
+            self.old, self.new, self.size = self.new, {}, 0
+        self.new[key] = ids
+        self.size += size
+
+    def known(self, keys: set) -> dict:
+        out = {}
+        for key in keys:
+            ids = self.new.get(key)
+            if ids is None and (ids := self.old.get(key)) is not None:
+                self.add(key, ids)
+            if ids is not None:
+                out[key] = ids
+        return out
+
+
 class Encoder:
     """Encodes and decodes with one vocabulary file."""
 
@@ -74,8 +101,7 @@ class Encoder:
         self.rank_of = {int(k): r for r, k in reversed(list(enumerate(keys)))}
         self.byte_of = {c: b for b, c in enumerate(names)}
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str, tuple[bytes, int, str]] = {}
-        self.runs: dict[str, tuple[bytes, int, str]] = {}
+        self.words, self.runs = Memory(WORDS), Memory(RUNS)
 
     def split(self, run: str) -> list[str]:
         """Words of a run without added tokens and white space."""
@@ -189,9 +215,10 @@ class Encoder:
                     node >>= 1
         return np.array([s for s in symbol if s >= 0], np.int64)
 
-    def _learn_words(self, words: set[str]) -> None:
+    def _word_ids(self, words: set[str]) -> dict[str, bytes]:
+        known = self.words.known(words)
         by_width: dict[int, list[str]] = {}
-        for word in words:
+        for word in words - known.keys():
             by_width.setdefault(max(2, 1 << (len(word.encode()) - 1).bit_length()), []).append(word)
         for width, group in by_width.items():
             if width > TOGETHER:
@@ -199,32 +226,33 @@ class Encoder:
             else:
                 ids = [x for k in range(0, len(group), 20_000) for x in self.merge_many([w.encode() for w in group[k:k + 20_000]], width)]
             for word, own in zip(group, ids):
-                self.words[word] = own.astype("<u4").tobytes(), len(own), " ".join(map(self.tokens.__getitem__, own.tolist()))
-
-    def _join(self, parts: list[tuple[bytes, int, str]]) -> tuple[bytes, int, str]:
-        parts = [p for p in parts if p[1]]
-        return b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts])
+                known[word] = own.astype("<u4").tobytes()
+                self.words.add(word, known[word])
+        return known
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, int, str]]:
-        """Ids as little-endian bytes, their number, and the decoded text, of every text."""
-        if len(self.runs) > REMEMBERED:
-            self.runs.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+    def ids_batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of every text as little-endian bytes."""
         runs = [self.text_runs(t) for t in texts]
-        new = {r: [r] if isinstance(r, int) else self.split(r) for r in set().union(*runs) - self.runs.keys()}
-        self._learn_words({w for words in new.values() for w in words if isinstance(w, str)} - self.words.keys())
+        wanted = set().union(*runs)
+        found = self.runs.known(wanted)
+        new = {r: [r] if isinstance(r, int) else self.split(r) for r in wanted - found.keys()}
+        known = self._word_ids({w for words in new.values() for w in words if isinstance(w, str)})
         for run, words in new.items():
-            known = [(int(w).to_bytes(4, "little"), 1, self.tokens[w]) if isinstance(w, int) else self.words[w] for w in words]
-            self.runs[run] = known[0] if len(known) == 1 else self._join(known)
+            found[run] = b"".join([w.to_bytes(4, "little") if isinstance(w, int) else known[w] for w in words])
+            self.runs.add(run, found[run])
         for own in runs:
-            yield self._join([self.runs[r] for r in own])
+            yield b"".join([found[r] for r in own])
+
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, int, str]]:
+        """Ids as little-endian bytes, their number, and the decoded text, of every text."""
+        for ids in self.ids_batch(texts):
+            yield ids, len(ids) // 4, self.decode(np.frombuffer(ids, "<u4").tolist())
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(next(self.encode_batch([text or ""]))[0], "<u4").tolist()
+        return np.frombuffer(next(self.ids_batch([text or ""])), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -239,7 +267,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _small_lists(texts: list[str], characters: int = 4_000_000) -> Iterator[list[str]]:
+def _small_lists(texts: list[str], characters: int = 2_000_000) -> Iterator[list[str]]:
     part, size = [], 0
     for text in texts:
         if part and size + len(text) > characters:
@@ -254,8 +282,9 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int), n_tokens of every row."""
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [(np.frombuffer(b, "<u4").astype(np.int32), n) for part in _small_lists(frame["text"].fillna("").tolist()) for b, n, _ in encoder(path).encode_batch(part)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [o[0] for o in out], "n_tokens": pd.Series([o[1] for o in out], dtype="int64")})
+            out = [np.frombuffer(b, "<u4").astype(np.int32) for part in _small_lists(frame["text"].fillna("").tolist()) for b in encoder(path).ids_batch(part)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": out, "n_tokens": pd.Series([len(o) for o in out], dtype="int64")})
+            give_back()
 
     return documents.select("doc_id", "text").mapInPandas(encode, "doc_id long, ids array<int>, n_tokens long")
 
