@@ -12,9 +12,8 @@ under each (coordinate, value). Two sets at the threshold agree, but for a chanc
 
 Classes that share a posted value are compared in tiles: classes that share a value with the
 same least class lie together, in chunks of bounded total set size, and a tile is a pair of chunks with a value
-in common. Inside a tile signatures are compared first, and pairs with ``least`` equal coordinates
-are confirmed by the exact intersection of the whole sets. A tile returns a spanning forest of its
-links, never all pairs; connected components join the forests. A value shared by very many classes
+in common. Inside a tile pairs are confirmed by the exact intersection of their whole sets, block by
+block, so a tile's memory is bounded. A tile returns a spanning forest of its links, never all pairs; connected components join the forests. A value shared by very many classes
 thus becomes many tiles, not one large group.
 
 Null and empty texts have an empty set and are linked with nothing; their component is their own id.
@@ -36,11 +35,13 @@ from pyspark.sql import functions as F
 
 from driftlane.llm.base import bound, held, table
 from driftlane.llm.components import forest, least_ids
-from driftlane.llm.words import blobs, inside, mix, slices, window_hashes
+from driftlane.llm.words import blobs, give_back, inside, mix, slices, window_hashes
 
 COORDINATES = 64
 #: Shingles of one chunk of classes, about, where a class counts as PER_CLASS more.
 CHUNK, PER_CLASS = 300_000, 80
+#: Numbers of each matrix by which the classes of a tile are compared (4 bytes each).
+BLOCK = 4_000_000
 #: The list of classes to compare is broadcast to the text scan up to so many rows (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -101,6 +102,7 @@ def fingerprints(documents: DataFrame, shingle: int, coordinates: int = COORDINA
                     batch.column(0).slice(at, len(counts)), pa.array(counts.astype(np.int64)), pa.array(keys, pa.binary()),
                     blobs(found.ravel(), np.full(len(counts), coordinates)),
                 ], ["doc_id", "n_shingles", "set_key", "signature"])
+            give_back()
 
     return documents.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, set_key binary, signature binary")
 
@@ -145,11 +147,10 @@ def tiles(posted: DataFrame, sizes: DataFrame) -> DataFrame:
     return ends.join(chunk, "chunk").select("node", "tile", "side")
 
 
-def tile_links(rows: pd.DataFrame, percent: int, least: int) -> list[tuple[int, int]]:
+def tile_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Spanning links of one tile: pairs with 100 * intersection >= percent * union, confirmed on whole sets."""
     rows = rows.sort_values("node", ignore_index=True)
     n = len(rows)
-    look = np.stack([np.frombuffer(s, np.uint32) for s in rows["signature"]])
     sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
     size = np.fromiter(map(len, sets), np.int64, n)
     side = rows["side"].to_numpy()
@@ -162,24 +163,22 @@ def tile_links(rows: pd.DataFrame, percent: int, least: int) -> list[tuple[int,
     wide = np.diff(run)[column] > 1  # a shingle of one class alone is in no intersection
     owner, column = owner[order][wide], column[wide]
     _, column = np.unique(column, return_inverse=True)
-    left, right = [], []
-    block = max(1, 10_000_000 // n)  # columns of the 0/1 matrix at once
-    common = np.zeros((n, n), np.float32)
-    for low in range(0, int(column.max()) + 1 if len(column) else 0, block):
-        own = (column >= low) & (column < low + block)
-        matrix = np.zeros((n, min(block, int(column.max()) + 1 - low)), np.float32)
-        matrix[owner[own], column[own] - low] = 1
-        common += matrix @ matrix.T
-    for i in range(n):
-        other = np.arange(i + 1, n)
-        if side[i]:
-            other = other[side[other] != side[i]]
-        both = common[i, other].astype(np.int64)
-        ok = 100 * both >= percent * (size[i] + size[other] - both)
-        other = other[ok]
-        other = other[(look[other] == look[i]).sum(1) >= least] if len(other) else other
-        left.append(np.full(len(other), i))
-        right.append(other)
+    n_columns = int(column.max()) + 1 if len(column) else 0
+    step = max(1, BLOCK // n)  # rows and columns of the 0/1 matrix at once
+    parts = [(column >= low) & (column < low + step) for low in range(0, n_columns, step)]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for top in range(0, n, step):
+        common = np.zeros((min(step, n - top), n), np.float32)
+        for k, own in enumerate(parts):
+            matrix = np.zeros((n, min(step, n_columns - k * step)), np.float32)
+            matrix[owner[own], column[own] - k * step] = 1
+            common += matrix[top:top + step] @ matrix.T
+        union = size[top:top + step, None] + size - common
+        i, j = np.nonzero(100 * common >= percent * union)
+        i += top
+        pair = (i < j) & ((side[i] != side[j]) | (side[i] == 0))
+        left.append(i[pair])
+        right.append(j[pair])
     node = rows["node"].to_numpy()
     return [(int(node[x]), int(node[y])) for x, y in forest(np.concatenate(left).tolist(), np.concatenate(right).tolist(), n)]
 
@@ -193,7 +192,7 @@ def linked(documents: DataFrame, shingle: int, percent: int, coordinates: int =
     seen = held(fingerprints(documents, shingle, coordinates))
     classes = held(seen.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
-    ).withColumn("node", F.xxhash64("set_key")))
+    ).withColumn("node", F.monotonically_increasing_id()))  # written once, so the numbers stay; unlike hashes they are distinct
     posted = held(postings(classes, coordinates, least))
     placed = held(tiles(posted, classes.select("node", "n_shingles")))
     wanted = placed.select("node").distinct().join(classes, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("set_key").alias("_key"))
@@ -209,13 +208,16 @@ def linked(documents: DataFrame, shingle: int, percent: int, coordinates: int =
                 same = np.flatnonzero([k == w for k, w in zip(keys, batch.column(1).slice(at, len(counts)).to_pylist())])
                 taken = np.concatenate([sets[ends[k] - counts[k]:ends[k]] for k in same]) if len(same) else sets[:0]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same + at)), blobs(taken, counts[same])], ["node", "shingles"])
+            give_back()
 
     texts = documents.select("doc_id", "text").join(wanted, F.expr("doc_id <=> _id")).select("_node", "_key", "text")
     sets = texts.mapInArrow(gather, "node long, shingles binary").dropDuplicates(["node"])
-    work = placed.join(sets, "node").join(classes.select("node", "signature"), "node")
+    work = placed.join(sets, "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(tile_links(rows, percent, least), columns=["a", "b"], dtype="int64")
+        links = tile_links(rows, percent)
+        give_back()
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     links = work.groupBy("tile").applyInPandas(compare, "a long, b long")
     joined = least_ids(links, classes, "node", "doc_id").select(F.col("node").alias("_node"), "least_id", F.lit(True).alias("_linked"))

@@ -7,6 +7,7 @@ and a batch is worked through in slices of some MB, so memory follows the longes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system: workers outlive tasks, and the next stage may need the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 class Words:
     """Words of some texts: byte spans, first word of each text, and hashes."""
 
