@@ -23,6 +23,18 @@ def bound(name: str, sql: str | None = None):
     return register
 
 
+#: Bytes of an Arrow batch. Python workers outlive stages and keep what their largest batch made them allocate.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH bytes, unless they are smaller already."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting).lstrip("-"))
+    if now > BATCH or spark.conf.get(setting).startswith("-"):
+        spark.conf.set(setting, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
