@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlane.llm.base import bound, held, table
-from driftlane.llm.words import Words, mix, slices
+from driftlane.llm.words import Words, give_back, mix, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: A run of digits is tried from its first one only, and never given back: same matches, linear time on long runs.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 NOT_DIGIT = re.compile("[^0-9]+")
@@ -55,6 +56,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def small(part: str) -> bool:
+    """Whether digits, however many, make a number up to 255."""
+    part = part.lstrip("0")
+    return len(part) < 3 or (len(part) == 3 and part <= "255")
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of EMAIL, tried only from the start of the run of local signs before each @."""
     done, at = 0, text.find("@")
@@ -73,7 +80,7 @@ def identifiers(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, value) of every direct identifier, by start, then kind."""
     found = [(s, 0, e, text[s:e].lower()) for s, e in _emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        found += [(m.start(), 1, m.end(), m.group()) for m in IP.finditer(text) if max(map(int, m.group().split("."))) <= 255]
+        found += [(m.start(), 1, m.end(), m.group()) for m in IP.finditer(text) if all(map(small, m.group().split(".")))]
         for kind, pattern, least, most in ((2, CARD, 12, 19), (3, PHONE, 9, 15)):
             if kind == 3 and "+" not in text:
                 continue
@@ -154,6 +161,7 @@ def scanned(documents: DataFrame) -> DataFrame:
                 "base": [[{"start": s, "kind": k, "end": e} for s, k, e, _ in f] for f in found],
                 "near": [[{"value": v, "term": t, "place": p} for v, t, p in near.get(k, ())] for k in range(len(texts))],
             })
+            give_back()
 
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInPandas(scan, f"doc_id long, text_hash long, n_chars long, base {SPANS}, near array<struct<value:long,term:long,place:long>>")
@@ -210,6 +218,7 @@ def occurrences(documents: DataFrame, terms: DataFrame) -> DataFrame:
                     batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts), pa.array(ends), pa.array(hashes[at].view(np.int64)),
                     pa.array(fingerprints(hashes, text_of, at).view(np.int64)),
                 ], ["doc_id", "text_hash", "start", "end", "term", "place"])
+            give_back()
 
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(find, "doc_id long, text_hash long, start long, end long, term long, place long")
@@ -252,7 +261,8 @@ def sanitise(documents: DataFrame) -> DataFrame:
     """The documents with every span replaced by the name of its kind; n_chars is counted anew if there."""
     seen = held(scanned(documents))
     terms = term_spans(documents, seen).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "terms")
-    keyed = documents.withColumn("_text_hash", F.xxhash64("text")).join(terms, F.expr("doc_id <=> _id and _text_hash = _hash"), "left")
+    keyed = documents.select(F.struct(*documents.columns).alias("row"), F.xxhash64("text").alias("key")).join(
+        terms, F.expr("row.doc_id <=> _id and key = _hash"), "left")
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, extra: pd.Series) -> pd.Series:
@@ -265,12 +275,12 @@ def sanitise(documents: DataFrame) -> DataFrame:
             added = [(m["start"], m["kind"], m["end"]) for m in (more if more is not None else ())]
             added = [a for a in added if not any(s < a[2] and a[0] < e for s, _, e in base)]
             out.append(_replaced(t, sorted(base + added)))
+        give_back()
         return pd.Series(out, dtype=object)
 
-    cleaned = keyed.withColumn("text", clean("text", "terms"))
-    if "n_chars" in documents.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
-    return cleaned.select(documents.columns)
+    cleaned = keyed.select("row", clean("row.text", "terms").alias("cleaned"))
+    changed = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    return cleaned.select([changed.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
 
 
 def _joined(spans: str):
