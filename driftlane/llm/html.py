@@ -23,9 +23,11 @@ itself. Extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +44,12 @@ RUN, LONG = 6, 24
 SHARE = 0.1
 #: The list of repeats is broadcast to the last scan up to so many bytes, and joined by a shuffle beyond.
 BROADCAST_BYTES = 32_000_000
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: What may stand after "<" in markup, the name of a tag, where a name ends, and what matters inside a tag.
+MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z]))")
+NAME_END = re.compile(r"[\s/>]|\Z")
+SPECIAL = re.compile("[\"'>]")
+#: Possessive, and tried only where a name begins, so that long runs of letters are read once.
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 RAW = frozenset("script style noscript template textarea title svg iframe object select canvas annotation annotation-xml xmp noembed noframes".split())
 #: Of these, what holds text of its own inside an article.
 TEXT_IN_MAIN = frozenset(("noscript", "object"))
@@ -54,40 +60,33 @@ INLINE = frozenset(
     "mpadded mphantom merror mtable mtr mtd semantics".split())
 FURNITURE = frozenset("head nav footer aside form button menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
-#: Words of a class or id that name furniture, and those that may stand beside one in a furniture name ("share-buttons", but not "share-prices").
-ADVERT = r"ads?|advert\w*|adsense|sponsored"
-IN_ARTICLES = ADVERT + (
-    r"|banner|sponsors?|promos?|nav|navbar|navigation|menu\w*|sidebar|footer|breadcrumbs?|newsletter|subscribe|share|sharing|social|related|recommended|recommendations|trending|"
-    r"comments|disqus|pagination|pager|toolbar|widget")
-ANYWHERE = IN_ARTICLES + (
-    r"|sponsor\w*|promo\w*|nav\w*|side|masthead|cookie\w*|consent|gdpr|notice|notification|popup|modal|overlay|signup|login|recommend\w*|comment|reply|replies|respond|"
-    r"skip|search\w*|copyright|legal")
-LAYOUT = (
-    r"\d+|site|page|global|main|primary|secondary|top|bottom|left|right|header|footer|inner|outer|box|bar|block|area|wrap|wrapper|container|content|holder|section|panel|column|col|row|slot|unit|"
-    r"group|links?|list|items?|buttons?|btns?|icons?|form|input|field|media|posts?|articles?|stories|story|text|to|and|us|our|policy|info|js|is|has|fixed|sticky|desktop|mobile")
+#: Words of a class or id that name furniture in articles and elsewhere, furniture outside articles only, and those
+#: that may stand beside one in a furniture name ("share-buttons", but not "share-prices").
+ADVERT = frozenset("ad ads advert adverts advertisement advertisements advertising advertorial adsense sponsored".split())
+IN_ARTICLES = ADVERT | frozenset(
+    "banner sponsor sponsors promo promos nav navbar navigation menu menus menubar sidebar footer breadcrumb breadcrumbs newsletter subscribe share sharing social related "
+    "recommended recommendation recommendations trending comment comments disqus respond reply replies pagination pager toolbar widget cookie cookies consent gdpr notice "
+    "popup modal overlay search signup login".split())
+ANYWHERE = IN_ARTICLES | frozenset(
+    "sponsorship promotion promotions promoted side masthead notification notifications recommends skip searchbox searchform searchbar copyright legal".split())
+LAYOUT = frozenset(
+    "site page global main primary secondary top bottom left right header footer inner outer box bar block area wrap wrapper container content holder section panel column col "
+    "row slot unit group link links list item items button buttons btn btns icon icons form input field media post posts article articles stories story text to and us our policy "
+    "info js is has fixed sticky desktop mobile".split())
+NAME_WORD = re.compile(r"[^_-]+")
+#: Prose elements whose names say little: inside articles or not, only adverts, comments and forms to subscribe or share go by their class.
+PROSE_NAMES = ADVERT | frozenset("newsletter subscribe share sharing comment comments cookie cookies consent gdpr".split())
+
+
+def _named(name: str, marks: frozenset) -> bool:
+    """Whether a whole class or id is made of ``marks`` and layout words or numbers, with at least one mark."""
+    words = NAME_WORD.findall(name.lower())
+    return not marks.isdisjoint(words) and all(w in marks or w in LAYOUT or w.isdigit() for w in words)
 
 
-def _names(marks: str) -> re.Pattern:
-    """Whole class or id names made of ``marks`` and layout words, with at least one mark."""
-    return re.compile(rf"(?:(?:{LAYOUT})[_-]+)*(?:{marks})(?:[_-]+(?:{LAYOUT}|{marks}))*", re.I)
-
-
-ADVERT, IN_ARTICLES, ANYWHERE = map(_names, (ADVERT, IN_ARTICLES, ANYWHERE))
 #: Elements that group others; inside an article only they are furniture by name (adverts apart), and ids count only outside sections.
 CONTAINERS = frozenset("div aside ul ol section".split())
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p section blockquote pre figure dl dt dd".split())
-MAIN = frozenset(("noscript", "object"))
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr br math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts mfenced menclose mstyle mspace "
-    "mpadded mphantom merror mtable mtr mtd semantics".split())
-FURNITURE = frozenset("head nav footer aside form button menu dialog fieldset".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|side|footer|masthead|breadcrumbs?|cookie\w*|consent|gdpr|notice|notification|"
-    r"popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|trending|widget|comments?|reply|replies|disqus|respond|pagination|pager|"
-    r"toolbar|skip|search\w*|copyright|legal)(?:$|[\s_-])", re.I)
 MAIN = frozenset(("article", "main"))
 SPACE = re.compile(r"\s+")
 #: Start tags that end an open paragraph, list item, cell or row of their own kind.
@@ -105,9 +104,63 @@ def _furniture(tag: str, attributes: str, in_main: bool) -> bool:
         return True
     if tag in MAIN:
         return False
-    marks = (IN_ARTICLES if tag in CONTAINERS else ADVERT) if in_main else ANYWHERE
+    if tag in PROSE and tag not in CONTAINERS:
+        marks = PROSE_NAMES
+    elif in_main:
+        marks = IN_ARTICLES if tag in CONTAINERS else ADVERT
+    else:
+        marks = ANYWHERE
     names = found.get("class", "").split() + ([] if tag in PROSE else found.get("id", "").split())
-    return any(marks.fullmatch(n) for n in names)
+    return any(_named(n, marks) for n in names)
+
+
+class Tags:
+    """The markup of a page in order, in one forward pass; nothing is scanned twice however the page is broken."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.special = [m.start() for m in SPECIAL.finditer(page)]
+        self.ends: dict[int, int] = {}
+        self.name = (0, 0)
+
+    def end_of_tag(self, at: int) -> int:
+        """Place of the ">" that ends a tag whose attributes begin at ``at``, outside quotes; -1 if there is none."""
+        passed, end = [], -1
+        k = bisect.bisect_left(self.special, at)
+        while k < len(self.special):
+            q = self.special[k]
+            if q in self.ends:
+                end = self.ends[q]
+                break
+            passed.append(q)
+            if self.page[q] == ">":
+                end = q
+                break
+            close = self.page.find(self.page[q], q + 1)
+            if close < 0:
+                break
+            k = bisect.bisect_right(self.special, close)
+        self.ends.update(dict.fromkeys(passed, end))
+        return end
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str | None, str]]:
+        """(start, end, whether an end tag, tag, attributes); tag is None for comments and the like."""
+        page, at = self.page, 0
+        while hit := MARKUP.search(page, at):
+            start, at = hit.start(), hit.end()
+            if hit[2] is None:
+                mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(hit[0], ">")
+                end = page.find(mark, at)
+                at = len(page) if end < 0 else end + len(mark)
+                yield start, at, False, None, ""
+                continue
+            if not self.name[0] <= at <= self.name[1]:
+                self.name = at, NAME_END.search(page, at).start()
+            name = self.name[1]
+            end = self.end_of_tag(name)
+            if end >= 0:
+                yield start, end + 1, bool(hit[1]), page[at - 1:name].lower(), page[name:end]
+                at = end + 1
 
 
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
@@ -119,6 +172,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, in main, in furniture
+    open_: Counter = Counter()  # tags of the stack
     at, main, waste = 0, False, False
 
     def flush() -> None:
@@ -128,39 +182,44 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                 out.append((text, main, waste))
             parts.clear()
 
-    for hit in TAG.finditer(page):
-        if hit.start() < at:
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_[tag] -= 1
+        return tag
+
+    for start, end, ends, tag, attributes in Tags(page):
+        if start < at:
             continue
-        if hit.start() > at:
-            parts.append(page[at:hit.start()])
-        at = hit.end()
-        tag = hit[2].lower() if hit[2] else None
+        if start > at:
+            parts.append(page[at:start])
+        at = end
         if tag is None:
             continue
-        if tag in RAW and not hit[1] and not (main and tag in TEXT_IN_MAIN):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in RAW and not ends and not (main and tag in TEXT_IN_MAIN):
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = close.end() if close else len(page)
             continue
         if tag == "br":
             parts.append(" ")
-        if tag in INLINE and not (tag not in VOID and not hit[1] and _furniture(tag, hit[3], main)) and not (hit[1] and any(s[0] == tag for s in stack)):
+        if tag in INLINE and not (tag not in VOID and not ends and _furniture(tag, attributes, main)) and not (ends and open_[tag]):
             continue
         flush()
-        if hit[1]:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
+        if ends:
+            if open_[tag]:
+                while pop() != tag:
                     pass
-        elif tag not in VOID and not hit[3].rstrip().endswith("/"):
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
             if tag in CLOSES_PARAGRAPH and stack and stack[-1][0] == "p":
-                stack.pop()
+                pop()
             elif tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
+                pop()
             up = stack[-1] if stack else ("", False, False)
-            stack.append((tag, up[1] or tag in MAIN, up[2] or _furniture(tag, hit[3], up[1] or tag in MAIN)))
+            stack.append((tag, up[1] or tag in MAIN, up[2] or _furniture(tag, attributes, up[1] or tag in MAIN)))
+            open_[tag] += 1
         main, waste = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     if at < len(page):
-        rest = page[at:]
-        parts.append(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", rest))
+        cut = re.compile("<[a-zA-Z/!?]").search(page, max(at, page.rfind(">") + 1))  # a tag that the page leaves unfinished
+        parts.append(page[at:cut.start() if cut else len(page)])
     flush()
     return out
 
