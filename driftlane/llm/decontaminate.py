@@ -7,8 +7,9 @@ the window table, and a hit counts only if the words themselves are equal. The w
 broadcast when its counted size is below a limit, and joined as Spark sees fit beyond it.
 
 Null and empty texts have no words: such documents have zero counts, such items no windows.
-Rows with the same id and text are counted once and returned as often as they came. A null id is
-a value like any other. Extra columns are ignored.
+Rows with the same id and text are counted once and returned as often as they came. A null doc_id is
+a value like any other. An item without an id has windows and hits as others have, but is in no list of
+items and in no count of them. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def once(df: DataFrame, column: Column, name: str) -> DataFrame:
 def item_windows(items: DataFrame, size: int) -> DataFrame:
     """(n, hash, window, items): every distinct window with the sorted ids of its items as strings."""
     words = once(items.select(F.col("item_id").cast("string").alias("item"), "text"), words_of(F.col("text")), "words")
-    words = words.where("size(words) > 0 and item is not null").select(
+    words = words.where("size(words) > 0").select(
         "item", "words", F.least(F.lit(size), F.size("words")).alias("n"))
     at = F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1))
     return (
@@ -124,8 +125,8 @@ def remove_contaminated(documents: DataFrame, items: DataFrame, size: int = 10)
     """The documents without a word inside an item's window, all their columns kept."""
     dirty = contamination(documents, items, size).where("contaminated").select(
         F.col("doc_id").alias("_dirty_id"), F.col("text_hash").alias("_dirty_hash")).distinct()
-    keyed = documents.withColumn("_dirty_text", F.xxhash64("text"))
-    return keyed.join(dirty, F.expr("doc_id <=> _dirty_id and _dirty_text = _dirty_hash"), "left_anti").drop("_dirty_text")
+    keyed = documents.select(F.struct(*documents.columns).alias("row"), F.xxhash64("text").alias("key"))
+    return keyed.join(dirty, F.expr("row.doc_id <=> _dirty_id and key = _dirty_hash"), "left_anti").select("row.*")
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

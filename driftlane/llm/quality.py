@@ -172,8 +172,8 @@ def resampled(documents: DataFrame, labels: DataFrame, seed: int = SEED) -> Data
 def select_good(documents: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``documents`` that the resampling keeps, all their columns."""
     kept = resampled(documents, labels, seed).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    keyed = documents.withColumn("_kept_text", F.xxhash64("doc_id", "text"))
-    return keyed.join(kept, F.expr("doc_id <=> _kept_id and _kept_text = _kept_hash"), "left_semi").drop("_kept_text")
+    keyed = documents.select(F.struct(*documents.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    return keyed.join(kept, F.expr("row.doc_id <=> _kept_id and key = _kept_hash"), "left_semi").select("row.*")
 
 
 @bound("op2_quality")

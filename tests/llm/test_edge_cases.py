@@ -84,7 +84,7 @@ def test_null_and_empty_texts(docs, labels, benchmark):
     found = {r["doc_id"]: r for r in decontaminate.contamination(docs, benchmark).collect()}
     assert found[3]["n_words"] == found[2]["n_words"] == found[4]["n_words"] == 0 and not found[3]["contaminated"]
     assert found[1]["items"] == ["3"] and found[1]["n_hit"] == 5
-    assert not found[6]["contaminated"], "an item without an id has no windows"
+    assert found[6]["contaminated"] and found[6]["n_hit"] == 1 and found[6]["items"] == [], "an item without an id hits, and is not listed"
     found = {r["doc_id"]: r for r in minhash.linked(docs, 3, 85).collect()}
     assert found[2]["n_shingles"] == found[3]["n_shingles"] == 0 and found[2]["component_id"] == 2 and found[3]["kept"]
     assert found[6]["n_shingles"] == 1
