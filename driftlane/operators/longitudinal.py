@@ -114,8 +114,11 @@ def window_table(observations: DataFrame, as_of, extra: list[Column] = (), days:
     profile and its number of observed days come from a second aggregate over
     (profile, day) and are joined back, so a hot profile stays split by key.
     ``days`` (profile_id, day) lists all observations of the profiles, for tables
-    that hold one field of them; history is then counted on it.
+    that hold one field of them; history is then counted on it. A range of
+    evaluation days goes through ``window_series``, unless it has ``extra`` columns.
     """
+    if isinstance(as_of, tuple) and not extra:
+        return window_series(observations, *as_of, days)
     rows = at_days(observations.filter(F.col("weight") > 0), as_of)
     age, weight = F.col("age"), F.col("weight")
     present = weight >= fixed.PRESENCE_THRESHOLD
@@ -154,6 +157,79 @@ def window_table(observations: DataFrame, as_of, extra: list[Column] = (), days:
     )
 
 
+def day_number(day: str) -> Column:
+    return F.datediff(day, F.lit("1970-01-01"))
+
+
+def filled_days(rows: DataFrame, group: list[str], first: Column, last: Column, out: str = "as_of") -> DataFrame:
+    """Adds ``out``: the row's own day, and the evaluation days up to the group's next row.
+
+    Every evaluation day after a group's first row gets exactly one row, so the
+    result is as long as the table that is asked for, however long the history.
+    """
+    order = W.partitionBy(*group).orderBy("day")
+    until = F.least(F.date_sub(F.lead("day").over(order), 1), last)
+    start = F.greatest(F.date_add("day", 1), first)
+    gap = F.when(start <= until, F.sequence(start, until)).otherwise(F.array().cast("array<date>"))
+    return rows.withColumn("_gap", gap).withColumn(out, F.explode(F.concat(F.array("day"), "_gap"))).drop("_gap")
+
+
+def window_series(observations: DataFrame, first, last, days: DataFrame | None = None) -> DataFrame:
+    """``window_table`` for every day from ``first`` to ``last``, without a copy of a row for each later day.
+
+    All sums are taken on the stored rows, in range frames of their key: the unbounded
+    one as a running sum of weight * 2**(day / h), counted from ``last`` so that it stays
+    in range on any history, the bounded ones as the few rows that they can reach. A day
+    between two rows of a key then only scales the one and re-weighs the other. Totals
+    are windows over the keys of a profile and day, which the dictionary bounds; the day
+    counts of a profile travel with its rows, unless ``days`` has them.
+    """
+    first, last = (F.lit(d).cast("date") for d in (first, last))
+    rows = observations.filter((F.col("weight") > 0) & (F.col("day") <= last)).select("profile_id", "key", "day", "weight", day_number("day").alias("_n"))
+    key = W.partitionBy("profile_id", "key").orderBy("_n")
+    so_far, half = key.rangeBetween(W.unboundedPreceding, 0), fixed.WINDOWS["long"][1]
+    reach = max(oldest for oldest, _, _ in fixed.WINDOWS.values() if oldest is not None)
+    present = F.when(F.col("weight") >= fixed.PRESENCE_THRESHOLD, F.col("day"))
+    stored = rows.select(
+        "profile_id", "key", "day", "_n",
+        F.collect_list(F.struct("_n", "weight")).over(key.rangeBetween(-reach, 0)).alias("_recent"),
+        F.sum(F.col("weight") * F.pow(F.lit(2.0), (F.col("_n") - day_number(last)) / half)).over(so_far).alias("_running"),
+        F.min(present).over(so_far).alias("first_seen"), F.max(present).over(so_far).alias("last_seen"),
+        F.max(present).over(key.rangeBetween(W.unboundedPreceding, -1)).alias("_before"), F.count(present).over(so_far).alias("days_present"),
+        F.dense_rank().over(W.partitionBy("profile_id").orderBy("day")).cast("bigint").alias("_days"),
+    )
+    filled = filled_days(stored, ["profile_id", "key"], first, last).filter(F.col("as_of") >= first).withColumn("_at", day_number("as_of"))
+
+    def decayed(name: str) -> Column:
+        oldest, half_life, _ = fixed.WINDOWS[name]
+        if oldest is None:
+            return F.col("_running") * F.pow(F.lit(2.0), (day_number(last) - F.col("_at")) / half_life)
+        return F.aggregate("_recent", F.lit(0.0), lambda total, r: total + F.when(
+            wt.in_window(F.col("_at") - r["_n"], name), r["weight"] * wt.decay(F.col("_at") - r["_n"], half_life)).otherwise(0.0))
+
+    own = F.col("as_of") == F.col("day")
+    keyed = filled.select(
+        "profile_id", "as_of", "key", *[decayed(w).alias(f"_{w}") for w in WINDOW_NAMES], "first_seen", "last_seen",
+        F.when(own, F.col("_before")).otherwise(F.col("last_seen")).alias("last_before"), "days_present", "_days", own.alias("_own"))
+    whole = W.partitionBy("profile_id", "as_of")
+    observed = F.max("_days").over(whole)  # the key whose row is the latest knows all days of the profile
+    totals = keyed.withColumns({
+        **{f"_total_{w}": F.sum(f"_{w}").over(whole) for w in WINDOW_NAMES},
+        "observed_days": observed, "history_days": observed - F.max("_own").over(whole).cast("bigint"),
+    })
+    if days is not None:
+        seen = days.filter(F.col("day") <= last).select("profile_id", "day").distinct()
+        seen = seen.withColumn("observed_days", F.row_number().over(W.partitionBy("profile_id").orderBy("day")).cast("bigint"))
+        seen = filled_days(seen, ["profile_id"], first, last).select(
+            "profile_id", "as_of", (F.col("observed_days") - (F.col("as_of") == F.col("day")).cast("bigint")).alias("history_days"), "observed_days")
+        totals = totals.drop("history_days", "observed_days").join(seen, ["profile_id", "as_of"])
+    return totals.select(
+        "profile_id", "as_of", "key", "first_seen", "last_seen", "last_before", "days_present",
+        *[F.when(F.col(f"_total_{w}") > 0, F.col(f"_{w}") / F.col(f"_total_{w}")).otherwise(0.0).alias(w) for w in WINDOW_NAMES],
+        "history_days", "observed_days",
+    )
+
+
 def composite(windows: DataFrame) -> DataFrame:
     """Adds ``_mix``: the fixed mix of the four windows, not renormalised."""
     mix = sum(F.lit(v) * F.col(k) for k, v in fixed.COMPOSITE_WEIGHT.items())

@@ -60,6 +60,32 @@ def test_future_days_do_not_count_and_backfill_agrees(spark):
             assert (b.trend_state, b.weight, b.w30d) == (r.trend_state, pytest.approx(r.weight), pytest.approx(r.w30d))
 
 
+def test_series_equals_single_days_over_gaps_and_years(spark):
+    rows = [("1990-01-01", {"old": .6, "a": .4}), ("2026-07-01", {"a": .3, "b": .7}), ("2026-07-29", {"b": 1}), ("2026-08-02", {"a": .005, "b": .995}),
+            ("2026-08-03", {"c": 1}), ("2026-08-20", {"a": .5, "c": .5}), ("2026-09-30", {"a": 1})]
+    df = obs(spark, rows)
+    other = df.select("profile_id", "day").distinct().union(spark.createDataFrame([("p", D(2026, 8, 5))], "profile_id string, day date"))
+    for days in (None, other):
+        series = lg.window_table(df, (D(2026, 7, 30), D(2026, 8, 25)), days=days).collect()
+        assert len(series) == len({(r.profile_id, r.as_of, r.key) for r in series})
+        by_day = {}
+        for r in series:
+            by_day.setdefault(r.as_of, {})[r.profile_id, r.key] = r.asDict()
+        assert sorted(by_day) == [D(2026, 7, 30) + dt.timedelta(days=k) for k in range(27)]
+        for day in (D(2026, 7, 30), D(2026, 8, 2), D(2026, 8, 4), D(2026, 8, 9), D(2026, 8, 10), D(2026, 8, 20), D(2026, 8, 25)):
+            want = {(r.profile_id, r.key): r.asDict() for r in lg.window_table(df, day, days=days).collect()}
+            assert by_day[day].keys() == want.keys()
+            for key, row in want.items():
+                for name, value in row.items():
+                    assert by_day[day][key][name] == (pytest.approx(value, abs=1e-12) if isinstance(value, float) else value), (day, key, name)
+
+
+def test_series_copies_no_row_to_later_days(spark):
+    df = obs(spark, [("2026-08-01", {"a": .5, "b": .5}), ("2026-08-03", {"a": 1})])
+    plan = lg.window_table(df, (D(2026, 8, 1), D(2026, 8, 20)))._jdf.queryExecution().toString()
+    assert plan.count("Generate") == plan.count("Generate explode(concat(array(day")
+
+
 def test_composite_sums_to_one_and_is_partition_independent(spark):
     rows = [(f"2026-08-{d:02d}", {c: 1 + (d * i) % 5 for i, c in enumerate("abcdef")}) for d in range(1, 24)]
     df = obs(spark, rows)
