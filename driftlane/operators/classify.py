@@ -4,7 +4,7 @@ All phrases of a dictionary are found in one regex pass per text. At each word
 start the longest matching phrase is captured; shorter phrases that match at the
 same place are prefixes of it, so they follow from the dictionary alone.
 ``classify_with_tables`` takes the rules as tables of any size instead: hits come
-from an equi-join on each phrase's rarest token, in the same ``_found`` column.
+from an equi-join of token sequences, in the same ``_found`` column.
 """
 
 from __future__ import annotations
@@ -139,96 +139,85 @@ def with_rule_numbers(cards: DataFrame, book: RuleBook, lower_only: bool = False
     return hold(cards.withColumn("_found", found.cast(FOUND)), "_found")
 
 
-def _mark_words(col: Column) -> Column:
-    """Text with a mark before and after every word: whole-word search becomes
-    a plain substring search."""
-    return F.regexp_replace(col, rf"({text.WORD}+)", "\x01$1\x01")
+def _tokens(col) -> Column:
+    """All of a text: runs of word characters, and every other sign by itself."""
+    return F.regexp_extract_all(col, F.lit(rf"({text.WORD}+|[^\p{{L}}\p{{N}}_])"), F.lit(1))
 
 
-def hits_by_join(
-    cards: DataFrame, key: str, rules: DataFrame, texts: dict[str, Column] | None = None, suppressions: tuple = ()
-) -> DataFrame:
-    """``_found`` from a rule table of any size: equi-join on the rarest token.
+def _is_word(token: Column) -> Column:
+    return (F.length(token) > 1) | ((token != " ") & F.rlike(token, F.lit(text.WORD)))
 
-    ``rules``: number, phrase (folded), category, category_no, kind, label. A phrase
-    is keyed by that of its tokens which the fewest texts have; phrases with a token
-    in no text drop out before the join. Every text contributes each of its tokens
-    once, without the text; the candidates of a card come back as one array and
-    are confirmed next to its texts. ``texts``: source names and folded text arrays.
+
+def grams(tokens: str, words: str, lengths: Column) -> Column:
+    """Distinct token sequences of a text which have one of ``lengths`` and no word character next to them.
+
+    ``words`` says which tokens are words. One more token is put to all sequences at once,
+    so a text costs its tokens times the longest phrase, and nothing is sliced out of it.
+    """
+    # no sequence begins right after a word, except that of a word (which never does)
+    start = F.zip_with(tokens, F.concat(F.array(F.lit(False)), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))), lambda t, w: F.when(~w, ""))
+    state = F.struct(start.alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def longer(acc: Column, n: Column) -> Column:
+        # sequences that would leave the text meet no token and end as null
+        grown = F.zip_with(acc["open"], F.slice(tokens, n, F.size(tokens)), lambda g, t: F.concat(g, t))
+        # those that end before a word are kept open, but not found
+        found = F.zip_with(grown, F.slice(words, n + 1, F.size(words)), lambda g, w: F.when(~F.coalesce(w, F.lit(False)), g))
+        found = F.array_compact(F.array_distinct(found))
+        return F.struct(grown.alias("open"), F.when(F.array_contains(lengths, n), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+
+    steps = F.sequence(F.lit(1), F.least(F.array_max(lengths), F.size(tokens)))
+    return F.when((F.size(tokens) > 0) & (F.size(lengths) > 0), F.aggregate(steps, state, longer, lambda acc: acc["out"]))
+
+
+def found_by_join(cards: DataFrame, key: str, texts: dict[str, Column], searches: dict[str, tuple], suppressions: tuple = ()) -> DataFrame:
+    """Cards with one ``_found`` array per search, from rule tables of any size.
+
+    ``texts``: folded text arrays by name. ``searches``: column to add -> (rules, {name of
+    a text: source}); rules have number, phrase (folded), category, category_no, kind,
+    label. The token sequences of a text that are as long as some phrase meet the
+    dictionary in one equi-join for all searches. A match is a hit by itself: texts
+    are not joined, and a card is grouped with its hits, not with candidates.
     """
-    texts = {s: F.col(f"_texts_{s}") for s in SOURCES} if texts is None else texts
-    # held: folding is dear, and the texts are read by the token scan and by the test
-    cards = hold(cards.withColumns({f"_own_{s}": t for s, t in texts.items()}), *[f"_own_{s}" for s in texts])
     rows = None
-    for n, s in enumerate(texts):
-        part = cards.select(key, F.lit(n).alias("source_no"), F.lit(s).alias("source"), F.posexplode(f"_own_{s}").alias("no", "_text"))
+    for name, texts_of in texts.items():
+        part = cards.select(key, F.lit(name).alias("_name"), F.posexplode(texts_of).alias("no", "_text"))
         rows = part if rows is None else rows.unionByName(part)
-    token = rf"({text.WORD}+|[^\p{{L}}\p{{N}}_\s])"
-
-    def tokens(col: str) -> Column:
-        return F.array_distinct(F.regexp_extract_all(col, F.lit(token), F.lit(1)))
-
-    found = rows.select(key, "source_no", "source", "no", F.explode(tokens("_text")).alias("_token"))
-    spread = found.groupBy("_token").agg(F.count("*").alias("_texts"))
-    known = rules.filter("phrase <> ''")
-    parts = known.select("number", "phrase", F.size(tokens("phrase")).alias("_n"), F.explode(tokens("phrase")).alias("_token")).join(spread, "_token")
-    rarest = parts.groupBy("number", "phrase").agg(
-        F.min(F.struct("_texts", "_token")).alias("_rare"), F.count("*").alias("_have"), F.max("_n").alias("_n")
-    ).filter("_have = _n").select("number", "phrase", F.col("_rare._token").alias("_token"))
-    keyed = known.join(rarest, ["number", "phrase"]).select(
-        "number", "_token",
-        F.struct(
-            _mark_words(F.col("phrase")).alias("marked"),
-            F.col("phrase").alias("plain"),
-            # a mark at both ends makes the substring test complete
-            F.rlike("phrase", F.lit(rf"^{text.WORD}(.*{text.WORD})?$")).alias("closed"),
-            F.col("category"), F.col("category_no").cast("int").alias("category_no"), "kind", "label",
-        ).alias("phrase"),
-    )
-    candidates = found.join(keyed, "_token").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("source_no", "no", "number", "phrase", "source"))).alias("_candidates")
-    )
-    joined = cards.join(candidates, key, "left").withColumns(
-        {f"_marked_{s}": F.transform(f"_own_{s}", _mark_words) for s in texts}
-    )
-    # held: inlined into the per-candidate test they would be computed per candidate
-    joined = hold(joined, *[f"_marked_{s}" for s in texts])
-
-    def own(c: Column, prefix: str) -> Column:
-        out = F.lit(None).cast("string")
-        for s in texts:
-            out = F.when(c["source"] == s, F.get(f"{prefix}_{s}", c["no"])).otherwise(out)
-        return out
-
-    def confirmed(c: Column) -> Column:
-        pattern = F.concat(
-            F.lit(text.NOT_AFTER_WORD + r"\Q"), c["phrase"]["plain"], F.lit(r"\E" + text.NOT_BEFORE_WORD)
-        )
-        out = F.contains(own(c, "_marked"), c["phrase"]["marked"]) & (
-            c["phrase"]["closed"] | F.rlike(own(c, "_own"), pattern)
-        )
-        for owner, phrase, idiom in suppressions:
-            hidden = (c["phrase"]["category"] == owner) & c["phrase"]["kind"].isin("entity", "anchor") & (c["phrase"]["plain"] == text.fold_phrase(phrase))
-            out = out & ~(hidden & F.rlike(own(c, "_own"), F.lit(idiom)))
-        return out
-
-    kept = F.transform(
-        F.filter("_candidates", confirmed),
-        lambda c: F.struct(
-            c["source"].alias("source"), c["number"].cast("bigint").alias("number"), c["phrase"]["category"].alias("category"),
-            c["phrase"]["category_no"].alias("category_no"), c["phrase"]["kind"].alias("kind"), c["phrase"]["label"].alias("phrase"),
-        ),
-    )
-    out = joined.withColumn("_found", F.coalesce(kept.cast(FOUND), F.array().cast(FOUND))).drop(
-        "_candidates", *[f"_marked_{s}" for s in texts], *[f"_own_{s}" for s in texts]
-    )
-    return hold(out, "_found")
-
-
-def scored_hits(source_weight: dict, weight) -> Column:
-    """``_found`` as hits with a score; ``weight(hit)`` is the worth of its rule."""
+    known = None
+    for out, (rules, sources) in searches.items():
+        at = F.array(*[F.struct(F.lit(t).alias("name"), F.lit(n).alias("source_no"), F.lit(s).alias("source")) for n, (t, s) in enumerate(sources.items())])
+        part = rules.filter("phrase <> ''").select(
+            F.lit(out).alias("_out"), at.alias("_at"), "number", "phrase", "category", F.col("category_no").cast("int").alias("category_no"), "kind", "label")
+        known = part if known is None else known.unionByName(part)
+    hidden = [F.when(
+        F.col("kind").isin("entity", "anchor") & (F.col("category") == owner) & (F.col("phrase") == text.fold_phrase(phrase)), F.lit(n)
+    ) for n, (owner, phrase, _) in enumerate(suppressions)]
+    known = known.select("*", _tokens("phrase").alias("_tokens"), F.array_compact(F.array(*hidden)).cast("array<int>").alias("_hidden"))
+    lengths = known.agg(F.sort_array(F.collect_set(F.size("_tokens")))).scalar()  # no more than the longest phrase has tokens
+    # the idiom is only looked for where its phrase stands
+    idioms = [F.when(F.contains("_text", F.lit(text.fold_phrase(phrase))) & F.rlike("_text", F.lit(idiom)), F.lit(n)) for n, (_, phrase, idiom) in enumerate(suppressions)]
+    rows = rows.select(key, "_name", "no", _tokens("_text").alias("_tokens"), F.array_compact(F.array(*idioms)).cast("array<int>").alias("_idioms"), lengths.alias("_lengths"))
+    rows = hold(rows.withColumn("_words", F.transform("_tokens", _is_word)), "_tokens", "_words", "_idioms", "_lengths")
+    found = rows.select(key, "_name", "no", "_idioms", F.explode(grams("_tokens", "_words", F.col("_lengths"))).alias("phrase"))
+    rules = known.select("phrase", "_hidden", "_out", "_at", "number", "category", "category_no", "kind", "label")
+    hits = found.join(rules, "phrase").filter(~F.arrays_overlap("_hidden", "_idioms")).withColumn(
+        "_source", F.get(F.filter("_at", lambda a: a["name"] == F.col("_name")), F.lit(0))).filter("_source is not null")
+    hit = F.struct(
+        F.col("_source.source_no").alias("source_no"), "no", "number", F.col("_source.source").alias("source"), "category", "category_no", "kind", "label")
+    per_card = hits.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("_out") == out, hit))).alias(out) for out in searches])
+    joined = cards.join(per_card, key, "left")
+    for out in searches:
+        entries = F.transform(out, lambda h: F.struct(
+            h["source"].alias("source"), h["number"].cast("bigint").alias("number"), h["category"].alias("category"),
+            h["category_no"].alias("category_no"), h["kind"].alias("kind"), h["label"].alias("phrase")))
+        joined = joined.withColumn(out, F.coalesce(entries.cast(FOUND), F.array().cast(FOUND)))
+    return hold(joined, *searches)
+
+
+def scored_hits(source_weight: dict, weight, found: str = "_found") -> Column:
+    """``found`` as hits with a score; ``weight(hit)`` is the worth of its rule."""
     return F.transform(
-        "_found",
+        found,
         lambda h: F.struct(
             h["category"].alias("category"), h["category_no"].alias("category_no"), h["kind"].alias("kind"),
             h["source"].alias("source"), h["phrase"].alias("phrase"),
@@ -477,8 +466,8 @@ def classify(cards: DataFrame, book: RuleBook, as_of: Column | None = None) -> D
 def classify_with_tables(cards: DataFrame, key: str, tables: dict[str, DataFrame], as_of: Column | None = None, suppressions: tuple | None = None) -> DataFrame:
     """The same columns as ``classify``, from rule tables (see ``read_rule_tables``) of any size.
 
-    ``key`` names a column with one value per card. Categories, intents and weights
-    become literals; phrases stay rows.
+    ``key`` names a column with one value per card. Categories, intents, weights and
+    suppressions become literals; phrases stay rows.
     """
     book = frame_of_tables(tables)
     hidden = book.suppressions if suppressions is None else suppressions
@@ -491,14 +480,15 @@ def classify_with_tables(cards: DataFrame, key: str, tables: dict[str, DataFrame
         (F.col("intent_no") * F.lit(1 << 40) + F.col("place")).alias("number"), text.fold_text(F.col("phrase")).alias("phrase"),
         F.col("intent_id").alias("category"), F.col("intent_no").alias("category_no"), F.lit("anchor").alias("kind"), F.col("phrase").alias("label"),
     )
-    folded_cards = hold(with_folded_sources(cards), *[f"_texts_{s}" for s in SOURCES])
-    df = classify_content(hits_by_join(folded_cards, key, rules, suppressions=hidden), book).drop("_found")
-    df = hold(df, "classification", "target_profile")
-    texts = {"title": F.col("_texts_title"), "description": F.col("_texts_description"), "tags": F.array(text.fold_text(F.array_join("tags", " ")))}
-    df = hits_by_join(df, key, intents, texts)
-    df = df.withColumn("_intent_hits", scored_hits(fixed.INTENT_SOURCE_WEIGHT, lambda h: F.lit(fixed.INTENT_PHRASE_WEIGHT)).cast(f"array<{HIT}>"))
-    df = _intents_of(df, book).drop("_found", *[f"_texts_{s}" for s in SOURCES])
-    df = hold(df, "classification", "target_profile", "intent_profile")
+    one, many = text.fold_text, text.fold_texts
+    texts = {s: many(F.col(s)) if s in LIST_SOURCES else F.array(one(F.col(s))) for s in SOURCES}
+    texts["joined tags"] = F.array(one(F.array_join("tags", " ")))
+    searches = {"_found": (rules, {s: s for s in SOURCES}), "_intents": (intents, {"title": "title", "description": "description", "joined tags": "tags"})}
+    df = found_by_join(cards, key, texts, searches, hidden)
+    df = hold(classify_content(df, book).drop("_found"), "classification", "target_profile")
+    worth = F.lit(fixed.INTENT_PHRASE_WEIGHT)
+    df = df.withColumn("_intent_hits", scored_hits(fixed.INTENT_SOURCE_WEIGHT, lambda h: worth, "_intents").cast(f"array<{HIT}>")).drop("_intents")
+    df = hold(_intents_of(df, book), "classification", "target_profile", "intent_profile")
     return df if as_of is None else popularity(df, as_of)
 
 

@@ -57,7 +57,7 @@ class RuleBook:
             intent_rules=tuple(
                 Rule(i, "anchor", phrase) for i, v in intents.items() for phrase in v.get("anchors") or ()
             ),
-            suppressions=tuple(data.get("suppressions") or fixed.SUPPRESSIONS),
+            suppressions=tuple(tuple(s) for s in data.get("suppressions") or fixed.SUPPRESSIONS),
             kind_weight=kinds, source_weight=sources, official_weight=official,
         )
 
@@ -103,6 +103,9 @@ def tables_of(doc: DataFrame) -> dict[str, DataFrame]:
         "intents": intents.select(
             "intent_no", "intent_id", F.col("i.name_vi").alias("name"), F.posexplode("i.anchors").alias("place", "phrase")
         ),
+        "suppressions": doc.select(F.explode("suppressions").alias("s")).select(
+            F.get("s", F.lit(0)).alias("category_id"), F.get("s", F.lit(1)).alias("phrase"), F.get("s", F.lit(2)).alias("idiom")
+        ),
     }
 
 
@@ -119,15 +122,20 @@ def load_rulebook(spark: SparkSession, path: str) -> RuleBook:
 
 
 def frame_of_tables(tables: dict[str, DataFrame]) -> RuleBook:
-    """Categories, intents and weights of rule tables, without their phrases."""
+    """Categories, intents, weights and suppressions of rule tables, without their phrases.
+
+    A dictionary that names no suppressions has the fixed ones.
+    """
     codes = tables["official"].groupBy("category_id").agg(F.sort_array(F.collect_list("official_id")).alias("codes"))
     rows = tables["categories"].join(codes, "category_id", "left").orderBy("category_no").collect()
     intents = tables["intents"].groupBy("intent_no", "intent_id").agg(F.max("name").alias("name")).orderBy("intent_no").collect()
     block = tables["scoring"].first() if "scoring" in tables else None
     kinds, sources, official = scoring(block.asDict(recursive=True) if block else None)
+    idioms = tables["suppressions"].collect() if "suppressions" in tables else ()
     return RuleBook(
         tuple((r["category_id"], r["name"] or r["category_id"], tuple(r["codes"] or ())) for r in rows), (),
         tuple((r["intent_id"], r["name"] or r["intent_id"]) for r in intents),
+        suppressions=tuple((r["category_id"], r["phrase"], r["idiom"]) for r in idioms) or tuple(fixed.SUPPRESSIONS),
         kind_weight=kinds, source_weight=sources, official_weight=official,
     )
 

@@ -81,7 +81,8 @@ RULES = """
                    source_multipliers: map<string, double>>,
     categories array<struct<id: string, name_vi: string, youtube_video_category_ids: array<int>,
         entities: array<string>, anchors: array<string>, support: array<string>, keywords: array<string>>>,
-    intents map<string, struct<name_vi: string, anchors: array<string>>>
+    intents map<string, struct<name_vi: string, anchors: array<string>>>,
+    suppressions array<array<string>>
 """
 
 RELATIONS = """

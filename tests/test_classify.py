@@ -1,11 +1,13 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from driftlane.functions import fixed
 from driftlane.operators import classify as k
 from driftlane.sources import schemas
-from driftlane.sources.rulebook import RuleBook, tables_of
+from driftlane.sources.rulebook import RuleBook, frame_of_tables, load_rulebook, read_rule_tables, tables_of
 
 DICTIONARY = {
     "categories": [
@@ -99,12 +101,35 @@ def test_rule_tables_give_the_same_rows(spark):
 
 def test_dictionary_of_any_size(spark):
     dictionary = {"categories": [{"id": "a", "anchors": [f"w{i}" for i in range(20_000)]}, {"id": "b", "anchors": ["w7 w8"]}]}
-    cards = spark.createDataFrame([("w19999 and w3", None, None, "w7 w8", None, None)], CARD).withColumn("id", F.lit(1))
+    cards = spark.createDataFrame([("w19999, w7 w8 and w3", None, None, "w7 w8", None, None)], CARD).withColumn("id", F.lit(1))
     row = profiles(k.classify_with_tables(cards, "id", tables(spark, dictionary)))[1][0]
     assert {e.phrase for hits in row.evidence.values() for e in hits} == {"w19999", "w3", "w7", "w8", "w7 w8"}
     assert len(RuleBook.from_dict(dictionary).rules) == 20_001
 
 
+def test_token_sequences_equal_the_phrase_test(spark):
+    draw = random.Random(4)
+    signs = ["a", "b1", "_", " ", "  ", "-", "+", "c++", "é", "日", "\n", "'"]
+    phrases = sorted({"".join(draw.choices(signs, k=draw.randint(1, 4))).strip() for _ in range(150)} - {""})
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 9))) for _ in range(150)] + [None, "a"]
+    dictionary = {"categories": [{"id": "x", "anchors": phrases}], "suppressions": [["x", "a", "b1"]]}
+    cards = spark.createDataFrame([(t, None, [t or "", "a"], t, None, None) for t in texts], CARD).withColumn("id", F.monotonically_increasing_id())
+    inline, joined = k.classify(cards, RuleBook.from_dict(dictionary)), k.classify_with_tables(cards, "id", tables(spark, dictionary))
+    assert profiles(inline) == profiles(joined)
+
+
+def test_suppressions_and_intents_come_from_the_document(spark, tmp_path):
+    dictionary = DICTIONARY | {"suppressions": [["games", "game", r"video\s+game\s+review"]]}
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps(dictionary), encoding="utf-8")
+    read = read_rule_tables(spark, str(path))
+    assert frame_of_tables(read).suppressions == load_rulebook(spark, str(path)).suppressions == (("games", "game", r"video\s+game\s+review"),)
+    assert frame_of_tables(tables(spark, DICTIONARY)).suppressions == tuple(fixed.SUPPRESSIONS)
+    cards = spark.createDataFrame([(t, None, None, None, None, None) for t in ("video game review", "game review", "lịch sử")], CARD).withColumn("id", F.col("title"))
+    inline, joined = k.classify(cards, load_rulebook(spark, str(path))), k.classify_with_tables(cards, "id", read)
+    assert profiles(inline) == profiles(joined)
+
+
 def test_scoring_block_changes_scores():
     book = RuleBook.from_dict({"scoring": {"anchor": 1.5, "youtube_category": 2, "source_multipliers": {"title": 3.0}}})
     assert book.kind_weight["anchor"] == 1.5 and book.kind_weight["entity"] == 6.0
