@@ -204,6 +204,19 @@ def classify_many_phrases(spark, sf_dir):
     return _vector(k.classify_with_tables(cards(spark, sf_dir), "doc_id", tables, suppressions=()), "classification")
 
 
+IDIOM = ("en", "the", r"(?:in|of)\s+the")
+_HIDING = _matches("loud", "cat, ord, kind, phrase", [
+    (r.owner, _ORDER[r.owner], r.kind, r.phrase) for r in BOOK.rules if r.kind != "keyword" and (r.owner, r.phrase) != IDIOM[:2]]) + rf""",
+matched AS (SELECT * FROM loud UNION ALL SELECT doc_id, src, 'en', {_ORDER['en']}, 'anchor', 'the' FROM texts
+  WHERE regexp_matches(t, '(^|[^\p{{L}}\p{{N}}_])the($|[^\p{{L}}\p{{N}}_])') AND NOT regexp_matches(t, '(in|of)\s+the'))"""
+
+
+@bound("classify_suppressed", f"WITH {_scored(_MULT, True, _HIDING)} {_VECTOR_SQL}")
+def classify_suppressed(spark, sf_dir):
+    """A dictionary document with a suppression of its own, read as tables."""
+    return _vector(k.classify_with_tables(cards(spark, sf_dir), "doc_id", rule_tables(spark, DICTIONARY | {"suppressions": [list(IDIOM)]})), "classification")
+
+
 @bound("classify_evidence", f"""
 WITH {_scored(_MULT, True)}
 SELECT ev.doc_id, ev.cat AS category_id, CASE kind WHEN 'official' THEN 'official_category' ELSE kind END AS kind,
@@ -222,7 +235,7 @@ def target_profile(spark, sf_dir):
     return _vector(content(spark, sf_dir), "target_profile")
 
 
-@bound("intents", rf"""
+_INTENT_SQL = rf"""
 WITH {_CARDS},
 it AS (SELECT doc_id, src, t FROM texts WHERE src IN ('title', 'description')
        UNION ALL SELECT doc_id, 'tags', lower(concat(lang, ' ', channel)) FROM cards),
@@ -234,15 +247,24 @@ sh AS (SELECT *, score / sum(score) OVER (PARTITION BY doc_id) AS share FROM sc)
 SELECT doc_id, cat AS intent_id, round_even(CAST(share AS DOUBLE), 4) AS share,
   first_value(cat) OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, ord) AS top_intent
 FROM sh WHERE share >= 0.10
-""")
-def intents(spark, sf_dir):
-    df = k.classify_intent(k.with_folded_sources(cards(spark, sf_dir)), BOOK)
-    rows = k.hold(df, "intent_profile").select(
-        "doc_id", "intent_profile.top_intent", F.explode("intent_profile.intents").alias("i")
-    )
+"""
+
+
+def _intent_rows(df):
+    rows = k.hold(df, "intent_profile").select("doc_id", "intent_profile.top_intent", F.explode("intent_profile.intents").alias("i"))
     return rows.select("doc_id", F.col("i.id").alias("intent_id"), F.col("i.share").alias("share"), "top_intent")
 
 
+@bound("intents", _INTENT_SQL)
+def intents(spark, sf_dir):
+    return _intent_rows(k.classify_intent(k.with_folded_sources(cards(spark, sf_dir)), BOOK))
+
+
+@bound("intents_by_join", _INTENT_SQL)
+def intents_by_join(spark, sf_dir):
+    return _intent_rows(k.classify_with_tables(cards(spark, sf_dir), "doc_id", rule_tables(spark, DICTIONARY)))
+
+
 _V1 = rf"""
 {_CARDS}, {_KEYWORDS}, {_OFFICIAL},
 hits AS (SELECT doc_id, cat, ord,
