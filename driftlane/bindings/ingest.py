@@ -10,7 +10,8 @@ from driftlane.bindings.events import daily, events
 from driftlane.functions import identity
 from driftlane.operators import ingest, validate
 from driftlane.operators import longitudinal as lg
-from driftlane.sources import readers, sinks
+from driftlane.plans.staging import work_folder
+from driftlane.sources import current, readers, sinks
 
 
 def _meta(spark, sf_dir):
@@ -58,6 +59,18 @@ def upsert_latest(spark, sf_dir):
     return sinks.upsert_latest(current, orders.filter("o_orderkey % 2 = 1"), ["o_custkey"], ["o_orderkey"])
 
 
+@bound("current_state", """
+SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1
+""")
+def current_state(spark, sf_dir):
+    """Three batches into a versioned table, the second one delivered twice."""
+    orders, path = table(spark, sf_dir, "orders"), work_folder(spark)
+    for batch in (0, 1, 1, 2):
+        current.update(orders.filter(F.col("o_orderkey") % 3 == batch), path, ["o_custkey"], ["o_orderdate", "o_orderkey"], "orders", batch, 8)
+    return current.read(spark, path).select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 @bound("same_day_replace", """
 WITH s AS (SELECT o_custkey AS profile_id, o_orderdate AS day, o_orderpriority AS recorded_at, o_orderkey FROM orders)
 SELECT profile_id, CAST(CAST(day AS DATE) AS VARCHAR) AS day, o_orderkey FROM s
