@@ -196,6 +196,29 @@ def device_watch_opens(spark, sf_dir):
     return ingest.watch_opens(ev, ["profile_id"], "ts", ["event_id"]).select("profile_id", "event_id", "confidence")
 
 
+@bound("device_watch_bursts", f"""
+WITH {EV},
+o AS (SELECT user_id, event_id, epoch_us(ts) // 10000 AS t, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'watch' ELSE 'other' END AS surface,
+  event_type <> 'signup' AS change FROM ev),
+p AS (SELECT *, coalesce(lag(surface) OVER (PARTITION BY user_id ORDER BY t, event_id), '') <> 'watch' AS entered FROM o),
+f AS (SELECT user_id, list_reduce(list({{t: t, id: event_id, e: entered, kept: []::BIGINT[]}} ORDER BY t, event_id),
+    lambda a, x: CASE WHEN x.e OR a.t IS NULL OR x.t - a.t > 4000000 THEN {{t: x.t, id: x.id, e: x.e, kept: list_append(a.kept, x.id)}} ELSE a END,
+    {{t: NULL::BIGINT, id: NULL::BIGINT, e: false, kept: []::BIGINT[]}}) AS r
+  FROM p WHERE surface = 'watch' AND (entered OR change) GROUP BY user_id)
+SELECT user_id AS profile_id, event_id, CASE WHEN entered THEN 0.7 ELSE 0.55 END AS confidence
+FROM (SELECT user_id, unnest(r.kept) AS event_id FROM f) JOIN p USING (user_id, event_id)
+""")
+def device_watch_bursts(spark, sf_dir):
+    """The same on a clock ten thousand times as fast, so that opens come in bursts."""
+    fast = F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, cast(_t / 1000000 as decimal(18, 6)))")
+    ev = events(spark, sf_dir).withColumn("_t", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz)) div 10000")).select(
+        "event_id", fast.alias("ts"), F.col("user_id").alias("profile_id"),
+        F.when(F.col("event_type").isin("view", "click", "signup"), "watch").otherwise("other").alias("surface"),
+        (F.col("event_type") != "signup").alias("window_change"),
+    )
+    return ingest.watch_opens(ev, ["profile_id"], "ts", ["event_id"], bucket_seconds=60).select("profile_id", "event_id", "confidence")
+
+
 @bound("snapshot_quota", f"""
 WITH {EV},
 s AS (SELECT *, k % 2 AS sig FROM ev),

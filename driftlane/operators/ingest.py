@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,9 +149,10 @@ def watch_opens(
     """Opens seen on a device: a change into the watch surface, or a window
     change on it more than ``quiet_seconds`` after the last counted open.
 
-    Candidates closer than that to the one before form a burst; only bursts need
-    state, and a device emits at most one snapshot per debounce interval, which
-    bounds them. The burst is folded in time order by a built-in aggregate.
+    Candidates closer than that to the one before form a burst. Only inside a burst
+    does a decision depend on the one before, so bursts are dealt to tasks, sorted
+    and read in one pass that remembers the last counted open: a device is
+    spread over its bursts, and a burst of any length takes no memory.
     """
     rows = with_previous(snapshots, group, time, tie, F.col(surface), "_prev", bucket_seconds)
     watch = F.col(surface) == "watch"
@@ -162,27 +166,24 @@ def watch_opens(
     head = F.col("_entered") | F.col("_before").isNull() | (gap > limit)
     heads = gap_rows.withColumn("_head", head)
     marked = with_last_head(heads, group, time, tie, bucket_seconds)
-    bursts = marked.groupBy(*group, "_burst").agg(
-        F.array_sort(
-            F.collect_list(F.struct(micros(time).alias("t"), *tie, F.col(time).alias("at"), F.col("_entered").alias("e")))
-        ).alias("_rows")
-    )
-    fold = F.aggregate(
-        "_rows",
-        F.struct(
-            F.lit(None).cast("bigint").alias("last"),
-            F.array().cast(bursts.schema["_rows"].dataType).alias("kept"),
-        ),
-        lambda acc, r: F.when(
-            r["e"] | acc["last"].isNull() | (r["t"] - acc["last"] > limit),
-            F.struct(r["t"].alias("last"), F.array_append(acc["kept"], r).alias("kept")),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
-    return bursts.select(*group, F.explode(fold).alias("_k")).select(
-        *group, F.col("_k.at").alias(time), *[F.col(f"_k.{c}").alias(c) for c in tie],
-        F.when(F.col("_k.e"), 0.7).otherwise(0.55).alias("confidence"),
-    )
+    keys = [*group, "_burst"]
+    ordered = marked.select(*keys, time, *tie, micros(time).alias("_t"), F.col("_entered").alias("_e")).repartition(*keys).sortWithinPartitions(*keys, time, *tie)
+    n = len(keys)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for batch in batches:
+            keep = []
+            for *key, at, entered in zip(*(batch.column(k).to_pylist() for k in [*range(n), batch.num_columns - 2, batch.num_columns - 1])):
+                if key != current:
+                    current, last = key, None
+                keep.append(entered or last is None or at - last > limit)
+                if keep[-1]:
+                    last = at
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    kept = ordered.mapInArrow(counted, ordered.schema)
+    return kept.select(*group, time, *tie, F.when(F.col("_e"), 0.7).otherwise(0.55).alias("confidence"))
 
 
 def with_last_head(rows: DataFrame, group: list[str], time: str, tie: list[str], bucket_seconds: int) -> DataFrame:

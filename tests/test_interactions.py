@@ -147,6 +147,41 @@ def test_watch_opens_equal_the_sequential_rule(spark):
     assert sorted(r.n for r in got.collect()) == want
 
 
+def test_a_long_burst_on_one_device(spark):
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    df = spark.range(n).select(
+        F.lit("d").alias("device"), F.col("id").alias("n"), F.expr("timestamp_ntz'2026-08-23' + make_dt_interval(0, 0, 0, cast(id * 1.5 as decimal(18, 6)))").alias("ts"),
+        F.lit("watch").alias("surface"), F.lit(True).alias("window_change"))
+    got = sorted(r.n for r in ingest.watch_opens(df, ["device"], "ts", ["n"]).select("n").collect())
+    want, last = [], None
+    for k in range(n):
+        if last is None or 1.5 * (k - last) > 4.0:
+            want.append(k)
+            last = k
+    assert got == want
+
+
+def test_repeat_opens_by_batches_with_a_replay(spark, tmp_path):
+    schema = "profile_id string, event_id string, captured_at string, video_id string"
+    inbox, root = str(tmp_path / "in"), str(tmp_path / "out")
+    t = "2026-08-23T10:00:{:02d}Z".format
+    batches = [[("p", "e1", t(1), "a"), ("p", "e2", t(2), "a"), ("q", "f1", t(1), "a"), ("q", "f0", t(3), None)],
+               [("p", "e3", t(3), "a"), ("p", "e4", t(4), "b"), ("p", "e0", t(0), "a"), ("r", "g1", t(1), "a")], [("p", "e5", t(9), "b"), ("q", "f2", t(9), "b")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        repeat_open.start(spark.readStream.schema(schema).parquet(inbox), root, str(tmp_path / "cp"), once=True).awaitTermination()
+    want = ["e1", "e4", "f1", "f2", "g1"]
+
+    def written():
+        return sorted(r.event_id for r in spark.read.parquet(f"{root}/opens").collect())
+
+    assert written() == want
+    repeat_open.write_batch(spark.createDataFrame(batches[1], schema), root, 1)
+    assert written() == want
+
+
 def test_quota(spark):
     rows = [("d", "home", n, "2026-08-23", sig) for n, sig in enumerate("aabbacd")] + [("d", "other", 9, "2026-08-23", "x")]
     df = spark.createDataFrame(rows, "device string, surface string, n int, day string, sig string").withColumn("ts", F.timestamp_seconds("n"))
