@@ -151,13 +151,11 @@ def trees(spark, sf_dir):
         F.when(F.length(line) % 5 == 0, F.lit("row")).alias("view_id"), F.lit("View").alias("class_name"),
         (F.length(line) % 7 == 0).alias("selected"), (F.length(line) % 11 == 0).alias("scrollable"),
     )
-    docs = table(spark, sf_dir, "documents").filter(F.rlike("text", F.lit(r"^[\x00-\x7F]*$")))
-    return docs.select("doc_id", F.transform(lines, node).alias("nodes"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(lines, node).alias("nodes"))
 
 
 @bound("node_filter", r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
-           WHERE regexp_full_match(text, '[\x00-\x7F]*')),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 k AS (SELECT *, nullif(substr(trim(regexp_replace(CASE WHEN length(line) % 3 <> 0 THEN line ELSE '' END, '\s+', ' ', 'g')), 1, 200), '') AS t FROM l
       WHERE (i - 1) % 25 <= 18),
 kept AS (SELECT * FROM k WHERE t IS NOT NULL OR length(line) % 5 = 0 OR length(line) % 7 = 0 OR length(line) % 11 = 0),

@@ -164,17 +164,16 @@ SURF = EV + """,
 s0 AS (SELECT user_id AS profile_id, day,
          CASE event_type WHEN 'view' THEN 'home' WHEN 'click' THEN 'up_next' ELSE 'subscriptions' END AS surface,
          k % 18 AS key, sum(value) AS v
-       FROM ev WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL),
+       FROM ev GROUP BY ALL),
 dist AS (SELECT *, v / sum(v) OVER (PARTITION BY profile_id, day, surface) AS share,
          CASE surface WHEN 'home' THEN 0.53 WHEN 'up_next' THEN 0.32 ELSE 0.15 END AS prior FROM s0 WHERE v > 0)
 """
 
 
 def surface_rows(spark, sf_dir):
-    surface = wt.lookup(F.col("event_type"), SURFACE_OF_TYPE, None)
+    surface = wt.lookup(F.col("event_type"), SURFACE_OF_TYPE, "subscriptions")
     return (
         events(spark, sf_dir)
-        .filter(F.col("event_type").isin(*SURFACE_OF_TYPE))
         .groupBy(F.col("user_id").alias("profile_id"), "day", surface.alias("surface"), (F.col("k") % 18).alias("key"))
         .agg(F.sum("value").alias("weight"))
     )
@@ -213,7 +212,7 @@ def surface_priors_applied(spark, sf_dir):
 @bound("term_map_blend", f"""
 WITH {EV},
 raw AS (SELECT user_id AS profile_id, day, concat('k', k) AS key, event_type = 'purchase' AS extra, sum(value) AS score
-        FROM ev WHERE event_type IN ('view', 'purchase') GROUP BY ALL),
+        FROM ev GROUP BY ALL),
 tot AS (SELECT *, sum(CASE WHEN NOT extra THEN score END) OVER p AS mt, sum(CASE WHEN extra THEN score END) OVER p AS et
         FROM raw WHERE score > 0 WINDOW p AS (PARTITION BY profile_id, day)),
 mixed AS (SELECT profile_id, day, key, mt, et,
@@ -224,16 +223,16 @@ SELECT profile_id, CAST(day AS VARCHAR) AS day, key,
 FROM mixed
 """)
 def term_map_blend(spark, sf_dir):
-    def side(event_type):
+    def side(chosen):
         key = F.concat(F.lit("k"), F.col("k"))
         return (
-            events(spark, sf_dir).filter(F.col("event_type") == event_type)
+            events(spark, sf_dir).filter(chosen)
             .groupBy(F.col("user_id").alias("profile_id"), "day", key.alias("key"))
             .agg(F.sum("value").alias("score"))
             .withColumn("value", F.col("key"))
         )
 
-    return lg.blend_terms(side("view"), side("purchase"), ["profile_id", "day"]).select(
+    return lg.blend_terms(side(F.col("event_type") != "purchase"), side(F.col("event_type") == "purchase"), ["profile_id", "day"]).select(
         "profile_id", _day("day"), "key", "weight"
     )
 
@@ -308,6 +307,23 @@ def previous_names(spark, sf_dir):
     return out.select("profile_id", F.array_join("previous_names", "|").alias("previous_names"))
 
 
+@bound("interest_facts", f"""
+WITH {EV},
+sess AS (SELECT user_id AS profile_id, k % 18 AS key, day, max(event_type) AS name, round(least(1.0, log10(1 + avg(value)) / 3), 6) AS demand FROM ev GROUP BY ALL),
+cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS as_of FROM ev),
+evals AS (SELECT profile_id, key, as_of FROM (SELECT DISTINCT profile_id, key FROM sess), cal)
+SELECT CAST(e.as_of AS VARCHAR) AS as_of, e.profile_id, e.key, name, demand
+FROM evals e ASOF JOIN sess s ON e.profile_id = s.profile_id AND e.key = s.key AND e.as_of >= s.day
+""")
+def interest_facts(spark, sf_dir):
+    """Name and demand of each interest on every day: of the newest session that has it."""
+    ev = events(spark, sf_dir)
+    history = ev.groupBy(F.col("user_id").alias("profile_id"), (F.col("k") % 18).alias("key"), "day").agg(
+        F.max("event_type").alias("name"), F.least(F.lit(1.0), F.log10(1 + F.avg("value")) / 3).alias("demand"))
+    first, last = (ev.agg(f("day")).scalar() for f in (F.min, F.max))
+    return lg.facts_as_of(history, (first, last)).select(_day("as_of"), "profile_id", "key", "name", _r("demand"))
+
+
 FLAGSHIP_SQL = f"""
 WITH {DAILY}, {WINDOW_SQL}, {SURF.replace(EV + ",", "")},
 today_dist AS (SELECT d.*, round_even(CAST(share AS DOUBLE), 6) AS rshare FROM dist d JOIN evalday ON day = as_of),

@@ -248,9 +248,10 @@ def lane_packaging(spark, sf_dir):
 
 
 @bound("effective_categories", """
-SELECT l_orderkey, l_linenumber, p_type AS category_id,
-  round(CASE WHEN l_linestatus = 'O' THEN (0.85 * 0.7 + 0.15 * 0.4) / (0.85 * 0.7 + 0.15 * 1.0 + 0.85 * 0.3) ELSE 0.7 END, 6) AS share
-FROM lineitem JOIN part ON l_partkey = p_partkey
+WITH c AS (SELECT l_orderkey, l_linenumber, p_type, l_linestatus = 'O' AS o FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey, l_linenumber, p_type AS category_id, round(CASE WHEN o THEN 0.85 * 0.7 + 0.15 * 0.4 ELSE 0.7 END, 6) AS share FROM c
+UNION ALL SELECT l_orderkey, l_linenumber, 'other', round(CASE WHEN o THEN 0.85 * 0.3 ELSE 0.3 END, 6) FROM c
+UNION ALL SELECT l_orderkey, l_linenumber, 'third', round(0.15 * 0.6, 6) FROM c WHERE o
 """)
 def effective_categories(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
@@ -263,6 +264,6 @@ def effective_categories(spark, sf_dir):
     target = F.when(F.col("l_linestatus") == "O", F.array(cat(F.lit("third"), 0.6), cat(F.col("p_type"), 0.4)))
     blended = ex.blend_categories(joined, content, target, 0.85, 0.15)
     rows_ = blended.select("l_orderkey", "l_linenumber", F.explode_outer("categories").alias("c"))
-    return rows_.filter(~F.col("c.id").isin("other", "third")).select(
+    return rows_.select(
         "l_orderkey", "l_linenumber", F.col("c.id").alias("category_id"), F.round("c.share", 6).alias("share")
     )

@@ -281,16 +281,37 @@ def interest_trends(observations: DataFrame, as_of, days: DataFrame | None = Non
     )
 
 
+def facts_as_of(history: DataFrame, as_of) -> DataFrame:
+    """Name and demand of each interest as the newest session up to the evaluation day has them.
+
+    ``history``: profile_id, key, day, name, demand, one row per session and interest that it has.
+    A newest session without the interest says nothing about it, so older ones stand in. Several
+    evaluation days, as (first, last), take no range join: a session's facts hold from its day
+    to the day before the next one that has the interest.
+    """
+    facts = F.struct("name", "demand").alias("facts")
+    several = isinstance(as_of, tuple)
+    first, last = (F.lit(d).cast("date") for d in (as_of if several else (as_of, as_of)))
+    per_day = history.filter(F.col("day") <= last).groupBy("profile_id", "key", "day").agg(F.max(facts).alias("facts"))
+    if several:
+        rows = filled_days(per_day, ["profile_id", "key"], first, last).filter(F.col("as_of") >= first)
+    else:
+        rows = per_day.groupBy("profile_id", "key").agg(F.max_by("facts", "day").alias("facts")).withColumn("as_of", last)
+    return rows.select("profile_id", "as_of", "key", "facts.name", "facts.demand")
+
+
 def interest_rows(trends: DataFrame, today: DataFrame, meta: DataFrame) -> DataFrame:
     """Final interest rows: zone, stability, cross-surface flag, opportunity.
 
     ``today``: profile_id, key, surfaces of the evaluation day. ``meta``:
-    profile_id, key, name, demand of the current session, else the last one.
+    profile_id, key, name, demand of the current session, else the last one (see
+    ``facts_as_of``); with a column ``as_of`` it holds them for each evaluation day.
     """
     surface = F.col("surfaces")
     home, up, subs = (F.coalesce(surface[s], F.lit(0.0)) for s in ("home", "up_next", "subscriptions"))
+    on = ["profile_id", *(["as_of"] if "as_of" in meta.columns else []), "key"]
     joined = trends.join(today.select("profile_id", "key", "surfaces"), ["profile_id", "key"], "left").join(
-        meta.select("profile_id", "key", "name", "demand"), ["profile_id", "key"], "left"
+        meta.select(*on, "name", "demand"), on, "left"
     )
     cross = F.coalesce(F.size(F.map_filter(surface, lambda _, v: v > 0)) >= 2, F.lit(False))
     own = F.when(F.col("today") > 0, F.col("today")).otherwise(

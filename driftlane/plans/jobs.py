@@ -190,14 +190,17 @@ def daily_observations(tables: dict[str, DataFrame], envelopes: DataFrame) -> Da
 
 # ---------------------------------------------------------------- 4. longitudinal
 def longitudinal(
-    daily: DataFrame, as_of, meta: DataFrame, channels: DataFrame | None = None, previous: DataFrame | None = None
+    daily: DataFrame, as_of, meta: DataFrame, channels: DataFrame | None = None, previous: DataFrame | None = None, history: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Interest, term, name and lane tables on one evaluation day.
 
     ``meta``: profile_id, key, name, demand of the newest session. ``previous``: the
-    same of the last profile, for interests the newest session lacks.
+    same of the last profile, for interests the newest session lacks. ``history``, the
+    facts of all sessions (profile_id, key, day, name, demand), takes the place of both.
     """
     facts = ["profile_id", "key", "name", "demand"]
+    if history is not None:
+        meta, previous = lg.facts_as_of(history, as_of), None
     if previous is not None:
         meta = meta.select(facts).unionByName(previous.select(facts).join(meta.select("profile_id", "key"), ["profile_id", "key"], "left_anti"))
     days = daily.select("profile_id", "day").distinct()

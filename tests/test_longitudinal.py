@@ -80,6 +80,19 @@ def test_series_equals_single_days_over_gaps_and_years(spark):
                     assert by_day[day][key][name] == (pytest.approx(value, abs=1e-12) if isinstance(value, float) else value), (day, key, name)
 
 
+def test_facts_come_from_the_newest_session_that_has_the_interest(spark):
+    rows = [("p", "a", D(2026, 8, 1), "A one", .1), ("p", "b", D(2026, 8, 1), "B one", .2), ("p", "a", D(2026, 8, 5), "A five", .3), ("p", "c", D(2026, 8, 9), "C", .4),
+            ("q", "a", D(2026, 8, 4), None, None)]
+    history = spark.createDataFrame(rows, "profile_id string, key string, day date, name string, demand double")
+    every = {(r.profile_id, r.as_of, r.key): (r["name"], r.demand) for r in lg.facts_as_of(history, (D(2026, 8, 3), D(2026, 8, 10))).collect()}
+    for day in range(3, 11):
+        one = {(r.profile_id, r.as_of, r.key): (r["name"], r.demand) for r in lg.facts_as_of(history, D(2026, 8, day)).collect()}
+        want = {(p, D(2026, 8, day), k): max((d, n, x) for q, j, d, n, x in rows if (q, j) == (p, k) and d <= D(2026, 8, day))[1:]
+                for p, k in {r[:2] for r in rows if r[2] <= D(2026, 8, day)}}
+        assert one == want
+        assert {k: v for k, v in every.items() if k[1] == D(2026, 8, day)} == want
+
+
 def test_series_copies_no_row_to_later_days(spark):
     df = obs(spark, [("2026-08-01", {"a": .5, "b": .5}), ("2026-08-03", {"a": 1})])
     plan = lg.window_table(df, (D(2026, 8, 1), D(2026, 8, 20)))._jdf.queryExecution().toString()
