@@ -171,6 +171,23 @@ def node_filter(spark, sf_dir):
     )
 
 
+@bound("device_inspection", """
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
+v AS (SELECT 'view_id' AS section, CASE WHEN length(line) % 5 = 0 THEN 'row' END AS value FROM l
+  UNION ALL SELECT 'class_name', 'View' FROM l UNION ALL SELECT 'text', CASE WHEN length(line) % 3 <> 0 THEN line END FROM l),
+c AS (SELECT section, value, count(*) AS n FROM v WHERE coalesce(value, '') <> '' GROUP BY section, value
+  QUALIFY row_number() OVER (PARTITION BY section ORDER BY count(*) DESC, value) <= 20)
+SELECT * FROM c
+UNION ALL SELECT 'snapshots', NULL, count(*) FROM documents UNION ALL SELECT 'nodes', NULL, count(*) FROM l
+UNION ALL SELECT 'surface', CASE WHEN source = 'src3' THEN 'unknown' ELSE source END, count(*) FROM documents GROUP BY ALL
+""")
+def device_inspection(spark, sf_dir):
+    """Every document as a device snapshot, with its lines as nodes and its source as guessed surface."""
+    guess = F.struct(F.when(F.col("source") != "src3", F.col("source")).otherwise("").alias("surface"))
+    snapshots = trees(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", guess.alias("surface_guess")), "doc_id")
+    return nd.inspection(snapshots, {"view_id": "view_id", "class_name": "class_name", "text": "text"}, 20)
+
+
 LABELS = """CASE event_type WHEN 'view' THEN 'Home' WHEN 'click' THEN 'Search shorts' WHEN 'purchase' THEN 'Save and share'
   WHEN 'signup' THEN 'Subscriptions' ELSE 'nothing here' END"""
 

@@ -173,7 +173,21 @@ FROM expansion QUALIFY rank <= 8
 """)
 def expansion_terms(spark, sf_dir):
     rows = cm.lane_term_rows(weighted(spark, sf_dir), "keyword_trends")
-    return cm.expansion_terms(rows, cm.aggregate_terms(rows)).select("category_id", "key", "score", _long("rank"))
+    return cm.core_and_expansion(rows).filter("set = 'expansion'").select("category_id", "key", "score", _long("rank"))
+
+
+@bound("lane_trends", f"""
+WITH {PROFILES}
+SELECT category_id, CASE WHEN trend = 'stable' AND profile_key % 3 = 0 THEN 'plateau' ELSE trend END AS trend, count(*) AS profiles
+FROM interest WHERE interest >= 0.08 GROUP BY ALL
+""")
+def lane_trends(spark, sf_dir):
+    """Trend histogram of every lane; one trend name is none of the known ones."""
+    def renamed(r):
+        return F.when((r["trend_state"] == "stable") & (F.col("profile_key") % 3 == 0), r.withField("trend_state", F.lit("plateau"))).otherwise(r)
+
+    w = weighted(spark, sf_dir).withColumn("interest_weights", F.transform("interest_weights", renamed))
+    return cm.lanes(w).select("category_id", F.explode("trend_counts").alias("trend", "profiles"))
 
 
 @bound("lane_intents", f"""

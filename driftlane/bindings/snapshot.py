@@ -244,6 +244,20 @@ def term_map_global(spark, sf_dir):
     return out.select(*GROUP, *_term_columns(), wt.round_even(F.col("source_creator_tag"), 4).alias("from_tags"))
 
 
+@bound("term_maps", f"""
+WITH {_tagged(0.40, 1.15, 1.20, 0.80)},
+agg AS (SELECT snapshot_id, category_id, key, grouping(category_id) AS o, round_even(CAST(sum(score) AS DOUBLE), 4) AS score,
+    round_even(CAST(sum(cons * score) / sum(score) AS DOUBLE), 4) AS consistency, count(DISTINCT video_id) AS video_support
+  FROM trow WHERE length(key) >= 2 GROUP BY GROUPING SETS ((snapshot_id, category_id, key), (snapshot_id, key)))
+SELECT CASE WHEN o = 1 THEN 'outer' ELSE 'inner' END AS level, snapshot_id, category_id, key, score, consistency, video_support FROM agg
+QUALIFY row_number() OVER (PARTITION BY o, snapshot_id, category_id ORDER BY score DESC, video_support DESC, consistency DESC, key) <= CASE WHEN o = 1 THEN 40 ELSE 15 END
+""")
+def term_maps(spark, sf_dir):
+    """Both term maps of a snapshot, by category and overall, from one scan."""
+    rows = tm.card_terms(term_cards(spark, sf_dir), GROUP, 0.40, 1.15, 1.20, 0.80)
+    return tm.in_two_scopes(rows, GROUP).select("level", "snapshot_id", "category_id", *_term_columns())
+
+
 @bound("session_terms", f"""
 WITH {_tagged(0.35, 1.10, 1.15, None)},
 agg AS (SELECT snapshot_id, key, sum(score) AS s, sum(cons * score) / sum(score) AS c, count(DISTINCT video_id) AS video_support,

@@ -8,6 +8,7 @@ those arrays on the map side; no profile is ever joined with other profiles.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftlane.functions import fixed, text
@@ -78,8 +79,10 @@ def interest_rows(weighted: DataFrame) -> DataFrame:
 def lanes(weighted: DataFrame) -> DataFrame:
     """One row per category with a matched profile.
 
-    First level (category, participant) makes participants countable without a
-    distinct; the second level has as many groups as there are categories.
+    One scan feeds two groupings: by participant, which makes participants countable
+    without a distinct, and by trend name, whatever names there are. The second level has as
+    many groups as there are categories. Adds ``trend_counts``, a map without zeros, and
+    ``n_<state>`` for the known states.
     """
     rows = interest_rows(weighted)
     w, hit = F.col("pweight"), F.col("matched")
@@ -90,37 +93,26 @@ def lanes(weighted: DataFrame) -> DataFrame:
     def total(cond: Column) -> Column:
         return F.sum(F.when(cond, w).otherwise(0.0))
 
-    states = [*fixed.COMMUNITY_TREND_VALUE]
-    first = rows.groupBy("category_id", "participant_id").agg(
-        F.count_if(hit).alias("matched"),
-        F.sum(w * F.col("interest")).alias("interest"),
-        total(hit).alias("coverage"),
-        total(hit & positive).alias("positive"),
-        total(hit & negative).alias("negative"),
-        total(hit & ~positive & ~negative).alias("steady"),
+    sums = ["interest", "coverage", "positive", "negative", "steady"]
+    first = rows.withColumns({"_participant": F.col("participant_id"), "_trend": trend}).groupingSets(
+        [["category_id", "_participant"], ["category_id", "_trend"]], "category_id", "_participant", "_trend",
+    ).agg(
+        F.grouping("_trend").alias("_by_participant"), F.count_if(hit).alias("matched"),
+        F.sum(w * F.col("interest")).alias("interest"), total(hit).alias("coverage"), total(hit & positive).alias("positive"),
+        total(hit & negative).alias("negative"), total(hit & ~positive & ~negative).alias("steady"),
         F.min("category_name").alias("category_name"),
-        *[F.count_if(hit & (trend == s)).alias(f"n_{s}") for s in states],
     )
+    person = F.col("_by_participant") == 1
+    named = F.when(~person & (F.col("matched") > 0), F.struct(F.col("_trend").alias("k"), F.col("matched").alias("v")))
     lane = first.groupBy("category_id").agg(
         F.min("category_name").alias("category_name"),
-        F.sum("matched").alias("matched_profiles"),
-        F.count_if(F.col("matched") > 0).alias("matched_participants"),
-        F.sum("interest").alias("weighted_interest"),
-        F.sum("coverage").alias("weighted_coverage"),
-        F.sum("positive").alias("positive"),
-        F.sum("negative").alias("negative"),
-        F.sum("steady").alias("steady"),
-        *[F.sum(f"n_{s}").alias(f"n_{s}") for s in states],
-    )
-    return lane.filter("matched_profiles > 0")
-
-
-def trend_counts(lane: DataFrame) -> DataFrame:
-    """Trend histogram as a map, zero counts left out."""
-    pairs = F.array(
-        *[F.struct(F.lit(s).alias("k"), F.col(f"n_{s}").alias("v")) for s in sorted(fixed.COMMUNITY_TREND_VALUE)]
-    )
-    return lane.withColumn("trend_counts", F.map_from_entries(F.filter(pairs, lambda p: p["v"] > 0)))
+        F.sum(F.when(person, F.col("matched"))).alias("matched_profiles"),
+        F.count_if(person & (F.col("matched") > 0)).alias("matched_participants"),
+        *[F.sum(F.when(person, F.col(c))).alias({"interest": "weighted_interest", "coverage": "weighted_coverage"}.get(c, c)) for c in sums],
+        F.map_from_entries(F.array_sort(F.collect_list(named))).alias("trend_counts"),
+    ).filter("matched_profiles > 0")
+    return lane.withColumns({
+        f"n_{s}": F.coalesce(F.try_element_at("trend_counts", F.lit(s)), F.lit(0)) for s in fixed.COMMUNITY_TREND_VALUE})
 
 
 def lane_scores(lane: DataFrame, weighted: DataFrame) -> DataFrame:
@@ -238,6 +230,41 @@ def aggregate_terms(rows: DataFrame, limit: int | None = 12, positive_only: bool
     return wt.top_k(terms, ["category_id"], order, limit)
 
 
+def core_and_expansion(rows: DataFrame, limit: int = 12, keep: int = 8, leading: int = 6) -> DataFrame:
+    """Core and expansion terms of every lane from one aggregation: ``set`` says which.
+
+    Sums over all rows and over growing ones are taken side by side, so the terms are
+    shuffled once; both orders are one window, cut to ``limit`` per lane and set before
+    its shuffle. What is left of a lane, twice ``limit`` rows at most, settles the expansion.
+    """
+    strength = wt.lookup(F.col("trend"), fixed.COMMUNITY_TREND_VALUE, fixed.COMMUNITY_TREND_OTHER)
+    sides = {"core": F.lit(True), "growing": F.col("trend").isin(*fixed.POSITIVE_TRENDS)}
+
+    def over(side: str, value: Column) -> Column:
+        return F.when(sides[side], value)
+
+    per_person = rows.groupBy("category_id", "key", "participant_id").agg(*[
+        F.struct(
+            F.sum(over(s, F.col("pweight") * F.col("weight"))).alias("score"), F.sum(over(s, F.col("pweight") * strength)).alias("trend_strength"),
+            F.count(over(s, F.lit(1))).alias("profiles"), F.max_by("value", over(s, F.struct("profile_key", "value"))).alias("value"),
+            F.max(over(s, F.col("profile_key"))).alias("last"),
+        ).alias(s) for s in sides])
+    terms = per_person.groupBy("category_id", "key").agg(*[
+        F.struct(
+            F.lit(s).alias("set"), wt.round_even(F.sum(f"{s}.score"), 6).alias("score"), wt.round_even(F.sum(f"{s}.trend_strength"), 6).alias("trend_strength"),
+            F.sum(f"{s}.profiles").alias("profiles"), F.count_if(F.col(f"{s}.profiles") > 0).alias("participants"),
+            F.max_by(f"{s}.value", f"{s}.last").alias("value"),
+        ).alias(s) for s in sides])
+    both = terms.select("category_id", "key", F.explode(F.array("core", "growing")).alias("t")).select("category_id", "key", "t.*").filter("profiles > 0")
+    order = [F.desc("participants"), F.desc("profiles"), F.desc("score"), F.desc("trend_strength"), F.asc("key")]
+    ranked = wt.top_k(both, ["category_id", "set"], order, limit)
+    lead = F.collect_set(F.when((F.col("set") == "core") & (F.col("rank") <= leading), F.col("key"))).over(W.partitionBy("category_id"))
+    left = ranked.withColumn("_lead", lead).filter((F.col("set") == "core") | ~F.array_contains("_lead", F.col("key")))
+    named = left.withColumn("set", F.when(F.col("set") == "core", "core").otherwise("expansion")).withColumnRenamed("rank", "_before").drop("_lead")
+    return wt.top_k(named, ["category_id", "set"], [F.asc("_before")], None).drop("_before").filter(
+        (F.col("set") == "core") | (F.col("rank") <= keep))
+
+
 def expansion_terms(rows: DataFrame, core: DataFrame, keep: int = 8, leading: int = 6) -> DataFrame:
     """Growing terms of a lane that are not among its leading core terms.
 
@@ -290,15 +317,15 @@ def report(profiles: DataFrame) -> dict[str, DataFrame]:
     """All tables of the report from one profile table."""
     weighted = balanced_weights(usable(profiles))
     keyword_rows = lane_term_rows(weighted, "keyword_trends")
-    core = aggregate_terms(keyword_rows)
+    keywords = core_and_expansion(keyword_rows)
     intents = lane_intents(weighted)
-    scored = with_segment(trend_counts(lane_scores(lanes(weighted), weighted)), intents)
+    scored = with_segment(lane_scores(lanes(weighted), weighted), intents)
     return {
         "community": community_counts(profiles),
         "lanes": scored,
-        "core_keywords": core,
+        "core_keywords": keywords.filter("set = 'core'").drop("set"),
         "core_tags": aggregate_terms(lane_term_rows(weighted, "tag_trends")),
-        "expansion_keywords": expansion_terms(keyword_rows, core),
+        "expansion_keywords": keywords.filter("set = 'expansion'").drop("set"),
         "intents": intents,
         "summary": creator_summary(scored),
     }

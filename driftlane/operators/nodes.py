@@ -154,3 +154,30 @@ def totals(snapshots: DataFrame, nodes: str = "nodes") -> DataFrame:
         F.count("*").alias("snapshots"),
         F.sum(F.greatest(F.coalesce(F.size(nodes), F.lit(0)), F.lit(0))).alias("nodes"),
     )
+
+
+def inspection(snapshots: DataFrame, fields: dict[str, str], k: int = 30, nodes: str = "nodes") -> DataFrame:
+    """Totals, guessed surfaces and the ``k`` most frequent values of node fields, in one pass.
+
+    ``fields``: name -> node field. Rows are section, value, n: ``snapshots`` and ``nodes`` without
+    a value, every ``surface``, and the values of each field. A snapshot and its nodes are exploded
+    into (section, value) once and counted before the shuffle.
+    """
+    surface = F.coalesce(F.nullif("surface_guess.surface", F.lit("")), F.lit("unknown"))
+    kind = "struct<section:string,value:string,n:bigint>"
+
+    def entry(section: str, value: Column, n: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), value.cast("string").alias("value"), n.cast("bigint").alias("n")).cast(kind)
+
+    size = F.greatest(F.coalesce(F.size(nodes), F.lit(0)), F.lit(0))
+    own = F.array(entry("snapshots", F.lit(None), F.lit(1)), entry("nodes", F.lit(None), size), entry("surface", surface, F.lit(1)))
+
+    def values(name: str, field: str) -> Column:
+        filled = F.filter(nodes, lambda r: F.coalesce(r[field].cast("string"), F.lit("")) != "")
+        return F.coalesce(F.transform(filled, lambda r: entry(name, r[field], F.lit(1))), F.array().cast(f"array<{kind}>"))
+
+    rows = snapshots.select(F.explode(F.concat(own, *[values(n, f) for n, f in fields.items()])).alias("e")).select("e.*")
+    counts = rows.groupBy("section", "value").agg(F.sum("n").alias("n"))
+    # totals and surfaces are groups of their own, so the cut to k rows per group keeps them all
+    own_group = F.when(F.col("section").isin("snapshots", "nodes", "surface"), F.coalesce("value", F.lit("")))
+    return wt.top_k(counts.withColumn("_own", own_group), ["section", "_own"], [F.desc("n"), F.asc("value")], k).select("section", "value", "n")

@@ -116,6 +116,32 @@ def aggregate(rows: DataFrame, scope: list[str], first: list[str] = ("position",
     return out.withColumn("value", F.col("_first.value")).drop("_first")
 
 
+def in_two_scopes(rows: DataFrame, scope: list[str], inner: str = "category_id", limits: tuple = (15, 40)) -> DataFrame:
+    """Ranked terms of every (scope, ``inner``) and of every scope, from one pass: ``level`` is 'inner' or 'outer'.
+
+    Grouping sets make both levels of a row where it is read; the sums per video, the terms and
+    the two orders are each one shuffle. ``limits``: rows kept per inner and per outer group.
+    """
+    good = rows.filter((F.length("key") >= 2) & (F.col("score") > 0))
+    keys = [*scope, inner, "key", "video_id"]
+    named = good.withColumns({f"_{k}": F.col(k) for k in keys})
+    outer = [f"_{k}" for k in keys if k != inner]
+    per_video = named.groupingSets([[f"_{k}" for k in keys], outer], *[f"_{k}" for k in keys]).agg(
+        F.grouping(f"_{inner}").alias("_outer"), F.sum("score").alias("score"), F.sum(F.col("consistency") * F.col("score")).alias("_c"),
+        F.min(F.struct("position", "value")).alias("_first"),
+        *[F.sum(F.when(F.col("source") == s, F.col("score")).otherwise(0.0)).alias(f"source_{s}") for s in SOURCES],
+    ).withColumnsRenamed({f"_{k}": k for k in keys})
+    terms = per_video.groupBy("_outer", *scope, inner, "key").agg(
+        wt.round_even(F.sum("score"), 4).alias("score"), wt.round_even(F.sum("_c") / F.sum("score"), 4).alias("consistency"),
+        F.count(F.nullif("video_id", F.lit(""))).alias("video_support"), F.min("_first").alias("_first"),
+        *[F.sum(f"source_{s}").alias(f"source_{s}") for s in SOURCES],
+    ).withColumn("value", F.col("_first.value")).drop("_first")
+    order = [F.desc("score"), F.desc("video_support"), F.desc("consistency"), F.asc("key")]
+    ranked = wt.top_k(terms, ["_outer", *scope, inner], order, max(limits))
+    level = F.when(F.col("_outer") == 1, "outer").otherwise("inner")
+    return ranked.withColumn("level", level).filter(F.col("rank") <= F.when(F.col("_outer") == 1, limits[1]).otherwise(limits[0])).drop("_outer")
+
+
 def rank_snapshot(terms: DataFrame, scope: list[str], limit: int) -> DataFrame:
     """Order of the one-snapshot report: score, support, consistency."""
     rows = terms.withColumns(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,6 +29,24 @@ def drop_in_flight(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return timed.withWatermark("_arrival", delay).dropDuplicatesWithinWatermark(KEYS).drop("_arrival")
 
 
+def drop_repeated_lines(lines: DataFrame, delay: str, arrival: Column | None = None) -> DataFrame:
+    """Lines whose event did not arrive within ``delay`` before, with the state bounded by that delay.
+
+    The watermark runs on the time of arrival (now, unless ``arrival`` names one that never
+    goes back), not on the day of the event: a late event passes, and the exact check against its
+    stored day decides. Lines that name no whole event are told apart by their text, so that
+    all rejects reach the quarantine.
+    """
+    parts = [F.get_json_object("value", f"$.{c}") for c in (*ia.PROFILE, "event_id")]
+    parts.append(F.left(F.get_json_object("value", "$.captured_at"), F.lit(10)))
+    whole = parts[0].isNotNull()
+    for p in parts[1:]:
+        whole = whole & p.isNotNull()
+    key = F.sha2(F.when(whole, F.to_json(F.array(*parts))).otherwise(F.col("value")), 256)
+    timed = lines.withColumns({"_line": key, "_arrival": F.current_timestamp() if arrival is None else arrival})
+    return timed.withWatermark("_arrival", delay).dropDuplicatesWithinWatermark(["_line"]).drop("_line", "_arrival")
+
+
 def batch_days(rows: DataFrame) -> list:
     """Days of a batch, as literals that prune partitions; too many are an error."""
     days = [r["day"] for r in rows.select("day").distinct().limit(MAX_BATCH_DAYS + 1).collect()]
@@ -71,7 +89,10 @@ def write_batch(lines: DataFrame, root: str, batch: int = 0) -> None:
         checked.unpersist()
 
 
-def start(lines: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def start(lines: DataFrame, root: str, checkpoint: str, once: bool = False, delay: str | None = None, arrival: Column | None = None) -> StreamingQuery:
+    """Runs ``write_batch`` on a stream of lines; with ``delay``, repeats that close are dropped before the batch."""
+    if delay is not None:
+        lines = drop_repeated_lines(lines, delay, arrival)
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda df, batch: write_batch(df, root, batch)
     )

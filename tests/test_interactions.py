@@ -182,6 +182,32 @@ def test_repeat_opens_by_batches_with_a_replay(spark, tmp_path):
     assert written() == want
 
 
+def test_repeats_in_flight_and_late_events(spark, tmp_path):
+    inbox, root, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    inbox.mkdir()
+    states = []
+
+    def deliver(name, minute, *rows):
+        sent = f"2026-08-25T10:{minute:02d}:00Z"
+        (inbox / name).write_text("\n".join(r if isinstance(r, str) else json.dumps(r | {"context": {"sent": sent}}) for r in rows), encoding="utf-8")
+        lines = stream.line_stream(spark, str(inbox))
+        arrival = F.coalesce(F.get_json_object("value", "$.context.sent").cast("timestamp"), F.lit(sent).cast("timestamp"))
+        query = stream.start(lines, root, checkpoint, once=True, delay="5 minutes", arrival=arrival)
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    first = [event(n, "like", 1.0) for n in range(20)]
+    deliver("a", 0, *first, *first, "no json", "no json either")
+    deliver("b", 2, *first[:3], event(30, "like", 1.0, day="2026-08-20"))
+    deliver("c", 30, *first[:3], event(31, "like", 1.0, day="2026-08-19"))
+    deliver("d", 50, event(32, "like", 1.0))
+    stored = spark.read.parquet(f"{root}/events")
+    assert stored.count() == 23 and {str(r.day) for r in stored.select("day").distinct().collect()} == {"2026-08-23", "2026-08-20", "2026-08-19"}
+    assert {str(r.day): r.score_total for r in spark.read.parquet(f"{root}/daily").collect()} == {"2026-08-23": 21.0, "2026-08-20": 1.0, "2026-08-19": 1.0}
+    assert spark.read.parquet(f"{root}/quarantine").filter("value like 'no json%'").count() == 2
+    assert max(states[:2]) >= 20 and states[-1] <= 5, "what arrived long ago is forgotten"
+
+
 def test_quota(spark):
     rows = [("d", "home", n, "2026-08-23", sig) for n, sig in enumerate("aabbacd")] + [("d", "other", 9, "2026-08-23", "x")]
     df = spark.createDataFrame(rows, "device string, surface string, n int, day string, sig string").withColumn("ts", F.timestamp_seconds("n"))
