@@ -48,6 +48,8 @@ BROADCAST_BYTES = 32_000_000
 MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z]))")
 NAME_END = re.compile(r"[\s/>]|\Z")
 SPECIAL = re.compile("[\"'>]")
+#: A whole tag, never read twice from one place.
+WHOLE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>")
 #: Possessive, and tried only where a name begins, so that long runs of letters are read once.
 ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 RAW = frozenset("script style noscript template textarea title svg iframe object select canvas annotation annotation-xml xmp noembed noframes".split())
@@ -115,11 +117,15 @@ def _furniture(tag: str, attributes: str, in_main: bool) -> bool:
 
 
 class Tags:
-    """The markup of a page in order, in one forward pass; nothing is scanned twice however the page is broken."""
+    """The markup of a page in order, in one forward pass.
+
+    Tags are matched whole. From the first one on that never ends, the places of all that matters are
+    listed and what follows them is remembered, so nothing is scanned twice however the page is broken.
+    """
 
     def __init__(self, page: str):
         self.page = page
-        self.special = [m.start() for m in SPECIAL.finditer(page)]
+        self.special: list[int] | None = None
         self.ends: dict[int, int] = {}
         self.name = (0, 0)
 
@@ -154,6 +160,12 @@ class Tags:
                 at = len(page) if end < 0 else end + len(mark)
                 yield start, at, False, None, ""
                 continue
+            if self.special is None:
+                if whole := WHOLE.match(page, start):
+                    at = whole.end()
+                    yield start, at, bool(whole[1]), whole[2].lower(), whole[3]
+                    continue
+                self.special = [m.start() for m in SPECIAL.finditer(page, at)]
             if not self.name[0] <= at <= self.name[1]:
                 self.name = at, NAME_END.search(page, at).start()
             name = self.name[1]
