@@ -1,14 +1,17 @@
 """Text expressions: folding, phrase tests, topics, hashtags, tag consistency.
 
-Folding (NFKC + case folding) has no built-in Spark function. Text made only of
-characters that NFKC keeps and whose case folding equals lower-casing is folded
-by built-ins; only the rest goes, Arrow-batched, through a pandas UDF.
+Folding (NFKC + case folding) has no built-in Spark function. Text of common Latin letters is lower-cased.
+Other text is folded by tables made from ``unicodedata``: a code point that cannot join the one before it
+folds by itself, so a text of such code points (Cyrillic, Greek, CJK, kana, emoji ...) is one ``translate``,
+and the few code points with several-letter forms are replaced where they stand. Only text that holds a
+combining mark or a joining letter goes, Arrow-batched, through a pandas UDF.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -28,8 +31,9 @@ _STABLE = (
     r"^[\x00-\x7FÀ-ÖØ-Þà-öø-ÿĂăĐđĨĩŨũƠơƯư\x{1EA0}-\x{1EF9}"
     r"\x{2013}\x{2014}\x{2018}\x{2019}\x{201C}\x{201D}]*$"
 )
-_BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
-_BLANK_RUN = r"[ \t\n\x0B\f\r\x1C-\x1F]+"
+# White space that NFKC leaves; the other kinds become a space.
+_BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u1680\u2028\u2029"
+_BLANK_RUN = r"[ \t\n\x0B\f\r\x1C-\x1F\x{85}\x{1680}\x{2028}\x{2029}]+"
 
 
 def _fold_value(value, lower_only=False, collapse=False):
@@ -40,87 +44,140 @@ def _fold_value(value, lower_only=False, collapse=False):
     return " ".join(text.split()) if collapse else text.strip()
 
 
-@F.pandas_udf(T.StringType())
-def _fold_slow(text: pd.Series) -> pd.Series:
-    return text.map(_fold_value, na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def _fold_lower_slow(text: pd.Series) -> pd.Series:
-    return text.map(lambda v: _fold_value(v, lower_only=True), na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def _term_key_slow(text: pd.Series) -> pd.Series:
-    return text.map(lambda v: _fold_value(v, collapse=True), na_action="ignore")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _fold_list_slow(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda a: None if a is None else [_fold_value(v) for v in a], na_action="ignore")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _fold_lower_list_slow(texts: pd.Series) -> pd.Series:
-    return texts.map(
-        lambda a: None if a is None else [_fold_value(v, lower_only=True) for v in a], na_action="ignore"
-    )
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _term_key_list_slow(texts: pd.Series) -> pd.Series:
-    return texts.map(
-        lambda a: None if a is None else [_fold_value(v, collapse=True) for v in a], na_action="ignore"
+def _slow(lower_only: bool, collapse: bool):
+    """Pandas UDFs for a string and for a list of strings."""
+    def one(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda v: _fold_value(v, lower_only, collapse), na_action="ignore")
+
+    def many(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda a: None if a is None else [_fold_value(v, lower_only, collapse) for v in a], na_action="ignore")
+
+    return F.pandas_udf(one, T.StringType()), F.pandas_udf(many, T.ArrayType(T.StringType()))
+
+
+def _class(points: list[str]) -> str:
+    """Regex class of code points; those below and above all of them leave at the first test."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, points)):
+        if ranges and c - ranges[-1][1] == 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    inner = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+    return rf"[\x{{{ranges[0][0]:X}}}-\x{{{ranges[-1][1]:X}}}&&[{inner}]]"
+
+
+# Noncharacters that mark what a table cannot say in one letter.
+_JOINS, _LONGER = "\ufffe", "\uffff"
+
+
+@cache
+def fold_tables(lower_only: bool = False) -> tuple[str, str, dict[str, str]]:
+    """What folding does to code points, from ``unicodedata``: the code points that change, their forms, and
+    the forms of several letters. Code points that may join a neighbour or depend on it have the form
+    ``_JOINS``, those with several letters ``_LONGER``."""
+    assigned = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    joining = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # vowels and finals of Hangul
+    for c in assigned:
+        parts = unicodedata.decomposition(c).split()
+        if unicodedata.combining(c):
+            joining.add(c)
+        elif len(parts) == 2 and parts[0][0] != "<":
+            pair = "".join(chr(int(p, 16)) for p in parts)
+            if unicodedata.normalize("NFC", pair) == c:
+                joining.add(pair[1])
+    forms, longer = {_JOINS: _JOINS, _LONGER: _JOINS}, {}
+    for c in assigned:
+        composed = unicodedata.normalize("NFKC", c)
+        folded = composed.lower() if lower_only else composed.casefold()
+        # the small letter of a capital sigma depends on what follows
+        if unicodedata.normalize("NFKD", c)[0] in joining or lower_only and "Σ" in composed:
+            forms[c] = _JOINS
+        elif len(folded) > 1:
+            forms[c], longer[c] = _LONGER, folded
+        elif folded != c:
+            forms[c] = folded
+    return "".join(forms), "".join(forms.values()), longer
+
+
+def _translated(col: Column, lower_only: bool, marks: bool = True) -> Column:
+    letters, forms, _ = fold_tables(lower_only)
+    pairs = [(c, form) for c, form in zip(letters, forms) if marks or form not in (_JOINS, _LONGER)]
+    return F.translate(col, "".join(c for c, _ in pairs), "".join(form for _, form in pairs))
+
+
+def _by_tables(col: Column, lower_only: bool) -> Column:
+    """Folds text without joining code points."""
+    longer = fold_tables(lower_only)[2]
+    table = F.str_to_map(F.lit("\x02".join(f"{c}\x01{form}" for c, form in longer.items())), F.lit("\x02"), F.lit("\x01"))
+    found = F.array_distinct(F.regexp_extract_all(col, F.lit(_class(list(longer))), F.lit(0)))
+    letters = _translated(col, lower_only, marks=False)
+    widened = F.aggregate(found, letters, lambda text, c: F.replace(text, c, F.try_element_at(table, c)))
+    # the one-element array gives the translated text a name, so it is made once
+    once = F.transform(
+        F.array(_translated(col, lower_only)), lambda t: F.when(F.contains(t, F.lit(_LONGER)), widened).otherwise(t)
     )
+    return F.get(once, F.lit(0))
 
 
 def _strip(col: Column) -> Column:
     return F.btrim(col, F.lit(_BLANKS))
 
 
+def _collapse(col: Column) -> Column:
+    return _strip(F.regexp_replace(col, _BLANK_RUN, " "))
+
+
 def _plain(col: Column) -> Column:
     return F.rlike(col, F.lit(_STABLE))
 
 
-def _either(col: Column, fast, slow) -> Column:
+def _joining(col: Column, lower_only: bool) -> Column:
+    return ~_plain(col) & F.contains(_translated(col, lower_only), F.lit(_JOINS))
+
+
+def _fold(col: Column, finish=_strip, lower_only: bool = False) -> Column:
     col = F.coalesce(col, F.lit(""))
-    # the UDF sees null for plain rows, so those cost no transfer
-    return F.when(_plain(col), fast(col)).otherwise(slow(F.when(~_plain(col), col)))
+    # the UDF sees null for rows without joining code points, so those cost no transfer
+    slow = _slow(lower_only, finish is _collapse)[0](F.when(_joining(col, lower_only), col))
+    return F.when(_plain(col), finish(F.lower(col))).when(slow.isNotNull(), slow).otherwise(finish(_by_tables(col, lower_only)))
 
 
-def _either_list(col: Column, fast, slow) -> Column:
+def _fold_list(col: Column, finish=_strip, lower_only: bool = False) -> Column:
     col = F.filter(F.coalesce(col, F.array().cast("array<string>")), lambda x: x.isNotNull())
-    plain = F.forall(col, _plain)
-    return F.when(plain, F.transform(col, fast)).otherwise(slow(F.when(~plain, col)))
+    slow = _slow(lower_only, finish is _collapse)[1](F.when(F.exists(col, lambda x: _joining(x, lower_only)), col))
+    return (
+        F.when(F.forall(col, _plain), F.transform(col, lambda x: finish(F.lower(x))))
+        .when(slow.isNotNull(), slow)
+        .otherwise(F.transform(col, lambda x: finish(_by_tables(x, lower_only))))
+    )
 
 
 def fold_text(col: Column) -> Column:
     """NFKC + case folding + strip; inner blanks stay. Null becomes ''."""
-    return _either(col, lambda c: _strip(F.lower(c)), _fold_slow)
+    return _fold(col)
 
 
 def fold_lower(col: Column) -> Column:
     """NFKC + lower-casing + strip."""
-    return _either(col, lambda c: _strip(F.lower(c)), _fold_lower_slow)
+    return _fold(col, lower_only=True)
 
 
 def term_key(col: Column) -> Column:
     """Folding with every run of blanks collapsed to one space."""
-    return _either(col, lambda c: _strip(F.regexp_replace(F.lower(c), _BLANK_RUN, " ")), _term_key_slow)
+    return _fold(col, _collapse)
 
 
 def fold_texts(col: Column) -> Column:
-    return _either_list(col, lambda c: _strip(F.lower(c)), _fold_list_slow)
+    return _fold_list(col)
 
 
 def fold_lower_texts(col: Column) -> Column:
-    return _either_list(col, lambda c: _strip(F.lower(c)), _fold_lower_list_slow)
+    return _fold_list(col, lower_only=True)
 
 
 def term_keys(col: Column) -> Column:
-    return _either_list(
-        col, lambda c: _strip(F.regexp_replace(F.lower(c), _BLANK_RUN, " ")), _term_key_list_slow
-    )
+    return _fold_list(col, _collapse)
 
 
 def fold_phrase(phrase: str, lower_only: bool = False) -> str:
