@@ -6,8 +6,8 @@ toxic texts too). A linear model of word features g(x) is fitted to the risk
 with logistic loss; where the second term would turn negative, the step goes up along it, so that the
 model cannot gain by fitting the unlabelled texts away. The prior is the share of toxic rows among the
 labelled ones. Features are words and word beginnings, hashed into BUCKETS; a word or beginning that
-stands in a text several times gives a second feature. Only buckets that positives have clearly more
-often than unlabelled texts are used (FEATURES at most).
+stands in a text several times gives a second feature. Every bucket that LEAST positives of different
+text have, and positives clearly more often than unlabelled texts, is used.
 
 Fitting reads bounded samples (POSITIVES, UNLABELLED rows, drawn by a hash of the id); scoring reads
 every whole text. Scores are sigmoid(g) of the text alone: labels, language, source and id are no
@@ -32,7 +32,9 @@ BUCKETS = 1 << 18
 BEGINNINGS = (4, 5, 6)
 #: Occurrences in one text from which a bucket gives its second feature.
 SEVERAL = 3
-POSITIVES, UNLABELLED, FEATURES = 6_000, 24_000, 1_500
+POSITIVES, UNLABELLED = 6_000, 24_000
+#: Positives of different text that a bucket must stand in, and standard errors above the unlabelled share.
+LEAST, CLEARLY = 8, 4
 STEPS, RATE, SHRINK = 400, 0.05, 1e-4
 THRESHOLD = 0.3
 NOT_LETTER = np.ones(256, bool)
@@ -76,11 +78,8 @@ def bucket_texts(texts: DataFrame) -> DataFrame:
 
 
 def chosen_buckets(texts: DataFrame, positives: int, unlabelled: int) -> np.ndarray:
-    """Buckets that positives have more often than unlabelled texts by four standard errors, the clearest first.
-
-    One in a hundred positives must have the bucket, so that words of one family of copies don't count.
-    """
-    least = F.col("n") >= max(4, positives // 100)
+    """Buckets that positives have more often than unlabelled texts by CLEARLY standard errors, the clearest first."""
+    least = F.col("n") >= LEAST
     rows = bucket_texts(texts).groupBy("bucket").pivot("positive", [0, 1]).agg(F.sum("n")).fillna(0).withColumnRenamed("1", "n").where(least)
     got = rows.select("bucket", "n", F.col("0").alias("u")).toArrow()  # BUCKETS rows at most
     bucket, n, u = (got.column(k).to_numpy() for k in range(3))
@@ -88,7 +87,7 @@ def chosen_buckets(texts: DataFrame, positives: int, unlabelled: int) -> np.ndar
     both = (n + u) / max(positives + unlabelled, 1)
     z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / max(positives, 1) + 1 / max(unlabelled, 1)))
     order = np.argsort(-z, kind="stable")
-    return bucket[order[z[order] > 4]][:FEATURES]
+    return bucket[order[z[order] > CLEARLY]]
 
 
 def present(texts: DataFrame, buckets: np.ndarray) -> DataFrame:

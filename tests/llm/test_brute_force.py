@@ -319,6 +319,20 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] == (r["doc_id"] % 8 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_toxicity_words_of_few_positives(spark):
+    """A word of LEAST positives is a feature however many positives there are; one of fewer is none."""
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    rows = [(f"{prose(rng, 20)} number{k} {'uncommonslur' * (k < toxicity.LEAST)} {'rarerslur' * (k < toxicity.LEAST - 1)}", 1) for k in range(2000)]
+    rows += [(f"{prose(rng, 20)} plain{k}", 0) for k in range(4000)]
+    frame = spark.createDataFrame(rows, "text string, positive int")
+    chosen = set(toxicity.chosen_buckets(frame, 2000, 4000).tolist())
+    of = lambda word: {int(b) for *_, buckets in toxicity.features(pa.array([word])) for b in buckets}
+    assert of("uncommonslur") <= chosen
+    assert not of("rarerslur") & chosen
+
+
 def test_windows_and_slices(monkeypatch):
     import pyarrow as pa
 
