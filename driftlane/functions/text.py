@@ -140,17 +140,15 @@ def _fold(col: Column, finish=_strip, lower_only: bool = False) -> Column:
     col = F.coalesce(col, F.lit(""))
     # the UDF sees null for rows without joining code points, so those cost no transfer
     slow = _slow(lower_only, finish is _collapse)[0](F.when(_joining(col, lower_only), col))
-    return F.when(_plain(col), finish(F.lower(col))).when(slow.isNotNull(), slow).otherwise(finish(_by_tables(col, lower_only)))
+    return F.coalesce(slow, F.when(_plain(col), finish(F.lower(col))).otherwise(finish(_by_tables(col, lower_only))))
 
 
 def _fold_list(col: Column, finish=_strip, lower_only: bool = False) -> Column:
     col = F.filter(F.coalesce(col, F.array().cast("array<string>")), lambda x: x.isNotNull())
     slow = _slow(lower_only, finish is _collapse)[1](F.when(F.exists(col, lambda x: _joining(x, lower_only)), col))
-    return (
-        F.when(F.forall(col, _plain), F.transform(col, lambda x: finish(F.lower(x))))
-        .when(slow.isNotNull(), slow)
-        .otherwise(F.transform(col, lambda x: finish(_by_tables(x, lower_only))))
-    )
+    plain = F.forall(col, _plain)
+    lowered = F.transform(col, lambda x: finish(F.lower(x)))
+    return F.coalesce(slow, F.when(plain, lowered).otherwise(F.transform(col, lambda x: finish(_by_tables(x, lower_only)))))
 
 
 def fold_text(col: Column) -> Column:

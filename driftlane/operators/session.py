@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftlane.functions import fixed, text
 from driftlane.functions import weights as wt
+from driftlane.functions.plan import hold
 from driftlane.operators import longitudinal as lg
 from driftlane.operators.exposure import blend_categories
 
@@ -217,7 +218,7 @@ def title_suggestions(lanes: DataFrame) -> DataFrame:
     for intent, rows in fixed.TITLE_PATTERNS.items():
         if intent:
             patterns = F.when(F.col("intent_id") == intent, F.array(*[F.lit(p) for p in rows])).otherwise(patterns)
-    df = lanes.withColumns({"_keys": text.term_keys(F.col("keywords")), "_patterns": patterns})
+    df = hold(lanes.withColumns({"_keys": text.term_keys(F.col("keywords")), "_patterns": patterns}), "_keys")
     primary = F.coalesce(F.get("keywords", F.lit(0)), F.col("direction"))
     df = df.withColumns({"_primary": primary, "_first_key": F.get("_keys", F.lit(0))})
     others = F.filter("keywords", lambda _, i: F.get("_keys", i) != F.col("_first_key"))
@@ -233,7 +234,7 @@ def title_suggestions(lanes: DataFrame) -> DataFrame:
         return F.btrim(F.regexp_replace(whole, r"\s+", " "), F.lit(" -–—:|"))
 
     df = df.withColumn("_titles", F.transform("_patterns", filled))
-    df = df.withColumn("_title_keys", text.term_keys(F.col("_titles")))
+    df = hold(df.withColumn("_title_keys", text.term_keys(F.col("_titles"))), "_titles", "_title_keys")
     return df.withColumn(
         "titles", F.slice(text.first_per_key(F.col("_titles"), F.col("_title_keys")), 1, 3)
     ).drop("_keys", "_patterns", "_primary", "_first_key", "_secondary", "_titles", "_title_keys")
