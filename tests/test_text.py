@@ -34,29 +34,6 @@ def test_folding_equals_nfkc_casefold(spark):
         assert got[t].keys == [got[t].key, "x y"]
 
 
-def test_folding_of_every_code_point(spark):
-    """Alone and between letters; code points that may join a neighbour take the other way."""
-    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
-    points += [0x378, 0xE000, 0xFFFFF, 0x10FFFD]
-    texts = [chr(c) + "x" for c in points] + ["a" + chr(c) for c in points]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
-    for row in rows.select("t", text.fold_text(F.col("t")).alias("fold"), text.fold_lower(F.col("t")).alias("low"), text.term_key(F.col("t")).alias("key")).collect():
-        n = unicodedata.normalize("NFKC", row.t)
-        assert row.fold == n.casefold().strip(), ascii(row.t)
-        assert row.low == n.lower().strip(), ascii(row.t)
-        assert row.key == " ".join(n.casefold().split()), ascii(row.t)
-
-
-def test_scripts_are_folded_by_tables(spark):
-    scripts = ["ПРИВЕТ, Мир", "ΓΕΙΆ σας", "東京タワー ﾀﾜｰ", "カタカナ", "한국어", "😀 ❤️ 👩‍🚀", "Große ﬁne …", "Ａ１ ㌀ ①"]
-    rows = spark.createDataFrame([(t,) for t in scripts], "t string")
-    assert rows.filter(text._joining(F.col("t"), False)).isEmpty()
-    assert [r.f for r in rows.select(text.fold_text(F.col("t")).alias("f")).collect()] == [unicodedata.normalize("NFKC", t).casefold().strip() for t in scripts]
-    mixed = [" ".join(random.Random(n).sample(scripts, 4)) + "e\u0301" * (n % 2) for n in range(50)]
-    got = spark.createDataFrame([(t,) for t in mixed], "t string").select(text.term_keys(F.array("t")).alias("k")).collect()
-    assert [r.k[0] for r in got] == [" ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in mixed]
-
-
 def test_null_folds_to_blank(spark):
     assert one(spark, text.fold_text(F.lit(None).cast("string"))) == ""
 
