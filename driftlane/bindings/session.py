@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftlane.bindings import bound, table
 from driftlane.functions import fixed
 from driftlane.functions import weights as wt
+from driftlane.functions.plan import in_tasks
 from driftlane.operators import exposure as ex
 from driftlane.operators import session as ss
 
@@ -195,6 +196,11 @@ def session_surfaces(spark, sf_dir):
     return ss.select_surfaces(envelopes).select("snapshot_id", "surface")
 
 
+def _parts(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return in_tasks(part, part.count(), "p_partkey")
+
+
 def _title_sql():
     def quoted(text):
         return "'" + text.replace("'", "''") + "'"
@@ -218,7 +224,7 @@ def title_suggestions(spark, sf_dir):
     key = F.col("p_partkey")
     words = F.split("p_name", " ")
     first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    lanes = table(spark, sf_dir, "part").select(
+    lanes = _parts(spark, sf_dir).select(
         "p_partkey", F.col("p_type").alias("direction"),
         F.when(key % 4 == 0, "review").when(key % 4 == 1, "news").when(key % 4 == 2, "compilation").alias("intent_id"),
         F.when(key % 5 == 0, F.array().cast("array<string>")).when(key % 5 == 1, F.array(first, F.upper(first)))
@@ -235,7 +241,7 @@ SELECT p_partkey, w[1] AS primary_term, concat_ws('|', w[1], w[2], p_brand) AS t
 def lane_packaging(spark, sf_dir):
     words = F.split("p_name", " ")
     one, two = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    lanes = table(spark, sf_dir, "part").select(
+    lanes = _parts(spark, sf_dir).select(
         "p_partkey", F.col("p_type").alias("direction"),
         F.array(one, F.upper(one), two, F.col("p_brand"), F.concat("p_type", F.lit(" kind"))).alias("keywords"),
         F.array(F.upper(two), F.lit("tag"), F.lit("TAG ")).alias("tags"),

@@ -33,3 +33,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+ROWS_A_TASK = 100_000
+
+
+def in_tasks(df: DataFrame, rows: int, *keys: str, a_task: int = ROWS_A_TASK) -> DataFrame:
+    """Rows by key in as many tasks as ``rows`` need at ``a_task`` rows each, one per core at least.
+
+    Splits follow bytes, and adaptive execution merges by bytes too; where a few bytes a row
+    become many in memory, a task's work and memory would grow with the input. ``rows``: the
+    number that is brought here, or of the input that it comes from (Parquet footers have it).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-rows // a_task)), *keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftlane.functions import fixed, text
 from driftlane.functions import weights as wt
+from driftlane.functions.plan import hold
 from driftlane.operators import longitudinal as lg
 from driftlane.operators.exposure import blend_categories
 
@@ -184,7 +185,7 @@ def lane_plan(interests: DataFrame, session: list[str]) -> DataFrame:
 def packaging(lanes: DataFrame) -> DataFrame:
     """Title, description and tag terms of a lane from its ``keywords`` and
     ``tags`` arrays (best first, capped by the term tables)."""
-    rows = lanes.withColumns({"_kk": text.term_keys(F.col("keywords")), "_tk": text.term_keys(F.col("tags"))})
+    rows = hold(lanes.withColumns({"_kk": text.term_keys(F.col("keywords")), "_tk": text.term_keys(F.col("tags"))}), "_kk", "_tk")
     rows = rows.withColumns(
         {
             "keywords": F.slice(text.first_per_key(F.col("keywords"), F.col("_kk")), 1, 10),
@@ -217,11 +218,12 @@ def title_suggestions(lanes: DataFrame) -> DataFrame:
     for intent, rows in fixed.TITLE_PATTERNS.items():
         if intent:
             patterns = F.when(F.col("intent_id") == intent, F.array(*[F.lit(p) for p in rows])).otherwise(patterns)
-    df = lanes.withColumns({"_keys": text.term_keys(F.col("keywords")), "_patterns": patterns})
     primary = F.coalesce(F.get("keywords", F.lit(0)), F.col("direction"))
-    df = df.withColumns({"_primary": primary, "_first_key": F.get("_keys", F.lit(0))})
+    # held: what a lambda reads would be computed again for each element, folding included
+    df = hold(lanes.withColumns({"_keys": text.term_keys(F.col("keywords")), "_patterns": patterns, "_primary": primary}), "_keys", "_patterns", "_primary")
+    df = hold(df.withColumn("_first_key", F.get("_keys", F.lit(0))), "_first_key")
     others = F.filter("keywords", lambda _, i: F.get("_keys", i) != F.col("_first_key"))
-    df = df.withColumn("_secondary", F.coalesce(F.get(others, F.lit(0)), F.col("direction")))
+    df = hold(df.withColumn("_secondary", F.coalesce(F.get(others, F.lit(0)), F.col("direction"))), "_secondary")
 
     def filled(pattern: Column) -> Column:
         # the pattern is cut at its markers, so filled text is never read again
@@ -232,8 +234,8 @@ def title_suggestions(lanes: DataFrame) -> DataFrame:
         whole = F.replace(whole, F.lit("\x01"), F.col("_primary"))
         return F.btrim(F.regexp_replace(whole, r"\s+", " "), F.lit(" -–—:|"))
 
-    df = df.withColumn("_titles", F.transform("_patterns", filled))
-    df = df.withColumn("_title_keys", text.term_keys(F.col("_titles")))
+    df = hold(df.withColumn("_titles", F.transform("_patterns", filled)), "_titles")
+    df = hold(df.withColumn("_title_keys", text.term_keys(F.col("_titles"))), "_title_keys")
     return df.withColumn(
         "titles", F.slice(text.first_per_key(F.col("_titles"), F.col("_title_keys")), 1, 3)
     ).drop("_keys", "_patterns", "_primary", "_first_key", "_secondary", "_titles", "_title_keys")

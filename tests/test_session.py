@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlane.functions import fixed
+from driftlane.functions.plan import in_tasks
 from driftlane.operators import session as ss
 from driftlane.operators import exposure as ex
 from driftlane.operators import nodes as nd
@@ -52,6 +53,18 @@ def test_titles(spark):
     assert out[2] == [p.format(primary="{secondary}", secondary="x") for p in fixed.TITLE_PATTERNS[""]]
 
 
+def test_titles_fold_keywords_and_titles_once(spark):
+    rows = spark.createDataFrame([("A", "review", ["Cat"])], "direction string, intent_id string, keywords array<string>")
+    plan = ss.title_suggestions(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_term_key_list_slow(") == 2
+
+
+def test_rows_are_spread_by_their_number(spark):
+    df = spark.range(90)
+    assert in_tasks(df, 90, "id", a_task=5).rdd.getNumPartitions() == 18
+    assert in_tasks(df, 3, "id", a_task=5).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_sample_is_repeatable_and_without_replacement(spark):
     df = spark.range(100).select((F.col("id") % 2).alias("sid"), (F.col("id") % 20).alias("item"))
     a = sorted(map(tuple, ss.sample_seeds(df, ["sid"], "item", 3, 1).select("sid", "item").collect()))
