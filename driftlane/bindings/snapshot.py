@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftlane.bindings import bound, table
 from driftlane.functions import weights as wt
-from driftlane.functions.plan import spread
+from driftlane.functions.plan import in_tasks, spread
 from driftlane.operators import exposure as ex
 from driftlane.operators import terms as tm
 
@@ -199,8 +199,11 @@ def term_cards(spark, sf_dir):
     words = F.split("p_name", " ")
     one, two = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
-        F.col("p_size").alias("snapshot_id"), key.cast("string").alias("video_id"),
+    part = table(spark, sf_dir, "part")
+    # a part's terms take hundreds of times its bytes, and the sums per video hold all terms of a task
+    cards = in_tasks(part.withColumn("video_id", key.cast("string")), part.count(), "video_id", a_task=25_000)
+    return cards.select(
+        F.col("p_size").alias("snapshot_id"), "video_id",
         F.when(key % 2 == 0, "home").otherwise("up_next").alias("surface"),
         (key % 20 + 1).alias("position"), F.col("p_name").alias("title"),
         F.concat_ws(" ", "p_brand", F.concat(F.lit("#"), two)).alias("description"),
