@@ -64,6 +64,11 @@ def rows(spark, sf_dir):
     )
 
 
+def rows_by_seed(spark, sf_dir):
+    """Rows of a seed's lists in one task each; aggregates and windows of a seed then need no shuffle."""
+    return in_tasks(rows(spark, sf_dir), table(spark, sf_dir, "lineitem").count(), *SESSION, "seed", a_task=250_000)
+
+
 def _home(r):
     return wt.share_in_group(ss.key_sums(r.filter("surface = 'home'"), SESSION), SESSION, "weight", "share").drop("weight")
 
@@ -130,7 +135,7 @@ def session_lanes(spark, sf_dir):
 
 @bound("stable_items", f"WITH {ROWS} SELECT * FROM st")
 def stable_items(spark, sf_dir):
-    return ss.stable_items(rows(spark, sf_dir), SESSION).select(
+    return ss.stable_items(rows_by_seed(spark, sf_dir), SESSION).select(
         "session_id", "seed", "item", "appearances", "replay_count", "appearance_rate", "mean_position", "stable"
     )
 
@@ -140,7 +145,7 @@ WITH {ROWS} SELECT session_id, seed, item FROM st
 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY appearance_rate DESC, mean_position, seed, item) <= 40
 """)
 def stable_items_top(spark, sf_dir):
-    return ss.top_stable(ss.stable_items(rows(spark, sf_dir), SESSION), SESSION).select("session_id", "seed", "item")
+    return ss.top_stable(ss.stable_items(rows_by_seed(spark, sf_dir), SESSION), SESSION).select("session_id", "seed", "item")
 
 
 @bound("session_certainty", f"""
@@ -152,7 +157,7 @@ SELECT session_id, home_items, up_next_items, seeds, replays, coalesce(stable_co
 FROM ct LEFT JOIN sq USING (session_id)
 """)
 def session_certainty(spark, sf_dir):
-    r = rows(spark, sf_dir)
+    r = rows_by_seed(spark, sf_dir)
     out = ss.certainty(ss.surface_counts(r, SESSION), ss.stable_items(r, SESSION), SESSION)
     return out.select("session_id", "home_items", "up_next_items", "seeds", "replays", "stable_count", _r("certainty"))
 

@@ -110,16 +110,22 @@ def stable_items(rows: DataFrame, session: list[str], seed: str = "seed", replay
     """Appearance rate and mean position of every item of a seed.
 
     An item counts once per replay, at its first place. The rate is rounded
-    before it is compared, so 2 of 3 replays are not stable.
+    before it is compared, so 2 of 3 replays are not stable. Rows without session
+    or seed belong to no list. The first item of a replay counts it, blank or not,
+    so the rows are read once; rows that lie together by session and seed need no
+    further shuffle.
     """
-    once = rows.groupBy(*session, seed, replay, item).agg(F.min("position").alias("position"))
-    replays = (
-        rows.select(*session, seed, replay).distinct().groupBy(*session, seed).agg(F.count("*").alias("replay_count"))
+    lists = [*session, seed]
+    known = rows
+    for c in lists:
+        known = known.filter(F.col(c).isNotNull())
+    once = known.groupBy(*lists, replay, item).agg(F.min("position").alias("position"))
+    first = F.row_number().over(W.partitionBy(*lists, replay).orderBy(item)) == 1
+    per_item = once.withColumn("_first", first).groupBy(*lists, item).agg(
+        F.count("*").alias("appearances"), F.avg("position").alias("mean_position"), F.count_if("_first").alias("_replays")
     )
-    per_item = once.filter(F.coalesce(F.col(item).cast("string"), F.lit("")) != "").groupBy(*session, seed, item).agg(
-        F.count("*").alias("appearances"), F.avg("position").alias("mean_position")
-    )
-    out = per_item.join(replays, [*session, seed])
+    counted = per_item.withColumn("replay_count", F.sum("_replays").over(W.partitionBy(*lists))).drop("_replays")
+    out = counted.filter(F.coalesce(F.col(item).cast("string"), F.lit("")) != "")
     rate = wt.round_even(F.col("appearances") / F.col("replay_count"), 4)
     return out.withColumns(
         {

@@ -18,6 +18,17 @@ def test_two_of_three_replays_is_not_stable(spark):
     assert (out["z"].appearances, out["z"].mean_position) == (1, 2.0)
 
 
+def test_stable_items_read_their_rows_once_without_a_further_shuffle(spark):
+    rows = [("s", "a", 1, "x", 1), ("s", "a", 2, "", 1), ("s", "a", 2, None, 2), ("s", "a", None, "x", 3), ("s", "b", 1, None, 1),
+            (None, "a", 1, "x", 1), ("s", None, 1, "x", 1)]
+    df = spark.createDataFrame(rows, "sid string, seed string, replay int, item string, position int")
+    items = ss.stable_items(in_tasks(df, len(rows), "sid", "seed"), ["sid"])
+    out = [tuple(r) for r in items.select("sid", "seed", "item", "appearances", "replay_count", "mean_position").collect()]
+    assert out == [("s", "a", "x", 2, 3, 2.0)]
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange"), plan.count("Scan ")) == (1, 1)
+
+
 def dist(spark, *rows):
     return spark.createDataFrame([("s", k, float(v)) for k, v in rows], "sid string, key string, share double")
 
