@@ -30,9 +30,7 @@ def blend_categories(
     rows = items.withColumns({"_a": F.coalesce(content, none), "_b": F.coalesce(target, none)})
 
     def entry(c: Column, share: Column) -> Column:
-        return F.struct(
-            (-share).alias("sort"), c["id"].alias("id"), F.coalesce(c["name"], c["id"]).alias("name"), share.alias("share")
-        )
+        return F.struct(c["id"].alias("id"), F.coalesce(c["name"], c["id"]).alias("name"), share.alias("share"))
 
     def with_target(c: Column) -> Column:
         other = F.get(F.filter("_b", lambda t: t["id"] == c["id"]), F.lit(0))["share"]
@@ -42,7 +40,12 @@ def blend_categories(
     merged = F.concat(
         F.transform("_a", with_target), F.transform(only_target, lambda t: entry(t, t["share"] * target_weight))
     )
-    rows = rows.withColumn("_merged", F.array_sort(F.filter(merged, lambda c: F.coalesce(c["id"], F.lit("")) != "")))
+    # the sort key is read off the finished share, and sort_array needs no comparing lambda
+    keyed = F.transform(
+        F.filter(merged, lambda c: F.coalesce(c["id"], F.lit("")) != ""),
+        lambda c: F.struct((-c["share"]).alias("sort"), c["id"].alias("id"), c["name"].alias("name"), c["share"].alias("share")),
+    )
+    rows = rows.withColumn("_merged", F.sort_array(keyed))
     rows = hold(rows.drop("_a", "_b"), "_merged")
     total = F.aggregate("_merged", F.lit(0.0), lambda s, c: s + F.coalesce(c["share"], F.lit(0.0)))
     rows = hold(rows.withColumn("_total", total), "_total")
@@ -68,9 +71,10 @@ def effective_intents(items: DataFrame) -> DataFrame:
         "intent_profile.intents",
         lambda r: (F.coalesce(r["id"], F.lit("")) != "") & ~((r["id"] == "news") & F.coalesce(weak, F.lit(False))),
     )
+    # not held: named twice each, they are worked out once, and not at all where no one reads the intents
     rows = items.withColumn("_kept", kept)
     total = F.aggregate("_kept", F.lit(0.0), lambda s, r: s + r["share"])
-    rows = hold(rows.withColumn("_total", total), "_kept", "_total")
+    rows = rows.withColumn("_total", total)
     vector = F.transform(
         "_kept",
         lambda r: F.struct(
@@ -207,9 +211,8 @@ def expansion_candidates(items: DataFrame, dist: DataFrame, group: list[str], k:
     top = F.get("categories", F.lit(0))["id"]
     cards = items.withColumn("category_id", top).filter(F.col("category_id").isNotNull()).drop("categories", "intents")
     zones = dist.select(*group, "category_id", "zone")
-    core = zones.filter("zone = 'core'").drop("zone")
     keys = [*group, "category_id"]
-    rest = cards.join(core, keys, "left_anti").join(zones, keys, "left")
+    rest = cards.join(zones, keys, "left").filter(F.col("zone").isNull() | (F.col("zone") != "core"))
     rest = rest.withColumns(
         {
             "zone": F.when(F.col("zone") == "adjacent", "adjacent").otherwise("exploration"),
