@@ -11,11 +11,13 @@ def hold(df: DataFrame, *names: str) -> DataFrame:
 
     A filter on a computed column is pushed below the projection and evaluates
     the expression again, once per mention. A one-element explode stops that:
-    predicates on a generator's output stay above it.
+    predicates on a generator's output stay above it. It is an outer one: for a plain
+    explode Spark infers a filter on the array's size, which below nested pruning
+    holds the whole expression, and pushes that down to the input.
     """
     others = [c for c in df.columns if c not in names]
     packed = F.array(F.struct(*names))
-    held = df.select(*others, F.explode(packed).alias("_held"))
+    held = df.select(*others, F.explode_outer(packed).alias("_held"))
     return held.select(*others, *[F.col(f"_held.{n}").alias(n) for n in names])
 
 

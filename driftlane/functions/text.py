@@ -24,9 +24,10 @@ NOT_AFTER_WORD = rf"(?<!{WORD})"
 NOT_BEFORE_WORD = rf"(?!{WORD})"
 
 # ASCII, Latin-1 letters without sharp s, Vietnamese letters, common punctuation.
+# Runs of ASCII have a class of their own: one range is tested, not every alternative of a union.
 _STABLE = (
-    r"^[\x00-\x7FÀ-ÖØ-Þà-öø-ÿĂăĐđĨĩŨũƠơƯư\x{1EA0}-\x{1EF9}"
-    r"\x{2013}\x{2014}\x{2018}\x{2019}\x{201C}\x{201D}]*$"
+    r"^[\x00-\x7F]*+(?:[À-ÖØ-Þà-öø-ÿĂăĐđĨĩŨũƠơƯư\x{1EA0}-\x{1EF9}"
+    r"\x{2013}\x{2014}\x{2018}\x{2019}\x{201C}\x{201D}]++[\x00-\x7F]*+)*+$"
 )
 _BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _BLANK_RUN = r"[ \t\n\x0B\f\r\x1C-\x1F]+"
