@@ -180,8 +180,12 @@ def classify_second_scoring(spark, sf_dir):
 
 
 def rule_tables(spark, dictionary):
-    """Rule tables of a dictionary, through its JSON document."""
-    line = spark.createDataFrame([(json.dumps(dictionary),)], "value string")
+    """Rule tables of a dictionary, through its JSON document.
+
+    The document is a column of a range: of rows handed over by Python, Spark does not know the
+    size, so that the join with them shuffled every token sequence of the documents by phrase.
+    """
+    line = spark.range(1).select(F.lit(json.dumps(dictionary)).alias("value"))
     return tables_of(line.select(F.from_json("value", " ".join(schemas.RULES.split())).alias("d")).select("d.*"))
 
 

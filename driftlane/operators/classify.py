@@ -144,30 +144,16 @@ def _tokens(col) -> Column:
     return F.regexp_extract_all(col, F.lit(rf"({text.WORD}+|[^\p{{L}}\p{{N}}_])"), F.lit(1))
 
 
-def _is_word(token: Column) -> Column:
-    return (F.length(token) > 1) | ((token != " ") & F.rlike(token, F.lit(text.WORD)))
-
-
-def grams(tokens: str, words: str, lengths: Column) -> Column:
+def grams(one_text: Column, lengths: Column) -> Column:
     """Distinct token sequences of a text which have one of ``lengths`` and no word character next to them.
 
-    ``words`` says which tokens are words. One more token is put to all sequences at once,
-    so a text costs its tokens times the longest phrase, and nothing is sliced out of it.
+    One regex pass a length. Each match consumes the text up to the next place where a sequence
+    can begin (right after a word none does) and looks ahead for the one that begins here.
     """
-    # no sequence begins right after a word, except that of a word (which never does)
-    start = F.zip_with(tokens, F.concat(F.array(F.lit(False)), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))), lambda t, w: F.when(~w, ""))
-    state = F.struct(start.alias("open"), F.array().cast("array<string>").alias("out"))
-
-    def longer(acc: Column, n: Column) -> Column:
-        # sequences that would leave the text meet no token and end as null
-        grown = F.zip_with(acc["open"], F.slice(tokens, n, F.size(tokens)), lambda g, t: F.concat(g, t))
-        # those that end before a word are kept open, but not found
-        found = F.zip_with(grown, F.slice(words, n + 1, F.size(words)), lambda g, w: F.when(~F.coalesce(w, F.lit(False)), g))
-        found = F.array_compact(F.array_distinct(found))
-        return F.struct(grown.alias("open"), F.when(F.array_contains(lengths, n), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
-
-    steps = F.sequence(F.lit(1), F.least(F.array_max(lengths), F.size(tokens)))
-    return F.when((F.size(tokens) > 0) & (F.size(lengths) > 0), F.aggregate(steps, state, longer, lambda acc: acc["out"]))
+    word, sign = rf"{text.WORD}++", r"[^\p{L}\p{N}_]"
+    ahead, step = rf"(?:(?=((?:{word}|{sign}){{", rf"}}+){text.NOT_BEFORE_WORD}))?(?:{word}{sign}?|{sign})"
+    found = F.transform(lengths, lambda n: F.array_distinct(F.regexp_extract_all(one_text, F.concat(F.lit(ahead), n.cast("string"), F.lit(step)), F.lit(1))))
+    return F.array_remove(F.flatten(found), F.lit(""))  # a match without a sequence gives ''
 
 
 def found_by_join(cards: DataFrame, key: str, texts: dict[str, Column], searches: dict[str, tuple], suppressions: tuple = ()) -> DataFrame:
@@ -179,10 +165,10 @@ def found_by_join(cards: DataFrame, key: str, texts: dict[str, Column], searches
     dictionary in one equi-join for all searches. A match is a hit by itself: texts
     are not joined, and a card is grouped with its hits, not with candidates.
     """
-    rows = None
-    for name, texts_of in texts.items():
-        part = cards.select(key, F.lit(name).alias("_name"), F.posexplode(texts_of).alias("no", "_text"))
-        rows = part if rows is None else rows.unionByName(part)
+    # all texts of a card by one generator, so that cards are read and folded once
+    entries = [F.transform(F.coalesce(texts_of, F.array().cast("array<string>")), lambda t, no: F.struct(F.lit(name).alias("_name"), no.alias("no"), t.alias("_text")))
+               for name, texts_of in texts.items()]
+    rows = cards.select(key, F.inline(F.concat(*entries)))
     known = None
     for out, (rules, sources) in searches.items():
         at = F.array(*[F.struct(F.lit(t).alias("name"), F.lit(n).alias("source_no"), F.lit(s).alias("source")) for n, (t, s) in enumerate(sources.items())])
@@ -196,9 +182,9 @@ def found_by_join(cards: DataFrame, key: str, texts: dict[str, Column], searches
     lengths = known.agg(F.sort_array(F.collect_set(F.size("_tokens")))).scalar()  # no more than the longest phrase has tokens
     # the idiom is only looked for where its phrase stands
     idioms = [F.when(F.contains("_text", F.lit(text.fold_phrase(phrase))) & F.rlike("_text", F.lit(idiom)), F.lit(n)) for n, (_, phrase, idiom) in enumerate(suppressions)]
-    rows = rows.select(key, "_name", "no", _tokens("_text").alias("_tokens"), F.array_compact(F.array(*idioms)).cast("array<int>").alias("_idioms"), lengths.alias("_lengths"))
-    rows = hold(rows.withColumn("_words", F.transform("_tokens", _is_word)), "_tokens", "_words", "_idioms", "_lengths")
-    found = rows.select(key, "_name", "no", "_idioms", F.explode(grams("_tokens", "_words", F.col("_lengths"))).alias("phrase"))
+    rows = rows.select(key, "_name", "no", "_text", F.array_compact(F.array(*idioms)).cast("array<int>").alias("_idioms"), lengths.alias("_lengths"))
+    rows = hold(rows, "_text", "_idioms", "_lengths")
+    found = rows.select(key, "_name", "no", "_idioms", F.explode(grams(F.col("_text"), F.col("_lengths"))).alias("phrase"))
     rules = known.select("phrase", "_hidden", "_out", "_at", "number", "category", "category_no", "kind", "label")
     hits = found.join(rules, "phrase").filter(~F.arrays_overlap("_hidden", "_idioms")).withColumn(
         "_source", F.get(F.filter("_at", lambda a: a["name"] == F.col("_name")), F.lit(0))).filter("_source is not null")
